@@ -135,3 +135,9 @@ def degree_features(df: DataFrame, degree_table: DataFrame, rows: int | None = N
         F.coalesce("_in", F.lit(0)).alias("engaged_with_user_in_degree"),
         F.coalesce("_out", F.lit(0)).alias("engaging_user_out_degree"),
     )
+
+
+def add_degrees(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Sum of two degree tables, for edges that arrive in several batches."""
+    both = left.unionByName(right).groupBy("id")
+    return both.agg(F.sum("in_degree").alias("in_degree"), F.sum("out_degree").alias("out_degree"))

@@ -25,11 +25,13 @@ SCORES_PER_RANGE = 250_000
 MAX_RANGES = 4096
 
 
-def to_long(df: DataFrame, ids: list[str] = [], prefix: str = "predicted_") -> DataFrame:
+def to_long(
+    df: DataFrame, ids: list[str] = [], prefix: str = "predicted_", targets: list[str] = S.TARGET_NAMES
+) -> DataFrame:
     """Label/score column pairs to ``(ids…, target, y, p)`` rows, one scan."""
     pairs = [
         F.struct(F.lit(t).alias("target"), F.col(t).cast("int").alias("y"), F.col(prefix + t).cast("double").alias("p"))
-        for t in S.TARGET_NAMES
+        for t in targets
     ]
     return df.select(*ids, F.inline(F.array(*pairs)))
 
