@@ -28,6 +28,12 @@ def engaged(df: DataFrame, target: str, binarised: bool = False) -> DataFrame:
     return df.where(present(S.TARGETS[target], binarised))
 
 
+def by_engagement(df: DataFrame, binarised: bool = False) -> DataFrame:
+    """Rows of each engagement, tagged with ``target``; one scan for all four."""
+    tags = [F.when(present(label, binarised), F.lit(target)) for target, label in S.TARGETS.items()]
+    return df.select(F.explode(F.array_compact(F.array(*tags))).alias("target"), *df.columns)
+
+
 def trailing_window(df: DataFrame, seconds: int, last: int | None = None) -> DataFrame:
     """Rows younger than ``seconds`` before ``last`` (default: the newest row).
 
@@ -45,3 +51,9 @@ def before(df: DataFrame, split: int) -> DataFrame:
 def after(df: DataFrame, split: int) -> DataFrame:
     """Test side of a time split. Rows exactly at the split are on neither side."""
     return df.where(F.col("tweet_timestamp") > split)
+
+
+def by_time_side(df: DataFrame, split: int) -> DataFrame:
+    """Both sides of a time split in one scan, tagged ``train`` or ``test``."""
+    ts = F.col("tweet_timestamp")
+    return df.where(ts != split).withColumn("side", F.when(ts < split, "train").otherwise("test"))

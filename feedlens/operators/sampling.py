@@ -133,7 +133,7 @@ def generate_sample(df: DataFrame, spec: SampleSpec, total: int | None = None) -
         df = projections.labels_to_flags(df)
     if spec.zero_columns:
         df = projections.zero_fill(df, list(spec.zero_columns))
-    df = cast_fields(df)
+    df = cast_fields(df, S.SAMPLE_TYPES)
     if spec.window is not None:
         return filters.trailing_window(df, spec.window, spec.last)
     if total is None:

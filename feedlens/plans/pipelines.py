@@ -107,21 +107,20 @@ def stationarity_report(df: DataFrame, days: int, top: int = 10) -> dict[str, Da
 
 
 def graph_report(df: DataFrame) -> DataFrame:
-    """One row: sizes, isolated vertices, degree extremes and components."""
+    """``(statistic, value)``: sizes, isolated vertices, degrees, components."""
     vertices = durable(graph.vertices(df), "vertices")
     edges = durable(graph.edges(df).select("src", "dst"), "edges")
     built = graph.Graph(vertices, edges)
-    summary = graph.degree_summary(edges).groupBy().pivot("direction", ["in_degree", "out_degree"]).agg(
-        F.max("max").alias("max"), F.max("min").alias("min"), F.max("avg").alias("avg"), F.max("stddev").alias("stddev")
-    )
-    connected = graph.drop_isolated(built).vertices.agg(F.count(F.lit(1)).alias("n"))
+    connected = graph.drop_isolated(built).vertices.agg(F.count(F.lit(1)).alias("n_not_isolated"))
     parts = components.component_stats(components.connected_components(vertices, edges))
-    return (
-        graph.sizes(built)
-        .withColumn("n_connected", connected.scalar())
-        .join(summary, F.lit(True))
-        .join(parts, F.lit(True))
-    )
+
+    def long(row: DataFrame, ids: list[str] = []) -> DataFrame:
+        values = [F.col(c).cast("double").alias(c) for c in row.columns if c not in ids]
+        return row.select(*ids, *values).unpivot(ids, [c for c in row.columns if c not in ids], "statistic", "value")
+
+    degrees = long(graph.degree_summary(edges), ["direction"])
+    named = degrees.select(F.concat_ws("_", "direction", "statistic").alias("statistic"), "value")
+    return reduce(DataFrame.unionByName, [long(graph.sizes(built)), long(connected), named, long(parts)])
 
 
 def metric_report(fold_metrics: DataFrame) -> tuple[DataFrame, DataFrame]:

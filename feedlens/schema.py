@@ -46,6 +46,11 @@ LABEL_FIELDS = [
     T.StructField("like_timestamp", T.LongType()),
 ]
 
+#: Types a stored sample is cast to: integers are 32 bits wide there.
+SAMPLE_TYPES = {
+    f.name: T.IntegerType() if isinstance(f.dataType, T.LongType) else f.dataType for f in INPUT_FIELDS + LABEL_FIELDS
+}
+
 #: Item type of the list-valued fields.
 LIST_FIELDS = {
     "text_tokens": T.LongType(),
