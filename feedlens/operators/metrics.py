@@ -21,7 +21,7 @@ from feedlens.operators.projections import prefix_predictions, targets_to_int
 from feedlens.sources.durable import durable
 
 #: Distinct scores one task sorts; decides the number of score ranges.
-SCORES_PER_RANGE = 250_000
+SCORES_PER_RANGE = 1_000_000
 MAX_RANGES = 4096
 
 
@@ -70,63 +70,66 @@ def score_counts(long: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def _with_range(counts: DataFrame, scores_per_range: int) -> DataFrame:
+def _with_range(counts: DataFrame, scores_per_range: int) -> DataFrame | None:
     """Add ``range``: consecutive score intervals of about equal population.
 
-    Edges are approximate quantiles of the distinct scores, hence balanced for
-    any score distribution; the interval of a score is a function of the score
-    alone, so a retried task puts it where it was before.
+    None if one interval is enough. Edges are approximate quantiles of the
+    distinct scores, hence balanced for any score distribution; the interval of
+    a score is a function of the score alone, so a retried task puts it where it
+    was before. Rows without a score form the lowest interval.
     """
     ranges = min(MAX_RANGES, math.ceil(counts.count() / scores_per_range))
     if ranges <= 1:
-        return counts.withColumn("range", F.lit(0.0))
+        return None
     quantiles = [i / ranges for i in range(1, ranges)]
     edges = sorted(set(counts.approxQuantile("p", quantiles, 1 / (4 * ranges))))
-    splits = [-math.inf, *edges, math.inf]
-    return Bucketizer(splits=splits, inputCol="p", outputCol="range").transform(counts)
+    bucketizer = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="p", outputCol="range", handleInvalid="keep")
+    return bucketizer.transform(counts).withColumn("range", F.coalesce("range", F.lit(-1.0)))
 
 
-def evaluate(long: DataFrame, by: list[str] = ["target"], scores_per_range: int = SCORES_PER_RANGE) -> DataFrame:
-    """Average precision and relative cross-entropy per group.
+def _running(counts: DataFrame, by: list[str], scores_per_range: int) -> DataFrame:
+    """Add positives and rows at or above each score, as ``pos_cum, n_cum``.
 
-    Both metrics come from the table of distinct scores. Average precision
-    needs running totals by descending score: a window inside every score range
-    plus the totals of the higher ranges. No window spans a whole group except
-    the one over the range totals, at most ``MAX_RANGES`` rows per group.
+    The running totals inside a score range plus the totals of the higher
+    ranges. Apart from the range totals, at most ``MAX_RANGES`` rows per group,
+    no window spans more than one range.
     """
-    counts = durable(score_counts(long, by), "scores")
-    ranged = _with_range(counts.where(F.col("p").isNotNull()), scores_per_range)
-
-    totals = ranged.groupBy(*by, "range").agg(F.sum("pos").alias("range_pos"), F.sum("n").alias("range_n"))
+    ranged = _with_range(counts, scores_per_range)
+    window = Window.partitionBy(*by, *([] if ranged is None else ["range"])).orderBy(F.desc_nulls_last("p"))
+    window = window.rowsBetween(Window.unboundedPreceding, 0)
+    if ranged is None:
+        return counts.withColumns({"pos_cum": F.sum("pos").over(window), "n_cum": F.sum("n").over(window)})
     higher = Window.partitionBy(*by).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
+    totals = ranged.groupBy(*by, "range").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    above = totals.select(
         *by,
         "range",
-        F.coalesce(F.sum("range_pos").over(higher), F.lit(0)).alias("pos_above"),
-        F.coalesce(F.sum("range_n").over(higher), F.lit(0)).alias("n_above"),
-    )
-    inside = Window.partitionBy(*by, "range").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    running = ranged.select(
-        *by, "range", "p", "pos", "n",
-        F.sum("pos").over(inside).alias("pos_inside"),
-        F.sum("n").over(inside).alias("n_inside"),
-    )
-    precision = (F.col("pos_above") + F.col("pos_inside")) / (F.col("n_above") + F.col("n_inside"))
-    loss = F.col("pos") * C.log_loss_term(F.lit(1), F.col("p")) + (F.col("n") - F.col("pos")) * C.log_loss_term(
-        F.lit(0), F.col("p")
+        F.coalesce(F.sum("pos").over(higher), F.lit(0)).alias("pos_above"),
+        F.coalesce(F.sum("n").over(higher), F.lit(0)).alias("n_above"),
     )
-    positives, rows = F.sum("pos"), F.sum("n")
-    scored = (
-        running.join(offsets, [*by, "range"])
-        .groupBy(*by)
-        .agg(
-            F.try_divide(F.sum(F.col("pos") * precision), positives).alias("ap"),
-            _relative(F.sum(loss) / rows, positives / rows).alias("rce"),
-        )
+    inside = ranged.withColumns({"pos_in": F.sum("pos").over(window), "n_in": F.sum("n").over(window)})
+    return inside.join(above, [*by, "range"]).withColumns(
+        {"pos_cum": F.col("pos_above") + F.col("pos_in"), "n_cum": F.col("n_above") + F.col("n_in")}
     )
-    groups = counts.groupBy(*by).agg(F.max(F.col("p").isNull()).alias("incomplete"))
-    return groups.join(scored, by, "left").select(
-        *by, *[F.when(~F.col("incomplete"), F.col(m)).alias(m) for m in ("ap", "rce")]
+
+
+def evaluate(long: DataFrame, by: list[str] = ["target"], scores_per_range: int = SCORES_PER_RANGE) -> DataFrame:
+    """Average precision and relative cross-entropy per group.
+
+    Both come from the table of distinct scores, which is written once: the
+    scores of a model are then computed once, however many passes follow.
+    """
+    counts = durable(score_counts(long, by), "scores")
+    running = _running(counts, by, scores_per_range)
+    scored = F.col("p").isNotNull()
+    positives, rows = F.sum("pos"), F.sum(F.when(scored, F.col("n")))
+    precision = F.col("pos_cum") / F.col("n_cum")
+    negatives = F.col("n") - F.col("pos")
+    loss = F.col("pos") * C.log_loss_term(F.lit(1), F.col("p")) + negatives * C.log_loss_term(F.lit(0), F.col("p"))
+    complete = F.bool_and(scored)
+    return running.groupBy(*by).agg(
+        F.when(complete, F.try_divide(F.sum(F.col("pos") * precision), positives)).alias("ap"),
+        F.when(complete, _relative(F.sum(loss) / rows, positives / rows)).alias("rce"),
     )
 
 

@@ -53,17 +53,38 @@ def _key_at_rank(sample: list[tuple[Key, int]], rank: float) -> Key | None:
     return None
 
 
-def key_at(
-    df: DataFrame, position: int, rows: int, keys: list[str] = S.KEYS, slice_rows: int = SLICE_ROWS, sample_rows: int = SAMPLE_ROWS
-) -> Key:
-    """Key of the row at ``position`` (from 0) in key order.
+def _keys_in_slice(part: DataFrame, positions: list[int], keys: list[str]) -> list[Key]:
+    """Keys at positions of a slice small enough for one task to sort."""
+    order = [F.col(k).asc_nulls_last() for k in keys]
+    running = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    counted = part.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("end", F.sum("n").over(running))
+    covers = reduce(lambda a, b: a | b, [(F.col("end") > p) & (F.col("end") - F.col("n") <= p) for p in positions])
+    rows = counted.where(covers).collect()
+    return [tuple(r[k] for k in keys) for p in positions for r in rows if r["end"] - r["n"] <= p < r["end"]]
+
+
+def keys_at(
+    df: DataFrame,
+    positions: list[int],
+    rows: int,
+    keys: list[str] = S.KEYS,
+    slice_rows: int = SLICE_ROWS,
+    sample_rows: int = SAMPLE_ROWS,
+) -> list[Key]:
+    """Keys of the rows at ``positions`` (from 0) in key order.
 
     Selection by narrowing instead of a full sort: a small sample of keys gives
-    a bracket around the position, one counting scan verifies it, and only the
+    a bracket around a position, one counting scan verifies it, and only the
     bracket is narrowed again or sorted. Scans read the key columns alone and
     nothing but the last slice is shuffled. The sample decides how fast the
     bracket shrinks, never the result.
     """
+    if rows <= slice_rows:
+        return _keys_in_slice(df.select(*keys), positions, keys)
+    return [_key_at(df, p, rows, keys, slice_rows, sample_rows) for p in positions]
+
+
+def _key_at(df: DataFrame, position: int, rows: int, keys: list[str], slice_rows: int, sample_rows: int) -> Key:
     part, below, size = df.select(*keys), 0, rows
     seed = 0
     while size > slice_rows:
@@ -92,11 +113,7 @@ def key_at(
                 break
             part = part.where(~key_below(bound, keys) & ~F.coalesce(equal[i], F.lit(False)))
             size, below = size - (end - below), end
-    order = [F.col(k).asc_nulls_last() for k in keys]
-    running = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    counted = part.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("end", F.sum("n").over(running))
-    row = counted.where(F.col("end") > position - below).orderBy("end").first()
-    return tuple(row[k] for k in keys)
+    return _keys_in_slice(part, [position - below], keys)[0]
 
 
 def positional_split(
@@ -111,11 +128,10 @@ def positional_split(
     rows = df.count()
     train_end, test_start = int(rows * train_until), int(rows * test_from)
 
+    inner = [p for p in dict.fromkeys((train_end, test_start)) if 0 < p < rows]
+    bounds = dict(zip(inner, keys_at(df, inner, rows, keys, **limits))) if inner else {}
+
     def below(position: int) -> Column:
-        if position <= 0:
-            return F.lit(False)
-        if position >= rows:
-            return F.lit(True)
-        return key_below(key_at(df, position, rows, keys, **limits), keys)
+        return key_below(bounds[position], keys) if position in bounds else F.lit(position >= rows)
 
     return df.where(below(train_end)), df.where(~below(test_start))

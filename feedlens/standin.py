@@ -8,84 +8,77 @@ any SQL engine.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from feedlens import schema as S
 
 
-def _text(prefix: str, number: Column) -> Column:
-    return F.concat(F.lit(prefix), number.cast("string"))
-
-
-def _epoch(column: Column) -> Column:
-    """Unix seconds of a zone-less timestamp, whatever the session zone is."""
-    return (
-        F.unix_date(column.cast("date")).cast("long") * 86400
-        + F.hour(column) * 3600
-        + F.minute(column) * 60
-        + F.second(column)
-    )
-
-
-def _users(customer: DataFrame, role: str) -> DataFrame:
-    key = F.col("c_custkey")
-    attributes = {
-        "id": _text("u", key),
-        "follower_count": F.floor("c_acctbal").cast("long") + 1000,
-        "following_count": key % 500,
-        "is_verified": F.col("c_mktsegment") == "BUILDING",
-        "account_creation": key * 86400 + 1200000000,
-    }
-    return customer.select(
-        key.alias(f"{role}_key"), *[c.alias(f"{role}_user_{name}") for name, c in attributes.items()]
-    )
+#: The columns used of the provided tables; stated, so no job infers them.
+TABLES = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_acctbal double, c_mktsegment string",
+}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: User columns of either role over ``customer``.
+USER = {
+    "key": "c_custkey",
+    "user_id": "concat('u', c_custkey)",
+    "user_follower_count": "floor(c_acctbal) + 1000",
+    "user_following_count": "c_custkey % 500",
+    "user_is_verified": "c_mktsegment = 'BUILDING'",
+    "user_account_creation": "c_custkey * 86400 + 1200000000",
+}
+
+#: Tweet columns over ``orders``. The date goes through day numbers, which
+#: unlike ``unix_timestamp`` do not depend on the session time zone.
+TWEET = {
+    "text_tokens": "concat('101\t', o_orderkey % 1000, '\t102')",
+    "hashtags": "if(o_orderkey % 3 = 0, concat('h', o_orderkey % 50, '\th', o_orderkey % 7), null)",
+    "tweet_id": "concat('t', o_orderkey)",
+    "present_media": "case o_orderkey % 4 when 1 then 'Photo' when 2 then 'Photo\tVideo' end",
+    "present_links": "if(o_orderkey % 10 = 0, concat('l', o_orderkey % 90), null)",
+    "present_domains": "if(o_orderkey % 10 = 0, concat('d', o_orderkey % 9), null)",
+    "tweet_type": "case left(o_orderpriority, 1) when '1' then 'Retweet' when '2' then 'Quote' when '3' then 'Reply' else 'Toplevel' end",
+    "language": "concat('lang', o_orderkey % 4)",
+    "tweet_timestamp": "unix_date(cast(o_orderdate as date)) * 86400L + hour(o_orderdate) * 3600 + minute(o_orderdate) * 60"
+    " + cast(second(o_orderdate) as int) + o_orderkey * 37 % 86400",
+}
+
+#: Follow flag and labels over the joined row.
+PAIR = {
+    "engagee_follows_engager": "(engaged_with_key + engaging_key) % 3 = 0",
+    "reply_timestamp": "if(k % 29 = 0, tweet_timestamp + 60 + k % 7200, null)",
+    "retweet_timestamp": "if(k % 11 = 0, tweet_timestamp + 120 + k % 7200, null)",
+    "retweet_with_comment_timestamp": "if(k % 97 = 0, tweet_timestamp + 180 + k % 7200, null)",
+    "like_timestamp": "if(k % 5 < 2, tweet_timestamp + 30 + k % 7200, null)",
+}
+
+
+def _named(expressions: dict[str, str], prefix: str = "") -> list[str]:
+    return [f"{expression} AS {prefix}{name}" for name, expression in expressions.items()]
 
 
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 24-column interaction table over ``lineitem, orders, customer``.
 
-    Orders meet their customers before the line items join: two joins see the
-    smaller order table and only the last one moves all pairs.
+    Orders meet their authors before the line items join, so only the last two
+    joins move all pairs. The merge hint keeps the pairs spread over tasks when
+    a small input would be broadcast whole; a large one is merged anyway.
     """
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    pairs = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct()
-
-    key = F.col("o_orderkey")
-    hashtags = F.concat(_text("h", key % 50), F.lit("\t"), _text("h", key % 7))
-    priority = F.substring("o_orderpriority", 1, 1)
-    tweets = orders.select(
-        key,
-        "o_custkey",
-        F.concat(F.lit("101\t"), (key % 1000).cast("string"), F.lit("\t102")).alias("text_tokens"),
-        F.when(key % 3 == 0, hashtags).alias("hashtags"),
-        _text("t", key).alias("tweet_id"),
-        F.when(key % 4 == 1, "Photo").when(key % 4 == 2, "Photo\tVideo").alias("present_media"),
-        F.when(key % 10 == 0, _text("l", key % 90)).alias("present_links"),
-        F.when(key % 10 == 0, _text("d", key % 9)).alias("present_domains"),
-        F.when(priority == "1", "Retweet").when(priority == "2", "Quote").when(priority == "3", "Reply").otherwise("Toplevel").alias("tweet_type"),
-        _text("lang", key % 4).alias("language"),
-        (_epoch(F.col("o_orderdate")) + key * 37 % 86400).alias("tweet_timestamp"),
-    )
-    authored = tweets.join(_users(customer, "engaged_with"), F.col("o_custkey") == F.col("engaged_with_key"))
-    viewed = authored.join(pairs, F.col("o_orderkey") == F.col("l_orderkey")).join(
-        _users(customer, "engaging"), F.col("l_partkey") == F.col("engaging_key")
-    )
-
-    def label(offset: int, happened: Column) -> Column:
-        return F.when(happened, F.col("tweet_timestamp") + offset + F.col("k") % 7200)
-
-    k = F.col("k")
-    return viewed.withColumns(
-        {
-            "k": key * 31 + F.col("engaging_key") * 17,
-            "engagee_follows_engager": (F.col("engaged_with_key") + F.col("engaging_key")) % 3 == 0,
-        }
-    ).select(
-        *S.INPUT_COLUMNS,
-        label(60, k % 29 == 0).alias("reply_timestamp"),
-        label(120, k % 11 == 0).alias("retweet_timestamp"),
-        label(180, k % 97 == 0).alias("retweet_with_comment_timestamp"),
-        label(30, k % 5 < 2).alias("like_timestamp"),
+    orders, customer = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
+    pairs = _table(spark, sf_dir, "lineitem").distinct().hint("merge")
+    authors = customer.selectExpr(*_named(USER, "engaged_with_"))
+    viewers = customer.selectExpr(*_named(USER, "engaging_"))
+    tweets = orders.selectExpr("o_orderkey", "o_custkey", *_named(TWEET))
+    pairs_by_tweet = tweets.join(authors, tweets.o_custkey == authors.engaged_with_key).join(
+        pairs, tweets.o_orderkey == pairs.l_orderkey
     )
+    joined = pairs_by_tweet.join(viewers, pairs.l_partkey == viewers.engaging_key)
+    keyed = joined.selectExpr("*", "o_orderkey * 31 + engaging_key * 17 AS k")
+    return keyed.selectExpr(*[c for c in S.INPUT_COLUMNS if c not in PAIR], *_named(PAIR)).select(*S.ALL_COLUMNS)

@@ -42,6 +42,13 @@ def on_interactions(function: Callable[[DataFrame], DataFrame]) -> Callable[[Dat
     return function
 
 
+def on_stored_interactions(function: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """Register a query that scans its input several times: as in production,
+    the interaction table is stored first instead of derived again per scan."""
+    QUERIES[function.__name__] = lambda spark, sf_dir: function(durable(interactions(spark, sf_dir), "interactions"))
+    return function
+
+
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -287,18 +294,18 @@ def fixed_fold_metrics(df: DataFrame) -> DataFrame:
     return metrics.evaluate(tagged[0].unionByName(tagged[1]), ["fold", "split", "target"])
 
 
-@on_interactions
+@on_stored_interactions
 def fold_metrics(df):
     return rounded(fixed_fold_metrics(df), "ap", "rce")
 
 
-@on_interactions
+@on_stored_interactions
 def fold_summary(df):
     summary = metrics.fold_summary(fixed_fold_metrics(df))
     return rounded(summary, *[c for c in summary.columns if c not in ("split", "target")])
 
 
-@on_interactions
+@on_stored_interactions
 def mean_metrics(df):
     summary = metrics.mean_metrics(fixed_fold_metrics(df))
     return rounded(summary, *[c for c in summary.columns if c != "split"])
@@ -334,12 +341,12 @@ def hash_sample(df):
     return sampling.hash_sample(df, 0.1, 42).select(*S.KEYS, "tweet_timestamp")
 
 
-@on_interactions
+@on_stored_interactions
 def fold_train(df):
     return sampling.build_folds(df, PLAN).train.select("fold", *S.KEYS, "tweet_timestamp")
 
 
-@on_interactions
+@on_stored_interactions
 def fold_test(df):
     return sampling.build_folds(df, PLAN).test
 
@@ -360,7 +367,7 @@ def sample_generator_window(df):
     return sampling.generate_sample(df, sampling.SampleSpec(window=WINDOW)).select(*S.KEYS, "tweet_timestamp", *S.LABELS)
 
 
-@on_interactions
+@on_stored_interactions
 def positional_split(df):
     table = df.withColumn("retweet_with_comment", F.col("retweet_with_comment_timestamp").isNotNull())
     train, test = splits.positional_split(table.select(*S.KEYS, *S.MODEL_FEATURES, "retweet_with_comment"))
@@ -416,7 +423,7 @@ def drop_isolated(df):
     return graph.drop_isolated(graph.Graph(graph.vertices(df), quotes)).vertices
 
 
-@on_interactions
+@on_stored_interactions
 def components(df):
     built = graph.build_graph(df)
     return CC.connected_components(built.vertices, built.edges)
@@ -431,22 +438,22 @@ def typed_components(df: DataFrame) -> DataFrame:
     return CC.connected_components(graph.endpoints(typed), typed)
 
 
-@on_interactions
+@on_stored_interactions
 def components_by_type(df):
     return typed_components(df)
 
 
-@on_interactions
+@on_stored_interactions
 def component_stats(df):
     return rounded(CC.component_stats(typed_components(df)), "avg_vertices")
 
 
-@on_interactions
+@on_stored_interactions
 def degree_features(df):
     return graph.degree_features(df, graph.degrees(graph.edges(df)))
 
 
-@on_interactions
+@on_stored_interactions
 def graph_report(df):
     return rounded(pipelines.graph_report(df), "value")
 
@@ -459,7 +466,7 @@ def caches(spark: SparkSession, dataset: str) -> dict[str, FeatureCache]:
     return {"feature_cache": cache, "auxiliary_cache": cache}
 
 
-@on_interactions
+@on_stored_interactions
 def feature_assembly(df):
     enabled = [*S.MODEL_FEATURES, "binarize_timestamps", "engagement_degrees"]
     store = FeatureStore(df, enabled, ["engagement_graph"], **caches(df.sparkSession, "all"))
@@ -479,17 +486,17 @@ def extended_graph(df: DataFrame) -> dict[str, DataFrame]:
     return FeatureStore(filters.after(df, SPLIT), [], ["engagement_graph"], inference=True, **options).auxiliaries()
 
 
-@on_interactions
+@on_stored_interactions
 def auxiliary_extend(df):
     return extended_graph(df)["edges"]
 
 
-@on_interactions
+@on_stored_interactions
 def auxiliary_degrees(df):
     return extended_graph(df)["degrees"]
 
 
-@on_interactions
+@on_stored_interactions
 def row_contract_check(df):
     degrees = engagement_graph(df)["degrees"]
     return row_contract(df, graph.degree_features(df, degrees))
@@ -504,18 +511,17 @@ def gbt_train_predict(df):
     return TargetModels().fit(dataset).predict(dataset)
 
 
-@on_interactions
+@on_stored_interactions
 def batch_inference(df):
     spark = df.sparkSession
-    table = durable(df, "interactions")
-    directory, out = text_copy(table, False), scratch_path(spark, "results")
-    dataset = FeatureStore(filters.before(table, SPLIT), TargetModels().enabled).dataset()
+    directory, out = text_copy(df, False), scratch_path(spark, "results")
+    dataset = FeatureStore(filters.before(df, SPLIT), TargetModels().enabled).dataset()
     pipelines.batch_inference(spark, directory, TargetModels().fit(dataset), out)
     types = ", ".join([f"{k} string" for k in S.KEYS] + [f"`{t}` float" for t in S.TARGET_NAMES])
     return spark.read.schema(types).csv(out)
 
 
-@on_interactions
+@on_stored_interactions
 def cross_fold_eval(df):
     plan = sampling.FoldPlan(split=SPLIT, train_rows=10_000, test_rows=2_000, extra_rows=200, folds=2)
     folds = sampling.build_folds(df, plan)
