@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,12 +28,12 @@ def present(name: str, binarised: bool = False) -> Column:
 def any_label(binarised: bool = False) -> Column:
     """True for a positive sample. A plain OR of null tests, which the parquet
     reader accepts as a pushed filter (a ``coalesce`` would not be pushed)."""
-    return reduce(lambda a, b: a | b, [present(c, binarised) for c in S.LABELS])
+    return reduce(or_, [present(c, binarised) for c in S.LABELS])
 
 
 def no_label(binarised: bool = False) -> Column:
     """True for a negative sample: none of the four engagements happened."""
-    return reduce(lambda a, b: a & b, [~present(c, binarised) for c in S.LABELS])
+    return reduce(and_, [~present(c, binarised) for c in S.LABELS])
 
 
 def filled(column: Column) -> Column:

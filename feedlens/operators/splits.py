@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,13 +29,35 @@ def sort_by_key(df: DataFrame, keys: list[str] = S.KEYS) -> DataFrame:
     return df.orderBy(*[F.col(k).asc_nulls_last() for k in keys], F.xxhash64(*df.columns))
 
 
-def key_below(bound: Key, keys: list[str] = S.KEYS) -> Column:
-    """Key order comparison, spelled out so that parquet statistics can use it."""
+def _same(column: Column, value) -> Column:
+    return column.isNull() if value is None else column == F.lit(value)
+
+
+def _lexicographic(bound: Key, keys: list[str], step: Callable[[Column, object], Column]) -> Column:
+    """OR over the columns: all earlier ones equal the bound, this one differs.
+
+    Spelled out instead of comparing structs, so that the parquet reader can
+    skip row groups by it.
+    """
     terms = []
     for i, k in enumerate(keys):
-        equal = [F.col(p) == F.lit(b) for p, b in zip(keys[:i], bound)]
-        terms.append(reduce(lambda a, b: a & b, equal + [F.col(k) < F.lit(bound[i])]))
-    return F.coalesce(reduce(lambda a, b: a | b, terms), F.lit(False))
+        equal = [_same(F.col(p), b) for p, b in zip(keys[:i], bound)]
+        terms.append(reduce(and_, [*equal, step(F.col(k), bound[i])]))
+    return reduce(or_, terms)
+
+
+def key_below(bound: Key, keys: list[str] = S.KEYS) -> Column:
+    """Rows before ``bound`` in key order, where missing keys come last."""
+    return _lexicographic(bound, keys, lambda c, value: c.isNotNull() if value is None else c < F.lit(value))
+
+
+def key_above(bound: Key, keys: list[str] = S.KEYS) -> Column:
+    """Rows after ``bound`` in key order, where missing keys come last."""
+    return _lexicographic(bound, keys, lambda c, value: F.lit(False) if value is None else (c > F.lit(value)) | c.isNull())
+
+
+def key_equals(bound: Key, keys: list[str] = S.KEYS) -> Column:
+    return reduce(and_, [_same(F.col(k), v) for k, v in zip(keys, bound)])
 
 
 def _sampled_keys(df: DataFrame, keys: list[str], fraction: float, seed: int) -> list[tuple[Key, int]]:
@@ -58,7 +82,7 @@ def _keys_in_slice(part: DataFrame, positions: list[int], keys: list[str]) -> li
     order = [F.col(k).asc_nulls_last() for k in keys]
     running = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     counted = part.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("end", F.sum("n").over(running))
-    covers = reduce(lambda a, b: a | b, [(F.col("end") > p) & (F.col("end") - F.col("n") <= p) for p in positions])
+    covers = reduce(or_, [(F.col("end") > p) & (F.col("end") - F.col("n") <= p) for p in positions])
     rows = counted.where(covers).collect()
     return [tuple(r[k] for k in keys) for p in positions for r in rows if r["end"] - r["n"] <= p < r["end"]]
 
@@ -94,13 +118,12 @@ def _key_at(df: DataFrame, position: int, rows: int, keys: list[str], slice_rows
         target = (position - below) / size * sampled
         margin = 4 * math.sqrt(sampled) + 1
         ranks = (target - margin, target, target + margin)
-        bounds = [b for b in dict.fromkeys(_key_at_rank(sample, r) for r in ranks) if b and None not in b]
+        bounds = [b for b in dict.fromkeys(_key_at_rank(sample, r) for r in ranks) if b]
         if not bounds:
             break
-        equal = [reduce(lambda a, c: a & c, [F.col(k) == F.lit(v) for k, v in zip(keys, b)]) for b in bounds]
         counts = part.agg(
             *[F.count_if(key_below(b, keys)).alias(f"below{i}") for i, b in enumerate(bounds)],
-            *[F.count_if(e).alias(f"equal{i}") for i, e in enumerate(equal)],
+            *[F.count_if(key_equals(b, keys)).alias(f"equal{i}") for i, b in enumerate(bounds)],
         ).first()
         base = below
         for i, bound in enumerate(bounds):
@@ -111,7 +134,7 @@ def _key_at(df: DataFrame, position: int, rows: int, keys: list[str], slice_rows
             if position < start:
                 part, size = part.where(key_below(bound, keys)), start - below
                 break
-            part = part.where(~key_below(bound, keys) & ~F.coalesce(equal[i], F.lit(False)))
+            part = part.where(key_above(bound, keys))
             size, below = size - (end - below), end
     return _keys_in_slice(part, [position - below], keys)[0]
 
@@ -131,7 +154,12 @@ def positional_split(
     inner = [p for p in dict.fromkeys((train_end, test_start)) if 0 < p < rows]
     bounds = dict(zip(inner, keys_at(df, inner, rows, keys, **limits))) if inner else {}
 
-    def below(position: int) -> Column:
+    def first(position: int) -> Column:
         return key_below(bounds[position], keys) if position in bounds else F.lit(position >= rows)
 
-    return df.where(below(train_end)), df.where(~below(test_start))
+    def rest(position: int) -> Column:
+        if position not in bounds:
+            return F.lit(position < rows)
+        return key_above(bounds[position], keys) | key_equals(bounds[position], keys)
+
+    return df.where(first(train_end)), df.where(rest(test_start))

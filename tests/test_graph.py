@@ -1,0 +1,133 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from feedlens.operators import components as CC
+from feedlens.operators import graph
+
+
+def edge(src, dst, **columns):
+    return {"engaging_user_id": src, "engaged_with_user_id": dst, **columns}
+
+
+def union_find(vertices, edges):
+    parent = {v: v for v in vertices}
+
+    def find(v):
+        while parent[v] != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {v: find(v) for v in vertices}
+
+
+def test_vertices_are_distinct_rows(table):
+    df = table(
+        edge("u", "v", like_timestamp=1),
+        edge("u", "v", like_timestamp=2, tweet_id="t2"),
+        edge("u", "w", like_timestamp=3, engaging_user_follower_count=99, tweet_timestamp=2000),
+        edge("x", "y"),  # not engaged: not in the graph
+    )
+    rows = sorted((r["id"], r["follower_count"]) for r in graph.vertices(df).collect())
+    assert rows == [("u", 30), ("u", 99), ("v", 10), ("w", 10)]
+    latest = sorted((r["id"], r["follower_count"]) for r in graph.latest_vertices(df).collect())
+    assert latest == [("u", 99), ("v", 10), ("w", 10)]
+
+
+def test_edges_are_typed_and_parallel(table):
+    df = table(edge("u", "v", reply_timestamp=1, like_timestamp=4, retweet_timestamp=2, retweet_with_comment_timestamp=3), edge("u", "u", like_timestamp=9))
+    rows = sorted((r["src"], r["dst"], r["interaction_type"], r["interaction_timestamp"]) for r in graph.edges(df).collect())
+    assert rows == [("u", "u", 4, 9), ("u", "v", 1, 1), ("u", "v", 2, 2), ("u", "v", 3, 3), ("u", "v", 4, 4)]
+    assert tuple(graph.sizes(graph.build_graph(df)).first()) == (3, 5)  # u as author has other counts than u as viewer
+
+
+def test_degrees(table):
+    df = table(edge("u", "v", reply_timestamp=1, like_timestamp=4), edge("w", "v", like_timestamp=4), edge("v", "v", like_timestamp=5))
+    edges = graph.edges(df)
+    assert sorted(map(tuple, graph.in_degrees(edges).collect())) == [("v", 4)]
+    assert sorted(map(tuple, graph.out_degrees(edges).collect())) == [("u", 2), ("v", 1), ("w", 1)]
+    assert sorted(map(tuple, graph.degrees(edges).collect())) == [("u", 0, 2), ("v", 4, 1), ("w", 0, 1)]
+    summary = {r["direction"]: r for r in graph.degree_summary(edges).collect()}
+    assert summary["in_degree"]["min"] == 4 and summary["in_degree"]["stddev"] is None
+    assert summary["out_degree"]["avg"] == pytest.approx(4 / 3)
+    features = {r["tweet_id"]: r for r in graph.degree_features(df.where("engaging_user_id = 'u'"), graph.degrees(edges)).collect()}
+    assert (features["t1"]["engaged_with_user_in_degree"], features["t1"]["engaging_user_out_degree"]) == (4, 2)
+    unseen = graph.degree_features(table(edge("q", "r")), graph.degrees(edges)).first()
+    assert tuple(unseen)[2:] == (0, 0)
+    twice = graph.add_degrees(graph.degrees(edges), graph.degrees(edges))
+    assert sorted(map(tuple, twice.collect()))[1] == ("v", 8, 2)
+
+
+def test_degree_features_with_hot_users(interactions):
+    degrees = graph.degrees(graph.edges(interactions))
+    plain = graph.degree_features(interactions, degrees)
+    salted = graph.degree_features(interactions, degrees, min_rows=0, share=0.005, salts=4)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, salted.collect()))
+
+
+def test_isolated_vertices(spark):
+    vertices = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "id string")
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("d", "d")], "src string, dst string")
+    kept = graph.drop_isolated(graph.Graph(vertices, edges)).vertices
+    assert sorted(r["id"] for r in kept.collect()) == ["a", "b", "d"]
+
+
+def test_graph_can_be_persisted(table):
+    built = graph.build_graph(table(edge("u", "v", like_timestamp=1))).persist()
+    assert built.edges.is_cached and built.vertices.is_cached
+    built.unpersist()
+    assert not built.edges.is_cached
+
+
+def random_edges(n, m, seed):
+    rng = random.Random(seed)
+    return [(f"v{rng.randrange(n)}", f"v{rng.randrange(n)}") for _ in range(m)]
+
+
+SHAPES = {
+    "chain": [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)],
+    "shuffled chain": [(f"n{(i * 37) % 61:02d}", f"n{((i + 1) * 37) % 61:02d}") for i in range(60)],
+    "star with the largest id": [("z", f"n{i:03d}") for i in range(150)],
+    "star with the smallest id": [("a", f"n{i:03d}") for i in range(150)],
+    "two stars on a bridge": [("z", f"n{i}") for i in range(50)] + [("y", f"m{i}") for i in range(50)] + [("y", "z")],
+    "loops and copies": [("a", "a"), ("b", "c"), ("c", "b"), ("b", "c")],
+    "sparse": random_edges(200, 150, 3),
+    "nothing": [],
+}
+
+
+@pytest.mark.parametrize("shape", list(SHAPES))
+@pytest.mark.parametrize("options", [{}, {"min_rows": 0, "share": 0.05, "salts": 8}], ids=["plain", "salted"])
+def test_components_equal_union_find(spark, shape, options):
+    pairs = SHAPES[shape]
+    ids = sorted({v for pair in pairs for v in pair} | {"lonely"})
+    vertices = spark.createDataFrame([(v, len(v)) for v in ids], "id string, size int")
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    found = CC.connected_components(vertices, edges, **options)
+    assert found.columns == ["id", "size", "component"]
+    assert {r["id"]: r["component"] for r in found.collect()} == union_find(ids, pairs)
+
+
+def test_component_stats(spark):
+    df = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c")], "id string, component string")
+    assert tuple(CC.component_stats(df).first()) == (2, 1.5)
+    assert tuple(CC.component_stats(df.where("false")).first()) == (0, None)
+
+
+def test_duplicate_vertices_keep_their_rows(spark):
+    vertices = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "id string, n int")
+    edges = spark.createDataFrame([("b", "a")], "src string, dst string")
+    assert sorted(map(tuple, CC.connected_components(vertices, edges).collect())) == [("a", 1, "a"), ("a", 2, "a"), ("b", 1, "a")]
+
+
+def test_components_do_not_depend_on_partitions(interactions):
+    edges = graph.edges(interactions).where(F.col("interaction_type") == 1)
+    vertices = graph.endpoints(edges)
+    one = CC.connected_components(vertices, edges.coalesce(1)).collect()
+    many = CC.connected_components(vertices.repartition(5), edges.repartition(9)).collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, many))
