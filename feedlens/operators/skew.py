@@ -5,22 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A key is hot above this share of all rows, so at most 1000 keys are hot.
+#: A key is hot above this share of all rows, so about 1000 keys can be hot.
 HOT_SHARE = 1 / 1000
 #: Number of pieces a hot key is split into.
 SALTS = 512
 #: Below this row count a single task copes with any key.
 MIN_ROWS = 5_000_000
+#: Rows looked at to find the hot keys.
+SAMPLE_ROWS = 1_000_000
 
 
-def hot_keys(df: DataFrame, key: str, rows: int, share: float = HOT_SHARE) -> DataFrame:
-    """Keys that hold more than ``share`` of ``rows``: at most ``1/share`` rows.
+def hot_keys(df: DataFrame, key: str, rows: int, share: float = HOT_SHARE, sample_rows: int = SAMPLE_ROWS) -> list:
+    """Keys that hold more than about ``share`` of ``rows``.
 
-    Counts are combined on the map side, so the hot keys themselves shuffle as
-    one partial count per task.
+    Estimated from a sample, which at these shares finds every key that matters.
+    The length of the list is bounded by ``1/share`` whatever the data size. It
+    is fixed before the join is planned: both sides, and every retried task,
+    see the same list.
     """
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.where(F.col("_n") > share * rows).select(key)
+    fraction = min(1.0, sample_rows / max(rows, 1))
+    sample = df.select(key).where(F.col(key).isNotNull())
+    if fraction < 1:
+        sample = sample.sample(False, fraction, seed=0)
+    counts = sample.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return [row[key] for row in counts.where(F.col("n") > share * rows * fraction).collect()]
 
 
 def salted_lookup(
@@ -36,23 +44,20 @@ def salted_lookup(
 ) -> DataFrame:
     """Join ``left`` to ``right``, which holds each key once.
 
-    Rows of a hot key are spread over ``salts`` pieces by the hash of the
-    ``spread`` columns, and only the hot rows of ``right`` are repeated for
-    every piece. What is broadcast is the list of hot keys, whose length is
-    bounded by ``1/share`` whatever the data size. ``how`` is left, inner or
-    left_semi. Small inputs join directly.
+    Rows of a hot key, and rows without a key, are spread over ``salts`` pieces
+    by the hash of the ``spread`` columns; the hot rows of ``right`` are repeated
+    for every piece. Which keys are taken for hot affects the speed only: any
+    list gives the rows of the plain join. ``how`` is left, inner or left_semi.
+    Small inputs, and inputs without a hot key, join directly.
     """
     if rows is None:
         rows = left.count()
-    if rows < min_rows:
+    hot = hot_keys(left, key, rows, share) if rows >= min_rows else []
+    if not hot:
         return left.join(right, key, how)
-    hot = hot_keys(left, key, rows, share).withColumn("_hot", F.lit(True))
-    piece = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0).cast("long"))
-    pieces = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-    salted_left = left.join(F.broadcast(hot), key, "left").withColumn("_salt", piece).drop("_hot")
-    salted_right = (
-        right.join(F.broadcast(hot), key, "left")
-        .withColumn("_salt", F.explode(F.coalesce(pieces, F.array(F.lit(0).cast("long")))))
-        .drop("_hot")
-    )
+    is_hot = F.col(key).isin(hot)
+    piece = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
+    pieces = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    salted_left = left.withColumn("_salt", F.when(is_hot | F.col(key).isNull(), piece).otherwise(F.lit(0)))
+    salted_right = right.withColumn("_salt", F.explode(pieces))
     return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")

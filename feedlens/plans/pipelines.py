@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -11,68 +12,85 @@ from feedlens import schema as S
 from feedlens.operators import components, graph, metrics, profile, splits
 from feedlens.plans.feature_store import FeatureCache, FeatureStore
 from feedlens.plans.models import TargetModels
-from feedlens.sources.durable import durable
+from feedlens.sources.durable import durable, scratch_path
 from feedlens.sources.paths import dataset_fingerprint
 from feedlens.sources.readers import read_interactions, read_part_files
 from feedlens.sources.writers import write_predictions
 
 
 def train(
-    spark: SparkSession,
-    path: str,
-    model_path: str,
-    model: TargetModels | None = None,
-    cache_root: str | None = None,
-    auxiliaries: list[str] = (),
-    extra_features: list[str] = (),
+    spark: SparkSession, path: str, model_path: str, model: TargetModels | None = None, cache_root: str | None = None, params: dict | None = None
 ) -> TargetModels:
-    """Read labelled data, assemble features, fit all targets and save."""
+    """Read labelled data, assemble features, fit all targets and save.
+
+    With ``cache_root``, keyed features and auxiliaries are stored under the
+    fingerprint of the data; :func:`training_cache` finds them again.
+    """
     model = model or TargetModels()
-    cache = FeatureCache(cache_root, dataset_fingerprint(spark, path)) if cache_root else None
-    store = FeatureStore(
-        read_interactions(spark, path),
-        [*extra_features, *model.enabled],
-        auxiliaries,
-        feature_cache=cache,
-        auxiliary_cache=cache,
-    )
-    model.fit(store.dataset())
+    cache = training_cache(spark, path, cache_root) if cache_root else None
+    raw = read_interactions(spark, path)
+    store = FeatureStore(raw, model.enabled(), model.auxiliaries, feature_cache=cache, auxiliary_cache=cache)
+    model.fit(store.dataset(), None, params)
     model.save(model_path, spark)
     return model
 
 
-def score_unlabelled(
-    raw: DataFrame, model: TargetModels, auxiliaries: list[str] = (), auxiliary_cache: FeatureCache | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """Features and predictions of unlabelled rows."""
-    store = FeatureStore(raw, model.features, auxiliaries, auxiliary_cache=auxiliary_cache, inference=True)
-    features = store.dataset()
-    return features, model.predict(features)
+def training_cache(spark: SparkSession, path: str, cache_root: str) -> FeatureCache:
+    """Cache of one training dataset."""
+    return FeatureCache(cache_root, dataset_fingerprint(spark, path))
+
+
+def score_unlabelled(raw: DataFrame, model: TargetModels, auxiliary_cache: FeatureCache | None = None) -> DataFrame:
+    """Predictions for unlabelled rows.
+
+    Auxiliaries come from ``auxiliary_cache``, that of the training data, and
+    are extended by the new rows.
+    """
+    enabled = model.enabled(include_targets=False)
+    store = FeatureStore(raw, enabled, model.auxiliaries, auxiliary_cache=auxiliary_cache, inference=True)
+    return model.predict(store.dataset())
 
 
 def batch_inference(
-    spark: SparkSession, directory: str, model: TargetModels, out: str, single_file: bool = False
+    spark: SparkSession,
+    directory: str,
+    model: TargetModels,
+    out: str,
+    auxiliary_cache: FeatureCache | None = None,
+    single_file: bool = False,
 ) -> int:
     """Score every part file of a directory in one job; returns the row count.
 
-    The number of rows going in and coming out is observed during that job.
+    The number of predictions is observed while they are written and compared
+    with the number of input rows, which only takes a scan of line ends.
     """
-    read, written = Observation(), Observation()
-    raw = read_part_files(spark, directory).observe(read, F.count(F.lit(1)).alias("rows"))
-    _, predictions = score_unlabelled(raw, model)
+    written = Observation()
+    raw = read_part_files(spark, directory)
+    predictions = score_unlabelled(raw, model, auxiliary_cache)
     write_predictions(predictions.observe(written, F.count(F.lit(1)).alias("rows")), out, single_file)
-    if read.get["rows"] != written.get["rows"]:
-        raise ValueError(f"{read.get['rows']} rows read but {written.get['rows']} predictions written")
-    return written.get["rows"]
+    rows, scored = raw.count(), written.get["rows"]
+    if rows != scored:
+        raise ValueError(f"{rows} rows read but {scored} predictions written")
+    return scored
+
 
+def cross_fold_evaluation(
+    pairs: list[tuple[DataFrame, DataFrame]], params: dict | None = None, make_model: Callable[[], TargetModels] = TargetModels
+) -> DataFrame:
+    """``(fold, split, target, ap, rce)`` of a fresh model per train/test pair.
 
-def cross_fold_evaluation(pairs: list[tuple[DataFrame, DataFrame]], params: dict | None = None) -> DataFrame:
-    """``(fold, split, target, ap, rce)`` of a fresh model per train/test pair."""
+    Auxiliaries of the train side are stored and extended by the test side.
+    """
     results = []
     for fold, (train_raw, test_raw) in enumerate(pairs):
-        model = TargetModels()
-        train_set = durable(FeatureStore(train_raw, model.enabled).dataset(), "train")
-        test_set = durable(FeatureStore(test_raw, model.enabled, inference=True).dataset(), "test")
+        model = make_model()
+        cache = FeatureCache(scratch_path(train_raw.sparkSession, "fold"), "train")
+
+        def assemble(raw: DataFrame, inference: bool) -> DataFrame:
+            store = FeatureStore(raw, model.enabled(), model.auxiliaries, auxiliary_cache=cache, inference=inference)
+            return durable(store.dataset(), "fold")
+
+        train_set, test_set = assemble(train_raw, False), assemble(test_raw, True)
         model.fit(train_set, None, params)
         for split, dataset in (("train", train_set), ("test", test_set)):
             tags = [F.lit(fold).alias("fold"), F.lit(split).alias("split")]

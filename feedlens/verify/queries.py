@@ -507,7 +507,7 @@ def row_contract_check(df):
 
 @on_interactions
 def gbt_train_predict(df):
-    dataset = durable(FeatureStore(df, TargetModels().enabled).dataset(), "dataset")
+    dataset = durable(FeatureStore(df, TargetModels().enabled()).dataset(), "dataset")
     return TargetModels().fit(dataset).predict(dataset)
 
 
@@ -515,18 +515,33 @@ def gbt_train_predict(df):
 def batch_inference(df):
     spark = df.sparkSession
     directory, out = text_copy(df, False), scratch_path(spark, "results")
-    dataset = FeatureStore(filters.before(df, SPLIT), TargetModels().enabled).dataset()
+    dataset = FeatureStore(filters.before(df, SPLIT), TargetModels().enabled()).dataset()
     pipelines.batch_inference(spark, directory, TargetModels().fit(dataset), out)
     types = ", ".join([f"{k} string" for k in S.KEYS] + [f"`{t}` float" for t in S.TARGET_NAMES])
     return spark.read.schema(types).csv(out)
 
 
+def degree_model() -> TargetModels:
+    """Learns from the follower counts and the degrees in the graph."""
+    degrees = ["engaged_with_user_in_degree", "engaging_user_out_degree"]
+    return TargetModels([*S.MODEL_FEATURES, *degrees], extractors=[*S.MODEL_FEATURES, "engagement_degrees"], auxiliaries=["engagement_graph"])
+
+
+def stored_pairs(df: DataFrame, folds: int) -> list[tuple[DataFrame, DataFrame]]:
+    plan = sampling.FoldPlan(split=SPLIT, train_rows=10_000, test_rows=2_000, extra_rows=200, folds=folds)
+    built = sampling.build_folds(df, plan)
+    built = sampling.Folds(durable(built.train, "train"), durable(built.test, "test"))
+    return [built.pair(i) for i in range(folds)]
+
+
 @on_stored_interactions
 def cross_fold_eval(df):
-    plan = sampling.FoldPlan(split=SPLIT, train_rows=10_000, test_rows=2_000, extra_rows=200, folds=2)
-    folds = sampling.build_folds(df, plan)
-    folds = sampling.Folds(durable(folds.train, "train"), durable(folds.test, "test"))
-    return pipelines.cross_fold_evaluation([folds.pair(i) for i in range(plan.folds)])
+    return pipelines.cross_fold_evaluation(stored_pairs(df, 2))
+
+
+@on_stored_interactions
+def cross_fold_eval_with_degrees(df):
+    return pipelines.cross_fold_evaluation(stored_pairs(df, 1), make_model=degree_model)
 
 
 @on_interactions

@@ -264,6 +264,17 @@ def test_hot_key_is_spread_over_partitions(spark):
 
 
 def test_number_of_hot_keys_is_bounded(spark):
-    df = spark.range(1000).selectExpr("cast(id % 5 AS string) AS k")
-    assert skew.hot_keys(df, "k", 1000, share=0.1).count() == 5
-    assert skew.hot_keys(df, "k", 1000, share=0.2).count() == 0
+    df = spark.range(1000).selectExpr("if(id < 5, null, cast(id % 5 AS string)) AS k")
+    assert sorted(skew.hot_keys(df, "k", 1000, share=0.1)) == ["0", "1", "2", "3", "4"]
+    assert skew.hot_keys(df, "k", 1000, share=0.2) == []
+    assert len(skew.hot_keys(df, "k", 1000, share=0.1, sample_rows=500)) == 5
+
+
+def test_a_wrong_list_of_hot_keys_changes_nothing(spark, monkeypatch):
+    left = spark.range(300).selectExpr("concat('k', id % 30) AS k", "id AS v")
+    right = spark.range(40).selectExpr("concat('k', id) AS k", "id AS w")
+    expected = sorted(map(tuple, left.join(right, "k", "left").collect()))
+    for hot in (["k1"], ["k1", "k99"], [f"k{i}" for i in range(30)]):
+        monkeypatch.setattr(skew, "hot_keys", lambda *args: hot)
+        found = skew.salted_lookup(left, right, "k", ["v"], min_rows=0, salts=5)
+        assert sorted(map(tuple, found.collect())) == expected

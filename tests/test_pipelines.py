@@ -10,6 +10,7 @@ from feedlens.plans.feature_store import FeatureStore
 from feedlens.plans.models import TargetModels, score_batches
 from feedlens.sources import readers, writers
 from feedlens.sources.durable import durable
+from feedlens.verify.queries import degree_model
 
 FAST = {"maxIter": 2, "maxDepth": 2}
 
@@ -85,9 +86,7 @@ def test_batch_scoring_with_any_function(dataset):
 
 def test_train_then_infer_over_all_part_files(spark, interactions, tmp_path):
     interactions.write.parquet(str(tmp_path / "train.parquet"))
-    model = TargetModels()
-    model.fit = lambda train, valid=None, params=None: TargetModels.fit(model, train, valid, FAST)
-    pipelines.train(spark, str(tmp_path / "train.parquet"), str(tmp_path / "model"), model, str(tmp_path / "cache"))
+    pipelines.train(spark, str(tmp_path / "train.parquet"), str(tmp_path / "model"), params=FAST)
     loaded = TargetModels().load_pretrained(spark, str(tmp_path / "model"))
 
     writers.write_delimited(projections.file_order(interactions, False).repartition(5), str(tmp_path / "in"))
@@ -97,12 +96,21 @@ def test_train_then_infer_over_all_part_files(spark, interactions, tmp_path):
     assert len(first) == 6 and first[0].startswith("t") and 0 <= float(first[2]) <= 1
 
 
-def test_training_on_graph_features(interactions):
-    degrees = ["engaged_with_user_in_degree", "engaging_user_out_degree"]
-    enabled = [*S.MODEL_FEATURES, "binarize_timestamps", "engagement_degrees"]
-    table = durable(FeatureStore(interactions, enabled, ["engagement_graph"]).dataset(), "dataset")
-    model = TargetModels([*S.MODEL_FEATURES, *degrees]).fit(table, None, FAST)
-    assert model.predict(table).count() == interactions.count()
+def test_graph_features_from_training_to_inference(spark, interactions, tmp_path):
+    path, root = str(tmp_path / "train.parquet"), str(tmp_path / "cache")
+    interactions.write.parquet(path)
+    pipelines.train(spark, path, str(tmp_path / "model"), degree_model(), root, FAST)
+    loaded = TargetModels().load_pretrained(spark, str(tmp_path / "model"))
+    assert loaded.features[-1] == "engaging_user_out_degree" and loaded.auxiliaries == ["engagement_graph"]
+    cache = pipelines.training_cache(spark, path, root)
+    unlabelled = interactions.withColumns({c: F.lit(None).cast("long") for c in S.LABELS})
+    assert pipelines.score_unlabelled(unlabelled, loaded, cache).count() == interactions.count()
+
+
+def test_cross_fold_with_auxiliaries(interactions):
+    pair = sampling.build_folds(interactions, sampling.FoldPlan(split=893137754, train_rows=1000, test_rows=400, folds=1)).pair(0)
+    rows = pipelines.cross_fold_evaluation([pair], FAST, degree_model).collect()
+    assert len(rows) == 8 and all(r["ap"] is not None for r in rows if r["target"] == "like")
 
 
 def test_cross_fold_evaluation_and_summary(interactions):

@@ -86,7 +86,7 @@ def test_draw_happens_before_the_shuffle_of_the_folds(stored):
 
 
 def test_registered_names_match():
-    without_sql = {"bernoulli_sample", "gbt_train_predict", "batch_inference", "cross_fold_eval", "differential_check"}
+    without_sql = {"bernoulli_sample", "gbt_train_predict", "batch_inference", "cross_fold_eval", "cross_fold_eval_with_degrees", "differential_check"}
     assert set(QUERIES) - set(ORACLES) == without_sql
     assert set(ORACLES) <= set(QUERIES)
 
