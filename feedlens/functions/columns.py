@@ -82,19 +82,27 @@ def hour_start(seconds: Column) -> Column:
     return F.floor(seconds / 3600) * 3600
 
 
-def in_hash_sample(fraction: float, seed: int, keys: list[str] = S.KEYS) -> Column:
-    """Reproducible Bernoulli draw by row key.
+def hash_bits(seed: Column, keys: list[str] = S.KEYS) -> Column:
+    """First 32 bits of ``md5(key|…|seed)`` as eight hexadecimal digits."""
+    return F.substring(F.md5(F.concat_ws("|", *[F.col(k) for k in keys], seed.cast("string"))), 1, 8)
+
 
-    Keeps a row when the first 32 bits of ``md5(key|…|seed)`` lie below
-    ``fraction * 2**32``. The bits are compared as fixed-width hexadecimal text
-    (same order as the numbers), which saves a conversion per row. The draw
-    depends on key and seed only, so it survives repartitioning and retries.
+def hash_bound(fraction: float) -> str:
+    """Digits that the bits of a kept row stay below.
+
+    Fixed-width digits order like the numbers, which saves a conversion per
+    row. "g" follows every digit and keeps all rows.
     """
     bound = max(0, math.ceil(fraction * 2**32))
-    if bound >= 2**32:
-        return F.lit(True)
-    parts = [F.col(k) for k in keys] + [F.lit(str(seed))]
-    return F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8) < F.lit(f"{bound:08x}")
+    return "g" if bound >= 2**32 else f"{bound:08x}"
+
+
+def in_hash_sample(fraction: float, seed: int, keys: list[str] = S.KEYS) -> Column:
+    """Reproducible Bernoulli draw by row key: bits below ``fraction * 2**32``.
+
+    Depends on key and seed only, so it survives repartitioning and retries.
+    """
+    return hash_bits(F.lit(seed), keys) < F.lit(hash_bound(fraction))
 
 
 #: Scores closer than this to 0 or 1 are clipped before taking logarithms.

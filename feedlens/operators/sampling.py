@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedlens import schema as S
-from feedlens.functions.columns import in_hash_sample
+from feedlens.functions.columns import hash_bits, hash_bound, in_hash_sample
 from feedlens.operators import filters, projections
+from feedlens.sources.durable import durable
 from feedlens.sources.readers import cast_fields
 from feedlens.sources.writers import write_fold, write_sample
 
@@ -47,9 +48,10 @@ class FoldPlan:
     extra_seed: int = 466
 
 
-def _per_fold(df: DataFrame, entries: list[Column]) -> DataFrame:
-    """One copy of a row for every non-null ``(fold, …)`` entry; a single scan."""
-    return df.select(F.inline(F.array_compact(F.array(*entries))), *df.columns)
+def _per_fold(df: DataFrame, folds: int) -> DataFrame:
+    """Every row once per fold. Meant to be filtered by a draw right away: both
+    steps run in one generated loop, so only drawn copies are materialised."""
+    return df.select(F.explode(F.array(*[F.lit(i) for i in range(folds)])).alias("fold"), *df.columns)
 
 
 @dataclass(frozen=True)
@@ -71,48 +73,38 @@ def build_folds(df: DataFrame, plan: FoldPlan) -> Folds:
     user; duplicates between both draws are removed.
 
     All folds and both draws share one scan per side. A draw is a filter on the
-    row key, so it runs before the user lookup and only drawn rows are shuffled; the number of
-    eligible rows, which the test fraction needs, comes from rows combined per
-    user. Only two totals and one number per fold reach the driver.
+    row key, so it runs before the user lookup and only drawn rows are shuffled;
+    the number of eligible rows, which the test fraction needs, comes from rows
+    combined per user. The train samples are stored, as their users are needed
+    twice. Only two totals and one number per fold reach the driver.
     """
-    ts = F.col("tweet_timestamp")
+    ts, fold = F.col("tweet_timestamp"), F.col("fold")
     totals = df.agg(F.count_if(ts < plan.split).alias("train"), F.count_if(ts > plan.split).alias("test")).first()
-    later = filters.after(df, plan.split)
-
-    train_fraction = fraction_for(plan.train_rows, totals["train"])
-    drawn = [
-        F.when(in_hash_sample(train_fraction, plan.train_seed + plan.seed + i), F.struct(F.lit(i).alias("fold")))
-        for i in range(plan.folds)
-    ]
-    train = _per_fold(filters.before(df, plan.split), drawn)
+    earlier, later = filters.before(df, plan.split), filters.after(df, plan.split)
+
+    bound = hash_bound(fraction_for(plan.train_rows, totals["train"]))
+    drawn = _per_fold(earlier, plan.folds).where(hash_bits(fold + plan.train_seed + plan.seed) < bound)
+    train = durable(drawn, "train")
     users = train.select("fold", "engaging_user_id").distinct()
 
     per_user = later.groupBy("engaging_user_id").agg(F.count(F.lit(1)).alias("n"))
     eligible = per_user.join(users, "engaging_user_id").groupBy("fold").agg(F.sum("n").alias("n")).collect()
-    eligible_rows = {row["fold"]: row["n"] for row in eligible}
-    extra_fraction = fraction_for(plan.extra_rows, totals["test"])
-
-    drawn = []
-    for i in range(plan.folds):
-        test_fraction = fraction_for(plan.test_rows, eligible_rows.get(i, 0))
-        sampled = in_hash_sample(test_fraction, plan.test_seed + plan.seed + i)
-        extra = in_hash_sample(extra_fraction, plan.extra_seed + plan.seed + i)
-        drawn.append(F.when(sampled | extra, F.struct(F.lit(i).alias("fold"), sampled.alias("_sampled"), extra.alias("_extra"))))
+    sizes = {row["fold"]: row["n"] for row in eligible}
+    bounds = [hash_bound(fraction_for(plan.test_rows, sizes.get(i, 0))) for i in range(plan.folds)]
+
+    in_test = hash_bits(fold + plan.test_seed + plan.seed) < F.element_at(F.array(*map(F.lit, bounds)), fold + 1)
+    extra_bound = hash_bound(fraction_for(plan.extra_rows, totals["test"]))
+    in_extra = hash_bits(fold + plan.extra_seed + plan.seed) < extra_bound
+    candidates = _per_fold(later, plan.folds).where(in_test | in_extra)
     known = users.withColumn("_known", F.lit(True))
-    candidates = _per_fold(later, drawn).join(known, ["fold", "engaging_user_id"], "left")
-    test = candidates.where(F.col("_extra") | (F.col("_sampled") & F.col("_known")))
+    test = candidates.join(known, ["fold", "engaging_user_id"], "left").where((in_test & F.col("_known")) | in_extra)
     return Folds(train, test.select("fold", *df.columns).distinct())
 
 
 def write_folds(folds: Folds, plan: FoldPlan, root: str, single_file: bool = False) -> list[tuple[str, str]]:
     """Store every pair as text; returns the paths per fold."""
-    train, test = folds.train.persist(), folds.test.persist()
-    try:
-        kept = Folds(train, test)
-        return [write_fold(*kept.pair(i), root, i, single_file) for i in range(plan.folds)]
-    finally:
-        train.unpersist()
-        test.unpersist()
+    stored = Folds(folds.train, durable(folds.test, "test"))
+    return [write_fold(*stored.pair(i), root, i, single_file) for i in range(plan.folds)]
 
 
 @dataclass(frozen=True)

@@ -25,6 +25,12 @@ def subdirectories(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(location) if s.isDirectory())
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a file or directory, if it is there."""
+    location, fs = _locate(spark, path)
+    fs.delete(location, True)
+
+
 def clear_directory(spark: SparkSession, path: str) -> None:
     """Remove the contents of a cache directory; dotfiles and the directory stay."""
     location, fs = _locate(spark, path)

@@ -530,7 +530,7 @@ def degree_model() -> TargetModels:
 def stored_pairs(df: DataFrame, folds: int) -> list[tuple[DataFrame, DataFrame]]:
     plan = sampling.FoldPlan(split=SPLIT, train_rows=10_000, test_rows=2_000, extra_rows=200, folds=folds)
     built = sampling.build_folds(df, plan)
-    built = sampling.Folds(durable(built.train, "train"), durable(built.test, "test"))
+    built = sampling.Folds(built.train, durable(built.test, "test"))
     return [built.pair(i) for i in range(folds)]
 
 

@@ -174,6 +174,15 @@ def test_durable_uses_the_configured_folder(spark):
     assert df.count() == 5
 
 
+def test_scratch_tables_can_be_released(spark, monkeypatch):
+    monkeypatch.setattr(durable, "_handed_out", [])
+    df = durable.durable(spark.range(3), "numbers")
+    directory = os.path.dirname(df.inputFiles()[0].removeprefix("file://"))
+    assert os.path.isdir(directory)
+    durable.release_scratch(spark)
+    assert not os.path.exists(directory) and os.path.isdir(os.path.dirname(directory))
+
+
 def test_durable_refuses_a_machine_folder_on_a_cluster():
     class Context:
         master = "yarn"
