@@ -97,22 +97,26 @@ SHAPES = {
     "two stars on a bridge": [("z", f"n{i}") for i in range(50)] + [("y", f"m{i}") for i in range(50)] + [("y", "z")],
     "loops and copies": [("a", "a"), ("b", "c"), ("c", "b"), ("b", "c")],
     "sparse": random_edges(200, 150, 3),
-    "nothing": [],
 }
 
 
-@pytest.mark.parametrize("shape", list(SHAPES))
-@pytest.mark.parametrize("options", [{}, {"min_rows": 0, "share": 0.05, "salts": 8}], ids=["plain", "salted"])
-def test_components_equal_union_find(spark, shape, options):
-    pairs = SHAPES[shape]
+@pytest.mark.parametrize("options", [{}, {"min_rows": 0, "share": 0.02, "salts": 8}], ids=["plain", "salted"])
+def test_components_equal_union_find(spark, options):
+    """All shapes as parts of one graph, and a vertex without edges."""
+    pairs = [(f"{shape}/{a}", f"{shape}/{b}") for shape, edges in SHAPES.items() for a, b in edges]
     ids = sorted({v for pair in pairs for v in pair} | {"lonely"})
     vertices = spark.createDataFrame([(v, len(v)) for v in ids], "id string, size int")
-    edges = spark.createDataFrame(pairs, "src string, dst string")
-    found = CC.connected_components(vertices, edges, **options)
+    found = CC.connected_components(vertices, spark.createDataFrame(pairs, "src string, dst string"), **options)
     assert found.columns == ["id", "size", "component"]
     assert {r["id"]: r["component"] for r in found.collect()} == union_find(ids, pairs)
 
 
+def test_graph_without_edges(spark):
+    vertices = spark.createDataFrame([("a",), ("b",)], "id string")
+    edges = spark.createDataFrame([], "src string, dst string")
+    assert sorted(map(tuple, CC.connected_components(vertices, edges).collect())) == [("a", "a"), ("b", "b")]
+
+
 def test_component_stats(spark):
     df = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c")], "id string, component string")
     assert tuple(CC.component_stats(df).first()) == (2, 1.5)

@@ -64,7 +64,8 @@ def test_raw_lines_equal_the_text_scan(spark, table, tmp_path):
     writers.write_delimited(df, str(tmp_path / "d"))
     named = readers.name_fields(readers.read_raw_fields(spark, str(tmp_path / "d")))
     assert named.schema.simpleString().count("string") == 24
-    assert sorted(readers.cast_fields(named).collect()) == sorted(readers.read_delimited(spark, str(tmp_path / "d")).collect())
+    typed = readers.read_delimited(spark, str(tmp_path / "d"))
+    assert sorted(readers.cast_fields(named).collect(), key=str) == sorted(typed.collect(), key=str)
 
 
 def test_outer_blanks_of_raw_lines_are_trimmed(spark, tmp_path):
@@ -170,7 +171,7 @@ def test_clear_directory_keeps_dotfiles(spark, tmp_path):
 
 def test_durable_uses_the_configured_folder(spark):
     df = durable.durable(spark.range(5), "numbers")
-    assert df.inputFiles()[0].removeprefix("file:").startswith("/" + spark.conf.get("spark.checkpoint.dir").lstrip("/"))
+    assert df.inputFiles()[0].removeprefix("file://").startswith(spark.conf.get("spark.checkpoint.dir") + "/")
     assert df.count() == 5
 
 
