@@ -59,6 +59,19 @@ def test_labels_are_not_features(model, dataset):
     assert model.predict(unlabelled).count() == 400
 
 
+def test_missing_feature_values_are_a_value_of_their_own(dataset):
+    """Missing exactly where the label is set: the trees have to see it."""
+    holes = dataset.withColumn("engaging_user_follower_count", F.expr("if(like, null, engaging_user_follower_count)"))
+    holes = holes.withColumn("engaged_with_user_follower_count", F.expr("cast('NaN' AS double)"))
+    model = TargetModels(targets=["like"]).fit(holes, None, FAST)
+    assert model.evaluate(holes).first()["ap"] == pytest.approx(1.0)
+
+
+def test_training_on_nothing_gives_constants(dataset):
+    model = TargetModels().fit(dataset.where("false"))
+    assert model.constants == dict.fromkeys(S.TARGET_NAMES, 0.0) and model.predict(dataset).count() == 400
+
+
 def test_evaluation(model, dataset):
     found = {r["target"]: r for r in model.evaluate(dataset).collect()}
     assert found["like"]["ap"] > 0.99 and found["like"]["rce"] > 0
