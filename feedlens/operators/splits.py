@@ -119,8 +119,8 @@ def _key_at(df: DataFrame, position: int, rows: int, keys: list[str], slice_rows
         margin = 4 * math.sqrt(sampled) + 1
         ranks = (target - margin, target, target + margin)
         bounds = [b for b in dict.fromkeys(_key_at_rank(sample, r) for r in ranks) if b]
-        if not bounds:
-            break
+        if not bounds:  # an empty sample: draw another one
+            continue
         counts = part.agg(
             *[F.count_if(key_below(b, keys)).alias(f"below{i}") for i, b in enumerate(bounds)],
             *[F.count_if(key_equals(b, keys)).alias(f"equal{i}") for i, b in enumerate(bounds)],

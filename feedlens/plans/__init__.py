@@ -1 +1 @@
-"""Feature store, models and end-to-end pipelines."""
+"""Feature store, models and end-to-end jobs."""

@@ -1,8 +1,8 @@
 """Sinks: features, auxiliaries, predictions, samples and folds.
 
-All writers keep one file per task. ``single_file`` merges small outputs on
-request: the work before the sink stays parallel, only the writing runs in one
-task, so it is never the default.
+All writers keep one file per task. ``single_file`` merges a small output on
+request: the work before the sink stays parallel and one task writes. An output
+too large for that is refused.
 """
 
 from __future__ import annotations
@@ -11,9 +11,17 @@ from pyspark.sql import DataFrame
 
 from feedlens import schema as S
 
+#: Largest output that one task may write.
+SINGLE_FILE_ROWS = 5_000_000
+
 
 def _files(df: DataFrame, single_file: bool) -> DataFrame:
-    return df.repartition(1) if single_file else df
+    if not single_file:
+        return df
+    rows = df.count()
+    if rows > SINGLE_FILE_ROWS:
+        raise ValueError(f"{rows} rows are too many for a single file, the limit is {SINGLE_FILE_ROWS}")
+    return df.repartition(1)
 
 
 def write_feature(df: DataFrame, path: str, names: list[str]) -> None:

@@ -13,7 +13,7 @@ from feedlens import schema as S
 from feedlens.functions.columns import follower_score
 from feedlens.operators import components as CC
 from feedlens.operators import filters, graph, metrics, profile, projections, sampling, splits
-from feedlens.plans import pipelines
+from feedlens.plans import jobs
 from feedlens.plans.extractors import engagement_graph
 from feedlens.plans.feature_store import FeatureCache, FeatureStore, concat_features, row_contract
 from feedlens.plans.models import TargetModels, score_batches
@@ -274,12 +274,12 @@ def average_precision_by_language(df):
     return rounded(metrics.average_precision(fixed_long(df, ["language"]), by, scores_per_range=20_000), "ap")
 
 
-@on_interactions
+@on_stored_interactions
 def predictions_joined(df):
     return metrics.join_predictions(fixed_predictions(df), projections.binarize_targets(df))
 
 
-@on_interactions
+@on_stored_interactions
 def evaluate_all(df):
     joined = metrics.join_predictions(fixed_predictions(df), projections.binarize_targets(df))
     return rounded(metrics.evaluate(metrics.to_long(joined)), "ap", "rce")
@@ -455,7 +455,7 @@ def degree_features(df):
 
 @on_stored_interactions
 def graph_report(df):
-    return rounded(pipelines.graph_report(df), "value")
+    return rounded(jobs.graph_report(df), "value")
 
 
 # -- feature store ----------------------------------------------------------
@@ -473,7 +473,7 @@ def feature_assembly(df):
     return store.dataset(ordered=True)
 
 
-@on_interactions
+@on_stored_interactions
 def feature_concat(df):
     delays = {f"{t}_delay": F.col(label) - F.col("tweet_timestamp") for t, label in S.TARGETS.items()}
     return concat_features([projections.binarize_targets(df), df.select(*S.KEYS, *[c.alias(n) for n, c in delays.items()])])
@@ -502,7 +502,7 @@ def row_contract_check(df):
     return row_contract(df, graph.degree_features(df, degrees))
 
 
-# -- models and pipelines ---------------------------------------------------
+# -- models and jobs --------------------------------------------------------
 
 
 @on_interactions
@@ -516,7 +516,7 @@ def batch_inference(df):
     spark = df.sparkSession
     directory, out = text_copy(df, False), scratch_path(spark, "results")
     dataset = FeatureStore(filters.before(df, SPLIT), TargetModels().enabled()).dataset()
-    pipelines.batch_inference(spark, directory, TargetModels().fit(dataset), out)
+    jobs.batch_inference(spark, directory, TargetModels().fit(dataset), out)
     types = ", ".join([f"{k} string" for k in S.KEYS] + [f"`{t}` float" for t in S.TARGET_NAMES])
     return spark.read.schema(types).csv(out)
 
@@ -536,17 +536,17 @@ def stored_pairs(df: DataFrame, folds: int) -> list[tuple[DataFrame, DataFrame]]
 
 @on_stored_interactions
 def cross_fold_eval(df):
-    return pipelines.cross_fold_evaluation(stored_pairs(df, 2))
+    return jobs.cross_fold_evaluation(stored_pairs(df, 2))
 
 
 @on_stored_interactions
 def cross_fold_eval_with_degrees(df):
-    return pipelines.cross_fold_evaluation(stored_pairs(df, 1), make_model=degree_model)
+    return jobs.cross_fold_evaluation(stored_pairs(df, 1), make_model=degree_model)
 
 
 @on_interactions
 def differential_check(df):
-    return pipelines.differential_check(df)
+    return jobs.differential_check(df)
 
 
 # -- streaming --------------------------------------------------------------

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from feedlens import schema as S
 from feedlens.operators import projections, sampling
-from feedlens.plans import pipelines
+from feedlens.plans import jobs
 from feedlens.plans.feature_store import FeatureStore
 from feedlens.plans.models import TargetModels, score_batches
 from feedlens.sources import readers, writers
@@ -99,11 +99,11 @@ def test_batch_scoring_with_any_function(dataset):
 
 def test_train_then_infer_over_all_part_files(spark, interactions, tmp_path):
     interactions.write.parquet(str(tmp_path / "train.parquet"))
-    pipelines.train(spark, str(tmp_path / "train.parquet"), str(tmp_path / "model"), params=FAST)
+    jobs.train(spark, str(tmp_path / "train.parquet"), str(tmp_path / "model"), params=FAST)
     loaded = TargetModels().load_pretrained(spark, str(tmp_path / "model"))
 
     writers.write_delimited(projections.file_order(interactions, False).repartition(5), str(tmp_path / "in"))
-    rows = pipelines.batch_inference(spark, str(tmp_path / "in"), loaded, str(tmp_path / "out"))
+    rows = jobs.batch_inference(spark, str(tmp_path / "in"), loaded, str(tmp_path / "out"))
     assert rows == interactions.count() == spark.read.text(str(tmp_path / "out")).count()
     first = spark.read.csv(str(tmp_path / "out")).first()
     assert len(first) == 6 and first[0].startswith("t") and 0 <= float(first[2]) <= 1
@@ -112,40 +112,40 @@ def test_train_then_infer_over_all_part_files(spark, interactions, tmp_path):
 def test_graph_features_from_training_to_inference(spark, interactions, tmp_path):
     path, root = str(tmp_path / "train.parquet"), str(tmp_path / "cache")
     interactions.write.parquet(path)
-    pipelines.train(spark, path, str(tmp_path / "model"), degree_model(), root, FAST)
+    jobs.train(spark, path, str(tmp_path / "model"), degree_model(), root, FAST)
     loaded = TargetModels().load_pretrained(spark, str(tmp_path / "model"))
     assert loaded.features[-1] == "engaging_user_out_degree" and loaded.auxiliaries == ["engagement_graph"]
-    cache = pipelines.training_cache(spark, path, root)
+    cache = jobs.training_cache(spark, path, root)
     unlabelled = interactions.withColumns({c: F.lit(None).cast("long") for c in S.LABELS})
-    assert pipelines.score_unlabelled(unlabelled, loaded, cache).count() == interactions.count()
+    assert jobs.score_unlabelled(unlabelled, loaded, cache).count() == interactions.count()
 
 
 def test_cross_fold_with_auxiliaries(interactions):
     pair = sampling.build_folds(interactions, sampling.FoldPlan(split=893137754, train_rows=1000, test_rows=400, folds=1)).pair(0)
-    rows = pipelines.cross_fold_evaluation([pair], FAST, degree_model).collect()
+    rows = jobs.cross_fold_evaluation([pair], FAST, degree_model).collect()
     assert len(rows) == 8 and all(r["ap"] is not None for r in rows if r["target"] == "like")
 
 
 def test_cross_fold_evaluation_and_summary(interactions):
     plan = sampling.FoldPlan(split=893137754, train_rows=1500, test_rows=600, extra_rows=50, folds=2)
     folds = sampling.build_folds(interactions, plan)
-    rows = durable(pipelines.cross_fold_evaluation([folds.pair(i) for i in range(2)], FAST))
+    rows = durable(jobs.cross_fold_evaluation([folds.pair(i) for i in range(2)], FAST))
     assert rows.count() == 16
     assert {(r["fold"], r["split"]) for r in rows.collect()} == {(f, s) for f in (0, 1) for s in ("train", "test")}
-    per_target, overall = pipelines.metric_report(rows)
+    per_target, overall = jobs.metric_report(rows)
     assert per_target.count() == 8 and {r["split"] for r in overall.collect()} == {"train", "test"}
 
 
 def test_differential_check(interactions):
-    row = pipelines.differential_check(interactions, "like", FAST).first()
+    row = jobs.differential_check(interactions, "like", FAST).first()
     assert row["target"] == "like" and 0.2 < row["ap"] < 0.8
 
 
 def test_reports(interactions):
-    report = pipelines.stationarity_report(interactions, 31, top=3)
+    report = jobs.stationarity_report(interactions, 31, top=3)
     assert report["top"].count() == 3 and report["series"].columns == ["date", "reply", "rt", "rt_com", "like"]
     assert report["complete"].first()["groups"] == report["counts"].count()
-    values = {r["statistic"]: r["value"] for r in pipelines.graph_report(interactions).collect()}
+    values = {r["statistic"]: r["value"] for r in jobs.graph_report(interactions).collect()}
     assert values["n_vertices"] == values["n_not_isolated"] and values["n_components"] == 1
     assert values["in_degree_min"] >= 1
 

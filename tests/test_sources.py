@@ -124,6 +124,12 @@ def test_single_file_is_an_option(spark, tmp_path):
     assert len(first.read_text().splitlines()) == 100 and "tweet_id" not in first.read_text()
 
 
+def test_large_output_is_not_squeezed_into_one_file(spark, table, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "SINGLE_FILE_ROWS", 1)
+    with pytest.raises(ValueError, match="too many"):
+        writers.write_delimited(table({}, {"tweet_id": "t2"}), str(tmp_path / "d"), single_file=True)
+
+
 def test_sample_directory_name():
     assert writers.sample_directory(200_000, 747_694_282) == "sample_0.0003"
     assert writers.sample_directory(0, 0) == "sample_0.0000"
