@@ -117,8 +117,10 @@ def drop_isolated(graph: Graph) -> Graph:
     return Graph(graph.vertices.join(endpoints(graph.edges), "id", "left_semi"), graph.edges)
 
 
-def degree_features(df: DataFrame, degree_table: DataFrame, rows: int | None = None, **skew) -> DataFrame:
-    """Row key plus in-degree of the author and out-degree of the viewer.
+def degree_features(
+    df: DataFrame, degree_table: DataFrame, rows: int | None = None, keep: list[str] = S.KEYS, **skew
+) -> DataFrame:
+    """``keep`` columns plus in-degree of the author and out-degree of the viewer.
 
     Users without an edge get 0. Celebrities make both lookups skewed, so hot
     users are split over several tasks.
@@ -127,11 +129,11 @@ def degree_features(df: DataFrame, degree_table: DataFrame, rows: int | None = N
         rows = df.count()
     authors = degree_table.select(F.col("id").alias("engaged_with_user_id"), F.col("in_degree").alias("_in"))
     viewers = degree_table.select(F.col("id").alias("engaging_user_id"), F.col("out_degree").alias("_out"))
-    slim = df.select(*S.KEYS, "engaged_with_user_id")
-    joined = salted_lookup(slim, authors, "engaged_with_user_id", S.KEYS, "left", rows, **skew)
+    joined = df.select(*dict.fromkeys([*keep, *S.KEYS, "engaged_with_user_id"]))
+    joined = salted_lookup(joined, authors, "engaged_with_user_id", S.KEYS, "left", rows, **skew)
     joined = salted_lookup(joined, viewers, "engaging_user_id", ["tweet_id"], "left", rows, **skew)
     return joined.select(
-        *S.KEYS,
+        *keep,
         F.coalesce("_in", F.lit(0)).alias("engaged_with_user_in_degree"),
         F.coalesce("_out", F.lit(0)).alias("engaging_user_out_degree"),
     )

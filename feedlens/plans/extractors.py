@@ -43,5 +43,5 @@ def engagement_graph(raw_data: DataFrame, auxiliary_train: dict[str, DataFrame]
 
 @DEFAULT.feature()
 def engagement_degrees(raw_data, features, auxiliaries):
-    """In-degree of the author and out-degree of the viewer, by row key."""
-    return graph.degree_features(raw_data, auxiliaries["degrees"])
+    """In-degree of the author and out-degree of the viewer, as two more columns."""
+    return graph.degree_features(raw_data, auxiliaries["degrees"], keep=raw_data.columns)

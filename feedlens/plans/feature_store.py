@@ -62,10 +62,11 @@ class FeatureStore:
 
     ``enabled`` names raw columns and registered extractors, in the order the
     extractors run. Features given as column expressions become part of one
-    projection over the raw table; only features given as keyed tables are
-    joined. By default only the latter are cached, because joining a stored
-    expression back costs more than evaluating it again; ``cache_expressions``
-    stores those as well.
+    projection over the raw table. A feature given as the table so far with more
+    columns replaces that table. Only features given as keyed tables are joined
+    by row key. By default only those are cached, because joining a stored
+    feature back costs two shuffles of all rows, mostly more than computing it
+    again; ``cache_all`` stores every feature.
     """
 
     def __init__(
@@ -77,7 +78,7 @@ class FeatureStore:
         feature_cache: FeatureCache | None = None,
         auxiliary_cache: FeatureCache | None = None,
         inference: bool = False,
-        cache_expressions: bool = False,
+        cache_all: bool = False,
         check_contract: bool = False,
     ):
         self.raw = raw
@@ -85,7 +86,7 @@ class FeatureStore:
         self.feature_cache = feature_cache
         self.auxiliary_cache = auxiliary_cache
         self.inference = inference
-        self.cache_expressions = cache_expressions
+        self.cache_all = cache_all
         self.check_contract = check_contract
         names = list(dict.fromkeys(enabled))
         self.default = [n for n in names if n in raw.columns]
@@ -134,8 +135,15 @@ class FeatureStore:
                 result = self.registry.extract(name, frame, dict(features), auxiliaries)
                 expressions = _expressions(name, result)
                 if expressions is not None:
-                    frame, names = frame.withColumns(expressions), list(expressions)
-                    if path and self.cache_expressions:
+                    wider = frame.withColumns(expressions)
+                elif set(frame.columns) < set(result.columns):
+                    wider = self._checked(result)
+                else:
+                    wider = None
+                if wider is not None:
+                    names = [c for c in wider.columns if c not in frame.columns]
+                    frame = wider
+                    if path and self.cache_all:
                         write_feature(frame, path, names)
                 else:
                     if path:
@@ -145,13 +153,16 @@ class FeatureStore:
             features.update({n: F.col(n) for n in names})
         return frame, list(features)
 
-    def _attach(self, frame: DataFrame, keyed: DataFrame) -> tuple[DataFrame, list[str]]:
+    def _checked(self, feature: DataFrame) -> DataFrame:
         if self.check_contract:
-            outcome = row_contract(self.raw, keyed).first()
+            outcome = row_contract(self.raw, feature).first()
             if not outcome["holds"]:
                 raise ValueError(f"a feature must have one row per raw row: {outcome.asDict()}")
+        return feature
+
+    def _attach(self, frame: DataFrame, keyed: DataFrame) -> tuple[DataFrame, list[str]]:
         names = [c for c in keyed.columns if c not in S.KEYS]
-        return concat_features([frame, keyed.select(*S.KEYS, *names)]), names
+        return concat_features([frame, self._checked(keyed).select(*S.KEYS, *names)]), names
 
     def dataset(self, ordered: bool = False) -> DataFrame:
         """Row key, enabled raw columns, then features in extraction order.
@@ -166,7 +177,7 @@ class FeatureStore:
 
 
 def _expressions(name: str, result) -> dict[str, Column] | None:
-    """Expressions by feature name, or None for a keyed table."""
+    """Expressions by feature name, or None for a table."""
     if isinstance(result, Column):
         return {name: result}
     if isinstance(result, dict) and result and all(isinstance(c, Column) for c in result.values()):

@@ -34,8 +34,9 @@ class Registry:
     """Extractors by name.
 
     A feature extractor is ``f(raw_data, features, auxiliaries)`` and returns a
-    ``Column``, a dict of ``Column``s, or a DataFrame with the row key; a function
-    without the third argument is accepted too. An auxiliary extractor is
+    ``Column``, a dict of ``Column``s, ``raw_data`` with more columns, or any other
+    DataFrame with the row key; a function without the third argument is
+    accepted too. ``raw_data`` includes the features extracted before. An auxiliary extractor is
     ``f(raw_data, auxiliary_train=None)`` and returns a dict of DataFrames.
     """
 

@@ -39,6 +39,15 @@ def registry():
         one = raw_data.select(*S.KEYS, F.lit(1).alias("one"))
         return one.unionByName(one)
 
+    @r.feature()
+    def widened(raw_data, features, auxiliaries):
+        languages = raw_data.groupBy("language").agg(F.count(F.lit(1)).alias("language_rows"))
+        return raw_data.join(languages, "language", "left")
+
+    @r.feature()
+    def widened_twice(raw_data, features, auxiliaries):
+        return raw_data.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+
     @r.feature()
     def tweets_by_author(raw_data, features, auxiliaries):
         return raw_data.join(auxiliaries["authors"], "engaged_with_user_id", "left").select(*S.KEYS, "tweets")
@@ -78,6 +87,17 @@ def test_expressions_need_no_join(raw, registry):
     assert "Join" not in plan and "Exchange" not in plan
 
 
+def test_wider_tables_replace_the_raw_table(raw, registry, tmp_path):
+    df = FeatureStore(raw, ["hour", "widened"], registry=registry, check_contract=True).dataset()
+    assert df.columns == [*S.KEYS, "hour", "language_rows"] and {r["language_rows"] for r in df.collect()} == {1}
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # no second join by row key
+    with pytest.raises(ValueError, match="one row per raw row"):
+        FeatureStore(raw, ["widened_twice"], registry=registry, check_contract=True).dataset()
+    cache = FeatureCache(str(tmp_path), "d")
+    stored = [FeatureStore(raw, ["widened"], registry=registry, feature_cache=cache, cache_all=True).dataset() for _ in range(2)]
+    assert sorted(map(tuple, stored[0].collect())) == sorted(map(tuple, stored[1].collect()))
+
+
 def test_wrong_results_are_rejected(raw, registry):
     for name in ("wrong", "keyless"):
         with pytest.raises(TypeError, match=name):
@@ -120,7 +140,7 @@ def test_cache_is_reused_and_tells_datasets_apart(raw, table, registry, tmp_path
 
 
 def test_expressions_can_be_cached_too(raw, registry, tmp_path):
-    build = lambda: FeatureStore(raw, ["hour", "pair"], registry=registry, feature_cache=FeatureCache(str(tmp_path), "d"), cache_expressions=True).dataset()
+    build = lambda: FeatureStore(raw, ["hour", "pair"], registry=registry, feature_cache=FeatureCache(str(tmp_path), "d"), cache_all=True).dataset()
     first, second = build(), build()
     assert registry.calls.count("hour") == 1 and first.columns == second.columns
     assert sorted(map(tuple, first.collect())) == sorted(map(tuple, second.collect()))
