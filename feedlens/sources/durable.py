@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from feedlens.sources.paths import delete
 
+#: Scratch folder of local sessions that set none.
+LOCAL_ROOT = "file:///tmp/checkpoints/feedlens"
+
 
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder; on a
-    cluster a missing setting is an error, because a folder of one machine
-    would not be readable from the others.
+    Only a local session without that setting gets ``LOCAL_ROOT``; on a cluster
+    a missing setting is an error, because a folder of one machine would not be
+    readable from the others.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -26,8 +28,7 @@ def scratch_root(spark: SparkSession) -> str:
         return current.rstrip("/")
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="feedlens-"))
-    return context.getCheckpointDir().rstrip("/")
+    return LOCAL_ROOT
 
 
 #: Scratch paths handed out by this process.
