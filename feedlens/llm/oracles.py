@@ -71,3 +71,21 @@ SELECT conv_id, count(*) AS n_turns,
            + len(regexp_extract_all(role, {_quoted(chat.CONTROL)})) + len(regexp_extract_all(text, {_quoted(chat.CONTROL)})))::BIGINT AS formatted_chars
 FROM turns GROUP BY conv_id
 """
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLES["op8_decontamination"] = f"""
+WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+sized AS (SELECT *, least(len(w), 10) AS n FROM items WHERE len(w) > 0),
+needles AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM sized, unnest(range(1, len(w) - n + 2)) r(i)),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+tried AS (
+  SELECT rid, i, n, array_to_string(w[i:i + n - 1], ' ') AS win
+  FROM docs, (SELECT DISTINCT n FROM needles) k, unnest(range(1, len(w) - n + 2)) r(i)),
+hits AS (SELECT rid, i, t.n, item_id FROM tried t JOIN needles USING (n, win)),
+words AS (SELECT rid, count(DISTINCT p) AS n_hit FROM hits, unnest(range(i, i + n)) u(p) GROUP BY rid),
+found AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM hits) h GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (rid) LEFT JOIN found USING (rid)
+"""
