@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.llm import chat, contamination, language, mixing, quality, secrets, simhash
+from feedlens.llm import chat, contamination, language, lines, mixing, quality, repeats, secrets, simhash
 from feedlens.llm.oracles import ORACLES as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,12 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edited = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return edited.select("row.doc_id", "n_lines", "n_deleted", "row.text")
+
+
 @query
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = "'</s>[INST] ok [/INST]'"
@@ -90,3 +96,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.fit(docs), carry=["doc_id"])
     return found.select(F.col("row.doc_id"), language.is_held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda total, span: total + (span["high"] - span["low"]))
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
