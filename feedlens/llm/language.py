@@ -23,7 +23,7 @@ UNITS, SEGMENT, SIDE_BY_SIDE = 6, 64, 8192
 PAD = 256
 #: Bound of the training sample: documents, and segments cut from each.
 TRAIN_DOCS, TRAIN_CUTS = 2048, 3
-EPOCHS, BATCH, RATE, SEED = 8, 256, 0.02, 11
+UPDATES, BATCH, RATE, SEED = 192, 256, 0.02, 11
 UNKNOWN = "und"
 #: Documents below this probability are rejected by ``keep_identified``.
 LEAST_SCORE = 0.4
@@ -177,7 +177,7 @@ def symbols_of(buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> n
     return np.where(steps < lengths, symbols, PAD).astype(np.int64)
 
 
-def train(texts: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = SEED) -> Network:
+def train(texts: list[tuple[str, str]], updates: int = UPDATES, seed: int = SEED) -> Network:
     """Fit a network on ``(language, text)`` pairs, a segment from each text's start."""
     rng = np.random.default_rng(seed)
     languages = sorted({language for language, _ in texts})
@@ -188,18 +188,17 @@ def train(texts: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = SEED)
     symbols = symbols_of(np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(lengths) - lengths, lengths)
     weights = network.weights()
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-    updates, total = 0, epochs * -(-len(texts) // BATCH)
-    for _ in range(epochs):
-        order = rng.permutation(len(texts))
-        for start in range(0, len(order), BATCH):
-            chosen = order[start : start + BATCH]
-            _, slopes = gradients(network, symbols[:, chosen], lengths[chosen], truth[chosen])
-            rate = RATE * (1 - updates / total)
-            updates += 1
-            for w, g, m, v in zip(weights, slopes, first, second):
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                w -= rate * (m / (1 - 0.9**updates)) / (np.sqrt(v / (1 - 0.99**updates)) + 1e-8)
+    order = np.zeros(0, np.int64)
+    for update in range(1, updates + 1):
+        if len(order) < BATCH:  # the next round through the sample
+            order = np.concatenate([order, rng.permutation(len(texts))])
+        chosen, order = order[:BATCH], order[BATCH:]
+        _, slopes = gradients(network, symbols[:, chosen], lengths[chosen], truth[chosen])
+        rate = RATE * (1 - (update - 1) / updates)
+        for w, g, m, v in zip(weights, slopes, first, second):
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            w -= rate * (m / (1 - 0.9**update)) / (np.sqrt(v / (1 - 0.99**update)) + 1e-8)
     return network
 
 
@@ -236,6 +235,8 @@ def training_sample(docs: DataFrame, text: str, label: str, key: str, limit: int
     usable = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull() & F.col(label).isNotNull() & ~is_held_out(F.col(key)))
     places = [F.substring(F.col(text), (F.length(text) * i / cuts).cast("int") + 1, F.lit(SEGMENT)) for i in range(cuts)]
     cut = usable.select(F.xxhash64(key, text).alias("draw"), F.col(label).alias("label"), F.array(*places).alias("cuts"))
+    share = min(1.0, 4 * limit / max(1, usable.count()))  # draws are even, so only the lowest need to be sorted
+    cut = cut.where(F.col("draw") <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1))
     rows = cut.orderBy("draw", "label").limit(limit).collect()
     return [(row["label"], piece) for row in rows for piece in row["cuts"] if piece]
 

@@ -18,8 +18,8 @@ from feedlens.llm.bytescan import RangeHash, earlier_equal, mix, pieces, repeate
 from feedlens.sources.durable import durable
 
 BUCKETS = 1 << 15
-#: Added to every bucket, so that no ratio is infinite.
-SMOOTHING = 1.0
+#: Share of the raw corpus in the target's multinomial, so that no ratio is zero.
+BACKGROUND = 0.1
 #: Base rules.
 LEAST_WORDS, MOST_REPEATED = 50, 0.5
 #: Scores are compared in steps of this size when the threshold is chosen.
@@ -102,11 +102,14 @@ def bucket_counts(docs: DataFrame, text: str, trusted: str) -> DataFrame:
 
 def log_ratio(counts: DataFrame) -> np.ndarray:
     """Weight per bucket; zero without any trusted text."""
-    raw, target = np.full(BUCKETS, SMOOTHING), np.full(BUCKETS, SMOOTHING)
+    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for row in counts.collect():  # a row per bucket
-        raw[row["bucket"]] += row["raw"]
-        target[row["bucket"]] += row["target"]
-    return np.log(target / target.sum()) - np.log(raw / raw.sum()) if target.sum() > BUCKETS * SMOOTHING else np.zeros(BUCKETS)
+        raw[row["bucket"]], target[row["bucket"]] = row["raw"], row["target"]
+    if not target.any():
+        return np.zeros(BUCKETS)
+    ratio = np.divide(target / target.sum(), raw / raw.sum(), out=np.zeros(BUCKETS), where=raw > 0)
+    return np.log((1 - BACKGROUND) * ratio + BACKGROUND)
+
 
 
 def score_documents(docs: DataFrame, weights: np.ndarray, text: str = "text", key: str = "doc_id") -> DataFrame:

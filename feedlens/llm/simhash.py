@@ -86,7 +86,7 @@ def trie_links(prints: DataFrame, budget: int = BUDGET, leaf: int = LEAF_COMPARI
         right = children.select(F.col("parent").alias("b"), F.col("node").alias("nb"), F.col("n").alias("count_b"))
         own_bits = F.lit(2**step - 1).cast("long")
         differing = F.col("differing") + _differing(F.col("na").bitwiseAND(own_bits), F.col("nb").bitwiseAND(own_bits))
-        below = pairs.join(left, "a").join(right, "b").where((F.col("na") <= F.col("nb")) & (differing <= budget))
+        below = pairs.join(left, "a").join(right, "b").where(((F.col("a") < F.col("b")) | (F.col("na") <= F.col("nb"))) & (differing <= budget))
         below = below.select(F.col("na").alias("a"), F.col("nb").alias("b"), differing.alias("differing"), (F.col("count_a") * F.col("count_b")).alias("work"))
         below = durable(below.where("a <> b OR work > 1"), "trie")
         small = F.lit(True) if depth == BITS else F.col("work") <= leaf
@@ -103,7 +103,7 @@ def trie_links(prints: DataFrame, budget: int = BUDGET, leaf: int = LEAF_COMPARI
     from_a = members.select("depth", F.col("node").alias("a"), F.col("fp").alias("src"))
     from_b = members.select("depth", F.col("node").alias("b"), F.col("fp").alias("dst"))
     near = leaves.join(from_a, ["depth", "a"]).join(from_b, ["depth", "b"])
-    once = (F.col("a") < F.col("b")) | (F.col("src") < F.col("dst"))
+    once = (F.col("a") != F.col("b")) | (F.col("src") < F.col("dst"))
     return near.where(once & (_differing(F.col("src"), F.col("dst")) <= budget)).select("src", "dst")
 
 
