@@ -52,13 +52,16 @@ def runs_of(buffer: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     starts, distance from the first start to the anchor."""
     columns: dict[str, list] = {name: [] for name in ("owner", "anchor", "content", "start", "n", "ahead")}
     hashes = RangeHash(buffer)
+    sizes = np.diff(offsets)
+    text_number = np.repeat(np.arange(len(sizes)), sizes)
+    all_grams = hashes.fixed(GRAM) if len(buffer) >= GRAM else None
     for low in range(0, len(buffer) - LENGTH + 1, STARTS):
         high = min(low + STARTS, len(buffer) - LENGTH + 1)
-        grams = hashes(np.arange(low, high + PARTS - 1), np.arange(low, high + PARTS - 1) + GRAM)
+        grams = all_grams[low : high + PARTS - 1]
         places = np.arange(len(grams), dtype=np.uint64)
         anchors = (window_minimum((grams & ~PLACE) | places, PARTS) & PLACE).astype(np.int64)
         starts = np.arange(low, high)
-        owner = np.searchsorted(offsets, starts, "right") - 1
+        owner = text_number[low:high]
         whole = starts + LENGTH <= offsets[owner + 1]
         starts, owner, anchors = starts[whole], owner[whole], anchors[whole]
         if not len(starts):
@@ -93,14 +96,14 @@ def scan_runs(docs: DataFrame) -> DataFrame:
 
 def suffix_order(symbols: np.ndarray, length: int) -> np.ndarray:
     """Suffixes by their first ``length`` symbols, by doubling sorted ranks."""
-    n, packed = len(symbols), 7
+    n, packed = len(symbols), min(7, length)
     padded = np.concatenate([symbols.astype(np.int64), np.full(length, SEPARATOR)])
     keys = np.zeros(n, np.int64)
     for i in range(packed):
         keys = (keys << 9) | padded[i : i + n]
     known = packed
     while True:
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         if known >= length:
             return order
         ranks = np.zeros(n + length, np.int64)
@@ -202,7 +205,8 @@ def find_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Re
     named = docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
     runs = durable(scan_runs(named), "runs")
     path = runs.inputFiles()[0].rsplit("/", 1)[0] if runs.inputFiles() else None
-    again = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("anchor")
+    again = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    again = durable(again, "anchors")  # as a table of its own, so that the join can divide a frequent anchor
     met = durable(runs.join(again, "anchor", "left_semi"), "met")
     if path:
         delete(spark, path)
@@ -257,16 +261,18 @@ def find_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Re
     return Repeats(every, texts)
 
 
-def merged(spans: list[dict]) -> list[tuple[int, int]]:
-    """Ranges sorted by their starts, with overlapping and touching ones joined."""
-    out: list[tuple[int, int]] = []
-    for span in spans:
-        low, high = span["low"], span["high"]
-        if out and low <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], high))
-        else:
-            out.append((low, high))
-    return out
+def merged(spans: pa.ListArray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row number and bounds of the ranges of every row, overlapping and
+    touching ones joined. The ranges of a row are sorted by their starts."""
+    row = np.repeat(np.arange(len(spans)), np.diff(spans.offsets))
+    flat = spans.flatten()
+    low, high = (np.asarray(flat.field(name), dtype=np.int64) for name in ("low", "high"))
+    apart = np.cumsum(sizes + 1) - (sizes + 1)  # rows do not touch each other
+    low, reach = low + apart[row], np.maximum.accumulate(high + apart[row]) if len(high) else high
+    new = np.flatnonzero(np.concatenate([[True], low[1:] > reach[:-1]])) if len(low) else np.zeros(0, np.int64)
+    last = np.append(new[1:], len(low))[: len(new)] - 1
+    row = row[new]
+    return row, low[new] - apart[row], reach[last] - apart[row]
 
 
 def cut_repeats(repeats: Repeats) -> DataFrame:
@@ -278,14 +284,16 @@ def cut_repeats(repeats: Repeats) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, kept = [], []
-            for text, spans in zip(batch.column(2), batch.column(3)):
-                data, ranges = text.as_py().encode(), merged(spans.as_py())
-                edges = [0, *(edge for r in ranges for edge in r), len(data)]
-                removed.append([{"low": low, "high": high} for low, high in ranges])
+            texts = [text.as_py().encode() for text in batch.column(2)]
+            row, low, high = merged(batch.column(3), np.array([len(t) for t in texts], np.int64))
+            bounds = np.searchsorted(row, np.arange(len(texts) + 1))
+            kept = []
+            for data, first, last in zip(texts, bounds, bounds[1:]):
+                edges = [0, *np.column_stack([low[first:last], high[first:last]]).ravel().tolist(), len(data)]
                 kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
-            spans_type = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
-            arrays = [batch.column(0), batch.column(1), pa.array(removed, spans_type), pa.array(kept, pa.binary())]
+            ranges = pa.StructArray.from_arrays([pa.array(low, pa.int32()), pa.array(high, pa.int32())], ["low", "high"])
+            removed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), ranges)
+            arrays = [batch.column(0), batch.column(1), removed, pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc", "mark", "removed", "kept"])
 
     doc = joined.select("t.doc").schema["doc"].dataType.simpleString()
