@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedlens import schema as S
-from feedlens.functions.columns import any_label, no_label, present
+from feedlens.functions.columns import any_label, filled, no_label, present
 
 
 def with_hashtags(df: DataFrame) -> DataFrame:
-    return df.where(present("hashtags"))
+    return df.where(filled(F.col("hashtags")))
 
 
 def negatives(df: DataFrame, binarised: bool = False) -> DataFrame:

@@ -19,7 +19,7 @@ def engagement_profile(df: DataFrame, binarised: bool = False) -> DataFrame:
 
     return df.agg(
         total.alias("rows"),
-        share(C.present("hashtags")).alias("with_hashtags_pct"),
+        share(C.filled(F.col("hashtags"))).alias("with_hashtags_pct"),
         share(C.no_label(binarised)).alias("negative_pct"),
         *[share(C.present(c, binarised)).alias(f"{t}_pct") for t, c in S.TARGETS.items()],
     )

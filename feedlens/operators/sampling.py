@@ -101,10 +101,10 @@ def build_folds(df: DataFrame, plan: FoldPlan) -> Folds:
     return Folds(train, test.select("fold", *df.columns).distinct())
 
 
-def write_folds(folds: Folds, plan: FoldPlan, root: str, single_file: bool = False) -> list[tuple[str, str]]:
+def write_folds(folds: Folds, plan: FoldPlan, root: str) -> list[tuple[str, str]]:
     """Store every pair as text; returns the paths per fold."""
     stored = Folds(folds.train, durable(folds.test, "test"))
-    return [write_fold(*stored.pair(i), root, i, single_file) for i in range(plan.folds)]
+    return [write_fold(*stored.pair(i), root, i) for i in range(plan.folds)]
 
 
 @dataclass(frozen=True)
@@ -120,17 +120,20 @@ class SampleSpec:
 
 
 def generate_sample(df: DataFrame, spec: SampleSpec, total: int | None = None) -> DataFrame:
-    """Optionally binarise and zero-fill, cast, then take a window or a draw."""
+    """Take a window or a draw, then optionally binarise and zero-fill, and cast.
+
+    Rows are chosen by their stored columns: the time filter reaches the scan,
+    and zero-filled keys do not change the draw.
+    """
+    if spec.window is not None:
+        df = filters.trailing_window(df, spec.window, spec.last)
+    else:
+        df = hash_sample(df, fraction_for(spec.rows, df.count() if total is None else total), spec.seed)
     if spec.binarise:
         df = projections.labels_to_flags(df)
     if spec.zero_columns:
         df = projections.zero_fill(df, list(spec.zero_columns))
-    df = cast_fields(df, S.SAMPLE_TYPES)
-    if spec.window is not None:
-        return filters.trailing_window(df, spec.window, spec.last)
-    if total is None:
-        total = df.count()
-    return hash_sample(df, fraction_for(spec.rows, total), spec.seed)
+    return cast_fields(df, S.SAMPLE_TYPES)
 
 
 def export_sample(df: DataFrame, spec: SampleSpec, root: str) -> str:

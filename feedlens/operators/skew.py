@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A key is hot above this share of all rows, so about 1000 keys can be hot.
 HOT_SHARE = 1 / 1000
-#: Number of pieces a hot key is split into.
-SALTS = 512
-#: Below this row count a single task copes with any key.
-MIN_ROWS = 5_000_000
+#: Rows of one key that a task copes with; a hot key is split into pieces of
+#: about so many, however many pieces that makes.
+PIECE_ROWS = 1_000_000
 #: Rows looked at to find the hot keys.
 SAMPLE_ROWS = 1_000_000
 
 
-def hot_keys(df: DataFrame, key: str, rows: int, share: float = HOT_SHARE, sample_rows: int = SAMPLE_ROWS) -> list:
-    """Keys that hold more than about ``share`` of ``rows``.
+def hot_keys(df: DataFrame, key: str, rows: int, share: float = HOT_SHARE, sample_rows: int = SAMPLE_ROWS) -> dict:
+    """Keys that hold more than about ``share`` of ``rows``, with their estimated rows.
 
     Estimated from a sample, which at these shares finds every key that matters.
     The length of the list is bounded by ``1/share`` whatever the data size. It
@@ -28,7 +29,7 @@ def hot_keys(df: DataFrame, key: str, rows: int, share: float = HOT_SHARE, sampl
     if fraction < 1:
         sample = sample.sample(False, fraction, seed=0)
     counts = sample.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return [row[key] for row in counts.where(F.col("n") > share * rows * fraction).collect()]
+    return {row[key]: row["n"] / fraction for row in counts.where(F.col("n") > share * rows * fraction).collect()}
 
 
 def salted_lookup(
@@ -39,25 +40,26 @@ def salted_lookup(
     how: str = "left",
     rows: int | None = None,
     share: float = HOT_SHARE,
-    salts: int = SALTS,
-    min_rows: int = MIN_ROWS,
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """Join ``left`` to ``right``, which holds each key once.
 
-    Rows of a hot key, and rows without a key, are spread over ``salts`` pieces
-    by the hash of the ``spread`` columns; the hot rows of ``right`` are repeated
-    for every piece. Which keys are taken for hot affects the speed only: any
+    Rows of a hot key are spread over pieces of about ``piece_rows`` by the hash
+    of the ``spread`` columns, rows without a key likewise; the hot rows of
+    ``right`` are repeated for every piece. Which keys are taken for hot affects the speed only: any
     list gives the rows of the plain join. ``how`` is left, inner or left_semi.
-    Small inputs, and inputs without a hot key, join directly.
+    Without a key of more than one piece this is the plain join.
     """
     if rows is None:
         rows = left.count()
-    hot = hot_keys(left, key, rows, share) if rows >= min_rows else []
-    if not hot:
+    found = hot_keys(left, key, rows, share) if rows > piece_rows else {}  # no key has more rows than there are
+    pieces = {k: math.ceil(n / piece_rows) for k, n in found.items() if n > piece_rows}
+    if not pieces:
         return left.join(right, key, how)
-    is_hot = F.col(key).isin(hot)
-    piece = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    pieces = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_left = left.withColumn("_salt", F.when(is_hot | F.col(key).isNull(), piece).otherwise(F.lit(0)))
-    salted_right = right.withColumn("_salt", F.explode(pieces))
+    of_key = F.create_map(*[F.lit(x) for pair in pieces.items() for x in pair])
+    number = F.when(F.col(key).isin(list(pieces)), F.element_at(of_key, F.col(key)))
+    no_key = F.when(F.col(key).isNull(), F.lit(math.ceil(rows / piece_rows)))
+    piece = F.pmod(F.xxhash64(*spread), F.coalesce(number, no_key, F.lit(1)).cast("long")).cast("int")
+    salted_left = left.withColumn("_salt", piece)
+    salted_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(number, F.lit(1)) - 1)))
     return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")

@@ -57,7 +57,6 @@ def batch_inference(
     model: TargetModels,
     out: str,
     auxiliary_cache: FeatureCache | None = None,
-    single_file: bool = False,
 ) -> int:
     """Score every part file of a directory in one job; returns the row count.
 
@@ -67,7 +66,7 @@ def batch_inference(
     written = Observation()
     raw = read_part_files(spark, directory)
     predictions = score_unlabelled(raw, model, auxiliary_cache)
-    write_predictions(predictions.observe(written, F.count(F.lit(1)).alias("rows")), out, single_file)
+    write_predictions(predictions.observe(written, F.count(F.lit(1)).alias("rows")), out)
     rows, scored = raw.count(), written.get["rows"]
     if rows != scored:
         raise ValueError(f"{rows} rows read but {scored} predictions written")

@@ -1,8 +1,6 @@
 """Sinks: features, auxiliaries, predictions, samples and folds.
 
-All writers keep one file per task. ``single_file`` merges a small output on
-request: the work before the sink stays parallel and one task writes. An output
-too large for that is refused.
+All writers keep one file per task.
 """
 
 from __future__ import annotations
@@ -11,18 +9,6 @@ from pyspark.sql import DataFrame
 
 from feedlens import schema as S
 
-#: Largest output that one task may write.
-SINGLE_FILE_ROWS = 5_000_000
-
-
-def _files(df: DataFrame, single_file: bool) -> DataFrame:
-    if not single_file:
-        return df
-    rows = df.count()
-    if rows > SINGLE_FILE_ROWS:
-        raise ValueError(f"{rows} rows are too many for a single file, the limit is {SINGLE_FILE_ROWS}")
-    return df.repartition(1)
-
 
 def write_feature(df: DataFrame, path: str, names: list[str]) -> None:
     """Store one feature or a feature group: row key plus value columns."""
@@ -35,10 +21,11 @@ def write_auxiliaries(tables: dict[str, DataFrame], path: str) -> None:
         table.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def write_predictions(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """Comma-separated scores without header: row key, then one per target."""
-    columns = [*S.KEYS, *S.TARGET_NAMES]
-    _files(df.select(*columns), single_file).write.mode("overwrite").option("header", False).csv(path)
+def write_predictions(df: DataFrame, path: str) -> None:
+    """Comma-separated scores without header: row key, then one per target that
+    was scored, in the order of the targets."""
+    columns = [*S.KEYS, *[t for t in S.TARGET_NAMES if t in df.columns]]
+    df.select(*columns).write.mode("overwrite").option("header", False).csv(path)
 
 
 def sample_directory(rows: int, total: int) -> str:
@@ -53,11 +40,10 @@ def write_sample(df: DataFrame, root: str, rows: int, total: int) -> str:
     return path
 
 
-def write_delimited(df: DataFrame, path: str, single_file: bool = False) -> None:
+def write_delimited(df: DataFrame, path: str) -> None:
     """0x01-separated text without header, as the text reader expects it."""
     (
-        _files(df, single_file)
-        .write.mode("overwrite")
+        df.write.mode("overwrite")
         .option("sep", S.FIELD_SEPARATOR)
         .option("header", False)
         .option("ignoreLeadingWhiteSpace", False)
@@ -66,9 +52,9 @@ def write_delimited(df: DataFrame, path: str, single_file: bool = False) -> None
     )
 
 
-def write_fold(train: DataFrame, test: DataFrame, root: str, fold: int, single_file: bool = False) -> tuple[str, str]:
+def write_fold(train: DataFrame, test: DataFrame, root: str, fold: int) -> tuple[str, str]:
     """Store one train/test pair as text, replacing an earlier one."""
     paths = f"{root}/sample{fold + 1}", f"{root}/sample{fold + 1}_test"
     for df, path in zip((train, test), paths):
-        write_delimited(df.select(*S.ALL_COLUMNS), path, single_file)
+        write_delimited(df.select(*S.ALL_COLUMNS), path)
     return paths

@@ -1,8 +1,8 @@
 """Interaction table derived from the provided order tables.
 
 A tweet is an order, its author the ordering customer, and every distinct part
-of the order stands for a viewer: the customer with the part's number. All
-other columns are arithmetic on these keys, so the same rows can be produced by
+of the order stands for a viewer. Customers and parts share the user numbers, so
+an author can be a viewer with other attributes. All other columns are arithmetic on these keys, so the same rows can be produced by
 any SQL engine.
 """
 
@@ -18,6 +18,7 @@ TABLES = {
     "lineitem": "l_orderkey bigint, l_partkey bigint",
     "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz, o_orderpriority string",
     "customer": "c_custkey bigint, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_brand string, p_size int, p_retailprice double",
 }
 
 
@@ -25,8 +26,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: User columns of either role over ``customer``.
-USER = {
+#: Author columns over ``customer``.
+AUTHOR = {
     "key": "c_custkey",
     "user_id": "concat('u', c_custkey)",
     "user_follower_count": "floor(c_acctbal) + 1000",
@@ -35,6 +36,16 @@ USER = {
     "user_account_creation": "c_custkey * 86400 + 1200000000",
 }
 
+#: Viewer columns over ``part``.
+VIEWER = {
+    "key": "p_partkey",
+    "user_id": "concat('u', p_partkey)",
+    "user_follower_count": "floor(p_retailprice)",
+    "user_following_count": "cast(p_size * 10 AS bigint)",
+    "user_is_verified": "p_brand = 'Brand#11'",
+    "user_account_creation": "p_partkey * 86400 + 1200000000",
+}
+
 #: Tweet columns over ``orders``. The date goes through day numbers, which
 #: unlike ``unix_timestamp`` do not depend on the session time zone.
 TWEET = {
@@ -65,16 +76,16 @@ def _named(expressions: dict[str, str], prefix: str = "") -> list[str]:
 
 
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 24-column interaction table over ``lineitem, orders, customer``.
+    """The 24-column interaction table over ``lineitem, orders, customer, part``.
 
     Orders meet their authors before the line items join, so only the last two
     joins move all pairs. The merge hint keeps the pairs spread over tasks when
     a small input would be broadcast whole; a large one is merged anyway.
     """
-    orders, customer = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
+    orders = _table(spark, sf_dir, "orders")
     pairs = _table(spark, sf_dir, "lineitem").distinct().hint("merge")
-    authors = customer.selectExpr(*_named(USER, "engaged_with_"))
-    viewers = customer.selectExpr(*_named(USER, "engaging_"))
+    authors = _table(spark, sf_dir, "customer").selectExpr(*_named(AUTHOR, "engaged_with_"))
+    viewers = _table(spark, sf_dir, "part").selectExpr(*_named(VIEWER, "engaging_"))
     tweets = orders.selectExpr("o_orderkey", "o_custkey", *_named(TWEET))
     pairs_by_tweet = tweets.join(authors, tweets.o_custkey == authors.engaged_with_key).join(
         pairs, tweets.o_orderkey == pairs.l_orderkey

@@ -37,17 +37,17 @@ interactions AS (
            cast(a.c_custkey % 500 AS bigint) AS engaged_with_user_following_count,
            a.c_mktsegment = 'BUILDING' AS engaged_with_user_is_verified,
            cast(1200000000 + a.c_custkey * 86400 AS bigint) AS engaged_with_user_account_creation,
-           concat('u', cast(e.c_custkey AS varchar)) AS engaging_user_id,
-           cast(floor(e.c_acctbal) AS bigint) + 1000 AS engaging_user_follower_count,
-           cast(e.c_custkey % 500 AS bigint) AS engaging_user_following_count,
-           e.c_mktsegment = 'BUILDING' AS engaging_user_is_verified,
-           cast(1200000000 + e.c_custkey * 86400 AS bigint) AS engaging_user_account_creation,
-           (a.c_custkey + e.c_custkey) % 3 = 0 AS engagee_follows_engager,
-           o.o_orderkey * 31 + e.c_custkey * 17 AS k
+           concat('u', cast(e.p_partkey AS varchar)) AS engaging_user_id,
+           cast(floor(e.p_retailprice) AS bigint) AS engaging_user_follower_count,
+           cast(e.p_size * 10 AS bigint) AS engaging_user_following_count,
+           e.p_brand = 'Brand#11' AS engaging_user_is_verified,
+           cast(1200000000 + e.p_partkey * 86400 AS bigint) AS engaging_user_account_creation,
+           (a.c_custkey + e.p_partkey) % 3 = 0 AS engagee_follows_engager,
+           o.o_orderkey * 31 + e.p_partkey * 17 AS k
     FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) l
     JOIN orders o ON l.l_orderkey = o.o_orderkey
     JOIN customer a ON a.c_custkey = o.o_custkey
-    JOIN customer e ON e.c_custkey = l.l_partkey
+    JOIN part e ON e.p_partkey = l.l_partkey
   )
 )"""
 

@@ -29,7 +29,7 @@ SPLIT = 893137754
 WINDOW = 90 * 86400
 #: Calendar days that occur as ``dd``.
 DAYS = 31
-PLAN = sampling.FoldPlan(split=SPLIT, train_rows=10_000, test_rows=2_000, extra_rows=200, folds=3)
+PLAN = sampling.FoldPlan(split=SPLIT, train_rows=10_000, test_rows=2_000, extra_rows=200, folds=5)
 SAMPLE = sampling.SampleSpec(binarise=True, zero_columns=("hashtags", "engaging_user_is_verified"), window=None, rows=4_000)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -536,12 +536,12 @@ def stored_pairs(df: DataFrame, folds: int) -> list[tuple[DataFrame, DataFrame]]
 
 @on_stored_interactions
 def cross_fold_eval(df):
-    return jobs.cross_fold_evaluation(stored_pairs(df, 2))
+    return jobs.cross_fold_evaluation(stored_pairs(df, 5))
 
 
 @on_stored_interactions
 def cross_fold_eval_with_degrees(df):
-    return jobs.cross_fold_evaluation(stored_pairs(df, 1), make_model=degree_model)
+    return jobs.cross_fold_evaluation(stored_pairs(df, 5), make_model=degree_model)
 
 
 @on_interactions

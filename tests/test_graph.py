@@ -66,7 +66,7 @@ def test_degrees(table):
 def test_degree_features_with_hot_users(interactions):
     degrees = graph.degrees(graph.edges(interactions))
     plain = graph.degree_features(interactions, degrees)
-    salted = graph.degree_features(interactions, degrees, min_rows=0, share=0.005, salts=4)
+    salted = graph.degree_features(interactions, degrees, share=0.005, piece_rows=8)
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, salted.collect()))
 
 
@@ -100,7 +100,7 @@ SHAPES = {
 }
 
 
-@pytest.mark.parametrize("options", [{}, {"min_rows": 0, "share": 0.02, "salts": 8}], ids=["plain", "salted"])
+@pytest.mark.parametrize("options", [{}, {"share": 0.02, "piece_rows": 5}], ids=["plain", "salted"])
 def test_components_equal_union_find(spark, options):
     """All shapes as parts of one graph, and a vertex without edges."""
     pairs = [(f"{shape}/{a}", f"{shape}/{b}") for shape, edges in SHAPES.items() for a, b in edges]

@@ -240,7 +240,7 @@ def test_salted_lookup_equals_the_plain_join(spark, how):
     left = spark.createDataFrame(rows, "k string, v int")
     right = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(40)], "k string, w int")
     plain = left.join(right, "k", how)
-    salted = skew.salted_lookup(left, right, "k", ["v"], how, share=0.05, salts=8, min_rows=0)
+    salted = skew.salted_lookup(left, right, "k", ["v"], how, share=0.05, piece_rows=40)
     assert sorted(map(tuple, salted.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
     assert salted.columns == plain.columns
 
@@ -256,7 +256,7 @@ def test_hot_key_is_spread_over_partitions(spark):
             return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
 
         plain = largest(left.join(right, "k", "left"))
-        salted = largest(skew.salted_lookup(left, right, "k", ["v"], share=0.05, salts=64, min_rows=0))
+        salted = largest(skew.salted_lookup(left, right, "k", ["v"], share=0.05, piece_rows=20))
         assert plain > 1900 and salted < 1300
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -266,15 +266,24 @@ def test_hot_key_is_spread_over_partitions(spark):
 def test_number_of_hot_keys_is_bounded(spark):
     df = spark.range(1000).selectExpr("if(id < 5, null, cast(id % 5 AS string)) AS k")
     assert sorted(skew.hot_keys(df, "k", 1000, share=0.1)) == ["0", "1", "2", "3", "4"]
-    assert skew.hot_keys(df, "k", 1000, share=0.2) == []
+    assert skew.hot_keys(df, "k", 1000, share=0.2) == {}
     assert len(skew.hot_keys(df, "k", 1000, share=0.1, sample_rows=500)) == 5
 
 
+def test_pieces_follow_the_rows_of_a_key(spark):
+    left = spark.range(2000).selectExpr("if(id % 2 = 0, 'hot', concat('k', id)) AS k", "id AS v")
+    right = spark.createDataFrame([("hot", 1)], "k string, w int")
+    for piece_rows, pieces in ((100, 10), (250, 4), (1000, 1)):
+        plan = skew.salted_lookup(left, right, "k", ["v"], "inner", share=0.05, piece_rows=piece_rows)
+        assert plan.count() == 1000
+        assert (f"map(hot, {pieces})" in plan._jdf.queryExecution().optimizedPlan().toString()) or pieces == 1 or f"{pieces}" in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_wrong_list_of_hot_keys_changes_nothing(spark, monkeypatch):
     left = spark.range(300).selectExpr("concat('k', id % 30) AS k", "id AS v")
     right = spark.range(40).selectExpr("concat('k', id) AS k", "id AS w")
     expected = sorted(map(tuple, left.join(right, "k", "left").collect()))
-    for hot in (["k1"], ["k1", "k99"], [f"k{i}" for i in range(30)]):
+    for hot in ({"k1": 50}, {"k1": 11, "k99": 500}, {f"k{i}": 45 for i in range(30)}):
         monkeypatch.setattr(skew, "hot_keys", lambda *args: hot)
-        found = skew.salted_lookup(left, right, "k", ["v"], min_rows=0, salts=5)
+        found = skew.salted_lookup(left, right, "k", ["v"], piece_rows=10)
         assert sorted(map(tuple, found.collect())) == expected

@@ -95,7 +95,7 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     row = entry.entry(spark).first()
-    assert row["rows"] == 4497 and entry.queries().keys() == QUERIES.keys() and entry.oracle_sql() == ORACLES
+    assert row["rows"] == 5942 and entry.queries().keys() == QUERIES.keys() and entry.oracle_sql() == ORACLES
 
 
 def test_standin_schema_and_key(spark, sf_dir):

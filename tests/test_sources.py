@@ -114,20 +114,12 @@ def test_text_round_trip_keeps_every_value(spark, table, tmp_path):
     assert sorted(readers.read_delimited(spark, str(tmp_path / "d")).collect(), key=str) == sorted(df.collect(), key=str)
 
 
-def test_single_file_is_an_option(spark, tmp_path):
-    df = spark.range(100).repartition(4).selectExpr("cast(id as string) AS tweet_id", "'u' AS engaging_user_id", "0.5f AS reply", "0.5f AS retweet", "0.5f AS retweet_with_comment", "0.5f AS like")
+def test_predictions_hold_the_scored_targets(spark, tmp_path):
+    df = spark.range(100).repartition(4).selectExpr("0.5f AS like", "cast(id as string) AS tweet_id", "0.25f AS reply", "'u' AS engaging_user_id")
     writers.write_predictions(df, str(tmp_path / "many"))
-    writers.write_predictions(df, str(tmp_path / "one"), single_file=True)
-    files = [len([f for f in os.listdir(tmp_path / d) if f.startswith("part")]) for d in ("many", "one")]
-    assert files[0] > 1 and files[1] == 1
-    first = next(f for f in (tmp_path / "one").iterdir() if f.name.startswith("part"))
-    assert len(first.read_text().splitlines()) == 100 and "tweet_id" not in first.read_text()
-
-
-def test_large_output_is_not_squeezed_into_one_file(spark, table, tmp_path, monkeypatch):
-    monkeypatch.setattr(writers, "SINGLE_FILE_ROWS", 1)
-    with pytest.raises(ValueError, match="too many"):
-        writers.write_delimited(table({}, {"tweet_id": "t2"}), str(tmp_path / "d"), single_file=True)
+    files = [f for f in (tmp_path / "many").iterdir() if f.name.startswith("part")]
+    lines = [line for f in files for line in f.read_text().splitlines()]
+    assert len(files) > 1 and len(lines) == 100 and lines[0].endswith(",u,0.25,0.5")
 
 
 def test_sample_directory_name():
