@@ -170,7 +170,8 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     known = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key"))
     good = F.min((F.col("quality") == 1).cast("int"))
     known = known.agg(good.alias("good"))
-    marked = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(known, "key", "left")
+    # merged at every size: the labels grow with the documents, so they are never sent to all tasks
+    marked = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(known.hint("merge"), "key", "left")
     weights = log_ratio(bucket_counts(marked.select("text", (F.col("good") == 1).alias("trusted")), "text", "trusted"))
     scored = durable(score_documents(docs, weights, text, key), "scores")
     labelled = scored.withColumnRenamed(key, "key").join(known, "key", "left")
