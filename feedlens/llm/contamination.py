@@ -12,13 +12,16 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedlens.operators.skew import salted_lookup
 from feedlens.sources.durable import durable
 
 #: Words of a window.
 WINDOW = 10
-#: The set is broadcast up to this many windows (about 150 bytes each); a larger
-#: one is joined by shuffling the hashes, with the same result.
-BROADCAST_WINDOWS = 500_000
+#: The set is broadcast up to this many bytes of windows and item names; a larger
+#: one meets the windows of the documents in a shuffle, with the same result.
+BROADCAST_BYTES = 96 << 20
+#: Bytes of a window beside its text and items: hash, length, array headers.
+ROW_BYTES = 64
 #: Characters between words, after lower-casing.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -53,29 +56,41 @@ def benchmark_windows(items: DataFrame, text: str = "text", key: str = "item_id"
     return distinct.select("length", F.xxhash64("window").alias("hash"), F.array_join("window", " ").alias("window"), "items")
 
 
-def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", size: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", size: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per document: ``key, n_words, hit, items``.
 
     ``hit`` lists the positions (from 1) of the words inside any occurrence of a
     benchmark window, ``items`` the items concerned as sorted strings. Windows
     are looked up as they are read; only hits and one marker per document are
-    moved. Null and empty texts have no words, null items texts no windows.
-    Repeated rows, also with one key, are searched each; a null key is kept.
-    Other columns are not looked at. Without items nothing is hit.
+    moved. Above ``broadcast_bytes`` of benchmark windows, each window of a
+    document travels with its own ten words, never with the whole text, and
+    frequent windows are split over several tasks.
+
+    Null and empty texts have no words, null items texts no windows. Repeated
+    rows, also with one key, are searched each; a null key is kept. Other
+    columns are not looked at. Without items nothing is hit.
     """
     windows = durable(benchmark_windows(items, size=size), "windows")
-    summary = windows.agg(F.count(F.lit(1)).alias("n"), F.collect_set("length").alias("lengths")).first()
-    known = windows.select(F.col("length").alias("known_length"), F.col("hash").alias("known_hash"), "window", "items")
-    known = F.broadcast(known) if summary["n"] <= broadcast_windows else known
+    named = F.aggregate("items", F.lit(0).cast("long"), lambda total, item: total + F.octet_length(item) + 16)
+    summary = windows.agg(
+        F.coalesce(F.sum(F.octet_length("window") + named + ROW_BYTES), F.lit(0)).alias("bytes"), F.collect_set("length").alias("lengths")
+    ).first()
+    known = windows.select(F.col("length").alias("known_length"), "hash", "window", "items")
     worded = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), words_of(F.col(text)).alias("words"))
     marker = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("length"), F.lit(None).cast("long").alias("hash")))
     tried = F.concat(marker, *[_windows(F.col("words"), n) for n in sorted(summary["lengths"])])
-    looked = worded.select("row", "key", "words", F.inline(tried)).join(
-        known, (F.col("hash") == F.col("known_hash")) & (F.col("length") == F.col("known_length")), "left"
-    )
-    verified = F.col("window") == F.array_join(F.slice("words", F.col("at"), F.col("length")), " ")
+    placed = worded.select("row", "key", "words", F.inline(tried))
+    own = F.array_join(F.slice("words", F.col("at"), F.col("length")), " ")
+    if summary["bytes"] <= broadcast_bytes:
+        looked = placed.join(F.broadcast(known), "hash", "left").withColumn("own", own)
+        n_words = F.size("words")
+    else:
+        slim = placed.select("row", "key", "at", "length", "hash", F.when(F.col("at") > 0, own).alias("own"), F.when(F.col("at") == 0, F.size("words")).alias("size"))
+        looked = salted_lookup(slim, known, "hash", ["row", "at"], "left")
+        n_words = F.col("size")
+    verified = (F.col("window") == F.col("own")) & (F.col("length") == F.col("known_length"))
     hits = looked.where((F.col("at") == 0) | verified)
-    n_words = F.when(F.col("at") == 0, F.size("words").cast("long"))
+    n_words = F.when(F.col("at") == 0, n_words.cast("long"))
     span = F.when(F.col("at") > 0, F.sequence(F.col("at"), F.col("at") + F.col("length") - 1))
     slim = hits.select("row", "key", n_words.alias("n_words"), span.alias("span"), F.col("items"))
     grouped = slim.groupBy("row").agg(

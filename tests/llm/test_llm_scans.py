@@ -119,7 +119,7 @@ def test_hits_match_brute_force(spark):
     texts = odd_texts() + [prose(rng, 40) + ". " + passage.upper() + "! " + prose(rng, 5), "a SHORT-É.item b", "short é item", passage[8:90]]
     table = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, window string")
     for bound in (10**6, 0):
-        got = contamination.find_hits(docs(spark, texts), table, broadcast_windows=bound).collect()
+        got = contamination.find_hits(docs(spark, texts), table, broadcast_bytes=bound).collect()
         assert {r["doc_id"]: (r["n_words"], r["hit"], r["items"]) for r in got} == {i: plain_hits(t, items) for i, t in enumerate(texts)}
     df = docs(spark, texts)
     clean = contamination.drop_contaminated(df, table)
