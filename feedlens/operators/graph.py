@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlens import schema as S
@@ -117,25 +117,37 @@ def drop_isolated(graph: Graph) -> Graph:
     return Graph(graph.vertices.join(endpoints(graph.edges), "id", "left_semi"), graph.edges)
 
 
+def own_edges(df: DataFrame) -> Column:
+    """Edges that a row itself stands for; none without label columns."""
+    return sum((F.col(c).isNotNull().cast("long") for c in S.LABELS if c in df.columns), F.lit(0).cast("long"))
+
+
 def degree_features(
-    df: DataFrame, degree_table: DataFrame, rows: int | None = None, keep: list[str] = S.KEYS, **skew
+    df: DataFrame,
+    degree_table: DataFrame,
+    rows: int | None = None,
+    keep: list[str] = S.KEYS,
+    own: Column | None = None,
+    **skew,
 ) -> DataFrame:
     """``keep`` columns plus in-degree of the author and out-degree of the viewer.
 
-    Users without an edge get 0. Celebrities make both lookups skewed, so hot
-    users are split over several tasks.
+    Users without an edge get 0. Where ``own`` is given, that many edges of the
+    row itself are left out of both. Celebrities make both lookups skewed, so
+    hot users are split over several tasks.
     """
     if rows is None:
         rows = df.count()
     authors = degree_table.select(F.col("id").alias("engaged_with_user_id"), F.col("in_degree").alias("_in"))
     viewers = degree_table.select(F.col("id").alias("engaging_user_id"), F.col("out_degree").alias("_out"))
-    joined = df.select(*dict.fromkeys([*keep, *S.KEYS, "engaged_with_user_id"]))
+    own = F.lit(0).cast("long") if own is None else own
+    joined = df.select(*dict.fromkeys([*keep, *S.KEYS, "engaged_with_user_id"]), own.alias("_own"))
     joined = salted_lookup(joined, authors, "engaged_with_user_id", S.KEYS, "left", rows, **skew)
     joined = salted_lookup(joined, viewers, "engaging_user_id", ["tweet_id"], "left", rows, **skew)
     return joined.select(
         *keep,
-        F.coalesce("_in", F.lit(0)).alias("engaged_with_user_in_degree"),
-        F.coalesce("_out", F.lit(0)).alias("engaging_user_out_degree"),
+        (F.coalesce("_in", F.lit(0)) - F.col("_own")).alias("engaged_with_user_in_degree"),
+        (F.coalesce("_out", F.lit(0)) - F.col("_own")).alias("engaging_user_out_degree"),
     )
 
 

@@ -45,7 +45,7 @@ def file_order(df: DataFrame, labelled: bool = True) -> DataFrame:
     return df.select(*(S.ALL_COLUMNS if labelled else S.INPUT_COLUMNS))
 
 
-#: Vertex attributes, as named in the user columns of either role.
+#: Vertex attributes, as named in the user columns of either role. Fixed values of the format.
 VERTEX_ATTRIBUTES = ["id", "follower_count", "following_count", "is_verified", "account_creation"]
 
 
@@ -68,7 +68,7 @@ def both_users(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*_user("engaged_with")), F.struct(*_user("engaging")))))
 
 
-#: Tweet columns an edge carries along.
+#: Tweet columns an edge carries along. Fixed values of the format.
 EDGE_TWEET_COLUMNS = [
     "text_tokens",
     "hashtags",

@@ -64,6 +64,10 @@ class Folds:
     def pair(self, fold: int) -> tuple[DataFrame, DataFrame]:
         return tuple(df.where(F.col("fold") == fold).drop("fold") for df in (self.train, self.test))
 
+    def stored(self) -> "Folds":
+        """With the test rows written once; a pair then reads its own files only."""
+        return Folds(self.train, durable(self.test, "test", partition_by=["fold"]))
+
 
 def build_folds(df: DataFrame, plan: FoldPlan) -> Folds:
     """Train and test samples of every fold.
@@ -84,7 +88,7 @@ def build_folds(df: DataFrame, plan: FoldPlan) -> Folds:
 
     bound = hash_bound(fraction_for(plan.train_rows, totals["train"]))
     drawn = _per_fold(earlier, plan.folds).where(hash_bits(fold + plan.train_seed + plan.seed) < bound)
-    train = durable(drawn, "train")
+    train = durable(drawn, "train", partition_by=["fold"])
     users = train.select("fold", "engaging_user_id").distinct()
 
     per_user = later.groupBy("engaging_user_id").agg(F.count(F.lit(1)).alias("n"))
@@ -103,13 +107,14 @@ def build_folds(df: DataFrame, plan: FoldPlan) -> Folds:
 
 def write_folds(folds: Folds, plan: FoldPlan, root: str) -> list[tuple[str, str]]:
     """Store every pair as text; returns the paths per fold."""
-    stored = Folds(folds.train, durable(folds.test, "test"))
+    stored = folds.stored()
     return [write_fold(*stored.pair(i), root, i) for i in range(plan.folds)]
 
 
 @dataclass(frozen=True)
 class SampleSpec:
-    """Options of the sample generator. ``window`` in seconds wins over ``rows``."""
+    """Options of the sample generator; the defaults are fixed values.
+    ``window`` in seconds wins over ``rows``."""
 
     binarise: bool = False
     zero_columns: tuple[str, ...] = ()

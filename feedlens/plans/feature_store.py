@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 from functools import reduce
 
@@ -22,14 +23,18 @@ class FeatureCache:
 
     ``dataset`` identifies the input, for instance by
     :func:`feedlens.sources.paths.dataset_fingerprint`; two datasets with the
-    same number of rows never share an entry.
+    same number of rows never share an entry. What else a feature was computed
+    from, auxiliaries and earlier features, is part of its name.
     """
 
     root: str
     dataset: str
 
-    def path(self, extractor: Extractor) -> str:
-        return f"{self.root}/{self.dataset}/{extractor.cache_name}"
+    def path(self, extractor: Extractor, sources: list[str] = ()) -> str:
+        name = extractor.cache_name
+        if sources:
+            name += "-" + hashlib.sha256("\n".join(sources).encode()).hexdigest()[:16]
+        return f"{self.root}/{self.dataset}/{name}"
 
     def clear(self, spark: SparkSession) -> None:
         clear_directory(spark, f"{self.root}/{self.dataset}")
@@ -66,7 +71,11 @@ class FeatureStore:
     columns replaces that table. Only features given as keyed tables are joined
     by row key. By default only those are cached, because joining a stored
     feature back costs two shuffles of all rows, mostly more than computing it
-    again; ``cache_all`` stores every feature.
+    again; ``cache_all`` stores every feature and reads it back.
+
+    Every feature table must have exactly one row per raw row. That is verified
+    by an aggregate over the row key; ``check_contract=False`` leaves it out.
+    Expressions cannot break the contract and are not checked.
     """
 
     def __init__(
@@ -79,7 +88,7 @@ class FeatureStore:
         auxiliary_cache: FeatureCache | None = None,
         inference: bool = False,
         cache_all: bool = False,
-        check_contract: bool = False,
+        check_contract: bool = True,
     ):
         self.raw = raw
         self.registry = registry
@@ -121,14 +130,23 @@ class FeatureStore:
             tables.update(extracted)
         return tables
 
+    def _auxiliary_sources(self) -> list[str]:
+        """What the auxiliaries were computed from, besides the dataset itself."""
+        names = [f"auxiliary {self.registry.auxiliaries[name].cache_name}" for name in self.auxiliary_names]
+        if names and self.auxiliary_cache:
+            names.append(f"of {self.auxiliary_cache.dataset}, extended: {self.inference}")
+        return names
+
     def _extend(self, frame: DataFrame) -> tuple[DataFrame, list[str]]:
         """Raw rows with all features, and the feature names in order."""
         spark = frame.sparkSession
         auxiliaries = self.auxiliaries()
         features: dict[str, Column] = {}
+        sources = self._auxiliary_sources()
         for name in self.custom:
             extractor = self.registry.features[name]
-            path = self.feature_cache.path(extractor) if self.feature_cache else None
+            path = self.feature_cache.path(extractor, sources) if self.feature_cache else None
+            sources = [*sources, extractor.cache_name]
             if path and is_complete(spark, path):
                 frame, names = self._attach(frame, spark.read.parquet(path))
             else:
@@ -142,9 +160,11 @@ class FeatureStore:
                     wider = None
                 if wider is not None:
                     names = [c for c in wider.columns if c not in frame.columns]
-                    frame = wider
                     if path and self.cache_all:
-                        write_feature(frame, path, names)
+                        write_feature(wider, path, names)
+                        frame, names = self._attach(frame, spark.read.parquet(path))
+                    else:
+                        frame = wider
                 else:
                     if path:
                         write_feature(result, path, [c for c in result.columns if c not in S.KEYS])

@@ -78,7 +78,8 @@ def cross_fold_evaluation(
 ) -> DataFrame:
     """``(fold, split, target, ap, rce)`` of a fresh model per train/test pair.
 
-    Auxiliaries of the train side are stored and extended by the test side.
+    Auxiliaries of the train side are stored and extended by the test side;
+    features must not read a row's own labels back from them.
     """
     results = []
     for fold, (train_raw, test_raw) in enumerate(pairs):

@@ -48,13 +48,14 @@ def release_scratch(spark: SparkSession) -> None:
         delete(spark, _handed_out.pop())
 
 
-def durable(df: DataFrame, label: str = "table", path: str | None = None) -> DataFrame:
+def durable(df: DataFrame, label: str = "table", path: str | None = None, partition_by: list[str] = ()) -> DataFrame:
     """Write ``df`` as parquet and continue from the files.
 
     Cuts the lineage like a checkpoint does, and in addition keeps columns
-    prunable and gives the optimiser real sizes for its join choices.
+    prunable and gives the optimiser real sizes for its join choices. Filters on
+    ``partition_by`` columns read the matching directories only.
     """
     spark = df.sparkSession
     target = path or scratch_path(spark, label)
-    df.write.mode("overwrite").parquet(target)
-    return spark.read.schema(df.schema).parquet(target)
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(target)
+    return spark.read.schema(df.schema).parquet(target).select(*df.columns)

@@ -93,6 +93,11 @@ VERTICES = (
     f" UNION SELECT {USER.format(role='engaging')} FROM interactions WHERE {ENGAGED})"
 )
 IN_DEGREES = "in_degrees AS (SELECT dst AS id, count(*) AS in_degree FROM edges GROUP BY 1)"
+#: Degrees of both users without the edges of the row itself.
+OWN_EDGES = " + ".join(f"cast({c} IS NOT NULL AS bigint)" for c in S.LABELS)
+OTHER_DEGREES = ", ".join(
+    f"coalesce({d}, 0) - ({OWN_EDGES}) AS {user}_user_{d}" for d, user in (("in_degree", "engaged_with"), ("out_degree", "engaging"))
+)
 OUT_DEGREES = "out_degrees AS (SELECT src AS id, count(*) AS out_degree FROM edges GROUP BY 1)"
 
 LONG = "long AS ({})".format(
@@ -364,6 +369,11 @@ ORACLES: dict[str, str] = {
         "SELECT count(DISTINCT component) AS n_components, round(count(*) / count(DISTINCT component), 6) AS avg_vertices FROM labels",
         EDGES, TYPED, *TYPED_COMPONENTS, recursive=True,
     ),
+    "degrees_without_own_row": sql(
+        f"SELECT {KEYS}, {OTHER_DEGREES} FROM interactions "
+        "LEFT JOIN in_degrees i ON i.id = engaged_with_user_id LEFT JOIN out_degrees o ON o.id = engaging_user_id",
+        EDGES, IN_DEGREES, OUT_DEGREES,
+    ),
     "degree_features": sql(
         f"SELECT {KEYS}, coalesce(i.in_degree, 0) AS engaged_with_user_in_degree, coalesce(o.out_degree, 0) AS engaging_user_out_degree "
         "FROM interactions LEFT JOIN in_degrees i ON i.id = engaged_with_user_id LEFT JOIN out_degrees o ON o.id = engaging_user_id",
@@ -388,8 +398,7 @@ ORACLES: dict[str, str] = {
     ),
     # feature store
     "feature_assembly": sql(
-        f"SELECT {KEYS}, {FEATURES}, {TARGETS}, coalesce(i.in_degree, 0) AS engaged_with_user_in_degree, "
-        "coalesce(o.out_degree, 0) AS engaging_user_out_degree FROM interactions "
+        f"SELECT {KEYS}, {FEATURES}, {TARGETS}, {OTHER_DEGREES} FROM interactions "
         "LEFT JOIN in_degrees i ON i.id = engaged_with_user_id LEFT JOIN out_degrees o ON o.id = engaging_user_id",
         EDGES, IN_DEGREES, OUT_DEGREES,
     ),
@@ -410,8 +419,7 @@ ORACLES: dict[str, str] = {
     ),
     # streaming
     "stream_hourly": sql(
-        "SELECT timestamp // 3600 * 3600 AS hour, type, count(*) AS count FROM events "
-        "WHERE timestamp // 3600 * 3600 + 3600 <= (SELECT max(timestamp) FROM events) - 3600 GROUP BY 1, 2",
+        "SELECT timestamp // 3600 * 3600 AS hour, type, count(*) AS count FROM events GROUP BY 1, 2",
         EVENTS,
     ),
     "stream_scored": sql(f"SELECT {KEYS}, {SCORE} AS p FROM interactions"),

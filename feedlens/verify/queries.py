@@ -20,7 +20,7 @@ from feedlens.plans.models import TargetModels, score_batches
 from feedlens.sources import readers, writers
 from feedlens.sources.durable import durable, scratch_path
 from feedlens.standin import interactions
-from feedlens.streaming.hourly import stream_hourly_counts
+from feedlens.streaming.hourly import read_hourly_counts, stream_hourly_counts
 from feedlens.streaming.scoring import read_part_stream, stream_scores
 
 #: Split time of the stand-in table: its median tweet time.
@@ -453,6 +453,12 @@ def degree_features(df):
     return graph.degree_features(df, graph.degrees(graph.edges(df)))
 
 
+@on_stored_interactions
+def degrees_without_own_row(df):
+    """No row sees its own engagements in the degrees of its users."""
+    return graph.degree_features(df, graph.degrees(graph.edges(df)), own=graph.own_edges(df))
+
+
 @on_stored_interactions
 def graph_report(df):
     return rounded(jobs.graph_report(df), "value")
@@ -529,8 +535,7 @@ def degree_model() -> TargetModels:
 
 def stored_pairs(df: DataFrame, folds: int) -> list[tuple[DataFrame, DataFrame]]:
     plan = sampling.FoldPlan(split=SPLIT, train_rows=10_000, test_rows=2_000, extra_rows=200, folds=folds)
-    built = sampling.build_folds(df, plan)
-    built = sampling.Folds(built.train, durable(built.test, "test"))
+    built = sampling.build_folds(df, plan).stored()
     return [built.pair(i) for i in range(folds)]
 
 
@@ -557,7 +562,7 @@ def stream_hourly(df):
     spark, out = df.sparkSession, scratch_path(df.sparkSession, "hours")
     stream = read_part_stream(spark, text_copy(df), labelled=True)
     stream_hourly_counts(stream, out, scratch_path(spark, "hours-state")).awaitTermination()
-    return spark.read.schema("hour bigint, type string, count bigint").parquet(out)
+    return read_hourly_counts(spark, out)
 
 
 @on_interactions

@@ -121,8 +121,37 @@ def test_contract(raw, registry):
     assert tuple(row_contract(raw, swapped).first()) == (2, 2, 1, False)
 
 
-def test_duplicate_keys_fan_out_like_a_join(raw, registry):
-    assert FeatureStore(raw, ["doubled"], registry=registry).dataset().count() == 4
+def test_without_the_check_duplicate_keys_fan_out_like_a_join(raw, registry):
+    assert FeatureStore(raw, ["doubled"], registry=registry, check_contract=False).dataset().count() == 4
+
+
+def test_lost_rows_are_an_error_by_default(raw, registry):
+    registry.feature()(lost)
+    with pytest.raises(ValueError, match="one row per raw row"):
+        FeatureStore(raw, ["lost"], registry=registry).dataset()
+
+
+def lost(raw_data, features, auxiliaries):
+    return raw_data.where("tweet_id = 't2'").select(*S.KEYS, F.lit(1).alias("lost"))
+
+
+def test_cached_features_follow_their_auxiliaries(raw, table, registry, tmp_path):
+    other = table(*[{"tweet_id": f"o{i}"} for i in range(5)], {"engaged_with_user_id": "q"})
+    found = []
+    for data, name in ((raw, "A"), (other, "B"), (raw, "A")):
+        auxiliary = FeatureCache(str(tmp_path / "auxiliaries"), name)
+        FeatureStore(data, [], ["authors_table"], registry=registry, auxiliary_cache=auxiliary).auxiliaries()
+        options = {"feature_cache": FeatureCache(str(tmp_path / "features"), "raw"), "auxiliary_cache": auxiliary}
+        df = FeatureStore(raw, ["tweets_by_author"], ["authors_table"], registry=registry, **options).dataset()
+        found.append({r["tweet_id"]: r["tweets"] for r in df.collect()})
+    assert found == [{"t1": 1, "t2": 1}, {"t1": 5, "t2": 1}, {"t1": 1, "t2": 1}]
+
+
+def test_cached_features_follow_earlier_features(raw, registry, tmp_path):
+    cache = FeatureCache(str(tmp_path), "d")
+    for enabled in (["keyed"], ["hour", "keyed"], ["keyed"]):
+        FeatureStore(raw, enabled, registry=registry, feature_cache=cache).dataset()
+    assert registry.calls.count("keyed") == 2
 
 
 def test_cache_is_reused_and_tells_datasets_apart(raw, table, registry, tmp_path):
@@ -133,7 +162,8 @@ def test_cache_is_reused_and_tells_datasets_apart(raw, table, registry, tmp_path
     assert registry.calls.count("keyed") == 1 and registry.calls.count("hour") == 2
     other = table({"tweet_id": "x", "language": "12345"}, {"tweet_id": "y"})  # same number of rows
     assert {r["language_length"] for r in build(other, FeatureCache(str(tmp_path), "second")).collect()} == {5, 2}
-    assert paths.subdirectories(raw.sparkSession, f"{tmp_path}/first") == ["keyed-v3"]
+    (stored,) = paths.subdirectories(raw.sparkSession, f"{tmp_path}/first")
+    assert stored.startswith("keyed-v3-")  # and what it was computed from
     cache.clear(raw.sparkSession)
     build(raw, cache)
     assert registry.calls.count("keyed") == 3
@@ -174,10 +204,31 @@ def test_default_extractors(raw, tmp_path):
     cache = FeatureCache(str(tmp_path), "d")
     store = FeatureStore(raw, [*S.MODEL_FEATURES, "binarize_timestamps", "engagement_degrees"], ["engagement_graph"], auxiliary_cache=cache)
     rows = {r["tweet_id"]: r for r in store.dataset(ordered=True).collect()}
-    assert rows["t2"]["like"] and rows["t2"]["engaged_with_user_in_degree"] == 1 and rows["t1"]["engaged_with_user_in_degree"] == 0
+    assert rows["t2"]["like"] and rows["t2"]["engaged_with_user_in_degree"] == 0 and rows["t1"]["engaged_with_user_in_degree"] == 0
     assert set(paths.subdirectories(raw.sparkSession, f"{tmp_path}/d/engagement_graph-v1")) == {"vertices", "edges", "degrees"}
 
 
+def test_degrees_do_not_tell_the_label(table, tmp_path):
+    enabled, names = ["engagement_degrees"], ["engagement_graph"]
+    options = {"auxiliary_cache": FeatureCache(str(tmp_path), "train")}
+    ins, outs = "engaged_with_user_in_degree", "engaging_user_out_degree"
+
+    def degrees(df, **more):
+        rows = FeatureStore(df, enabled, names, **options, **more).dataset().collect()
+        return {r["tweet_id"]: (r[ins], r[outs]) for r in rows}
+
+    train = table({"tweet_id": "x", "like_timestamp": 1, "reply_timestamp": 2}, {"tweet_id": "y", "like_timestamp": 3}, {"tweet_id": "z"})
+    assert degrees(train) == {"x": (1, 1), "y": (2, 2), "z": (3, 3)}
+    test = table({"tweet_id": "n", "like_timestamp": 1}, {"tweet_id": "m"})
+    assert degrees(test, inference=True) == {"n": (3, 3), "m": (3, 3)}
+    assert degrees(test.select(*S.INPUT_COLUMNS), inference=True) == {"n": (3, 3), "m": (3, 3)}
+
+
+def test_graph_auxiliaries_of_unlabelled_data_are_empty(raw):
+    store = FeatureStore(raw.select(*S.INPUT_COLUMNS), ["engagement_degrees"], ["engagement_graph"], inference=True)
+    assert {tuple(r)[2:] for r in store.dataset().collect()} == {(0, 0)}
+
+
 def test_unlabelled_data_needs_no_targets(raw):
     df = raw.select(*S.INPUT_COLUMNS)
     assert FeatureStore(df, S.MODEL_FEATURES, inference=True).dataset().columns == [*S.KEYS, *S.MODEL_FEATURES]

@@ -116,7 +116,7 @@ def test_graph_features_from_training_to_inference(spark, interactions, tmp_path
     loaded = TargetModels().load_pretrained(spark, str(tmp_path / "model"))
     assert loaded.features[-1] == "engaging_user_out_degree" and loaded.auxiliaries == ["engagement_graph"]
     cache = jobs.training_cache(spark, path, root)
-    unlabelled = interactions.withColumns({c: F.lit(None).cast("long") for c in S.LABELS})
+    unlabelled = interactions.select(*S.INPUT_COLUMNS)
     assert jobs.score_unlabelled(unlabelled, loaded, cache).count() == interactions.count()
 
 

@@ -4,7 +4,7 @@ from feedlens import schema as S
 from feedlens.functions.columns import follower_score
 from feedlens.operators import profile, projections
 from feedlens.sources import writers
-from feedlens.streaming.hourly import hourly_windows, stream_hourly_counts
+from feedlens.streaming.hourly import hourly_windows, read_hourly_counts, stream_hourly_counts
 from feedlens.streaming.scoring import read_part_stream, stream_scores
 
 
@@ -36,26 +36,25 @@ def test_every_part_file_is_scored_once(spark, table, tmp_path):
     assert {float(r[2]) for r in rows} == {expected}
 
 
-def test_hourly_stream_equals_the_batch_on_closed_hours(spark, interactions, tmp_path):
+def test_hourly_stream_equals_the_batch(spark, interactions, tmp_path):
     writers.write_delimited(interactions, str(tmp_path / "in"))
     stream = read_part_stream(spark, str(tmp_path / "in"), labelled=True)
     stream_hourly_counts(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    newest = projections.interaction_rows(interactions).agg(F.max("timestamp")).first()[0]
-    closed = profile.full_hour_counts(interactions).where(F.col("hour") + 3600 <= newest - 3600)
-    found = spark.read.parquet(str(tmp_path / "out")).select("hour", "type", "count")
-    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, closed.collect())) != []
-
-
-def test_late_rows_are_dropped(spark, table, tmp_path):
-    source, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
-    run = lambda: stream_hourly_counts(read_part_stream(spark, str(source), labelled=True), out, state).awaitTermination()
-    hour = 3600
-    append_part(table({"like_timestamp": 100}, {"like_timestamp": 9 * hour}), source, "part-0")
-    run()
-    append_part(table({"like_timestamp": 200}, {"like_timestamp": 20 * hour}), source, "part-1")
-    run()
-    rows = sorted(tuple(r) for r in spark.read.parquet(out).select("hour", "type", "count").collect())
-    assert rows == [(0, "like", 1), (9 * hour, "like", 1)]  # 200 came after hour 0 was closed; hour 20 is open
+    found = read_hourly_counts(spark, str(tmp_path / "out"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, profile.full_hour_counts(interactions).collect())) != []
+
+
+def test_late_rows_count_unless_a_lateness_is_given(spark, table, tmp_path):
+    source, hour = tmp_path / "in", 3600
+    runs = [(str(tmp_path / f"out{i}"), str(tmp_path / f"state{i}"), lateness) for i, lateness in enumerate((None, "1 hour"))]
+    parts = [table({"like_timestamp": 100}, {"like_timestamp": 9 * hour}), table({"like_timestamp": 200}, {"like_timestamp": 20 * hour})]
+    for i, part in enumerate(parts):
+        append_part(part, source, f"part-{i}")
+        for out, state, lateness in runs:
+            stream_hourly_counts(read_part_stream(spark, str(source), labelled=True), out, state, lateness).awaitTermination()
+    found = [sorted(map(tuple, read_hourly_counts(spark, out).collect())) for out, _, _ in runs]
+    assert found[0] == [(0, "like", 2), (9 * hour, "like", 1), (20 * hour, "like", 1)]
+    assert found[1] == [(0, "like", 1), (9 * hour, "like", 1), (20 * hour, "like", 1)]
 
 
 def test_hourly_windows_on_a_table(interactions):
