@@ -22,7 +22,6 @@ from feedlens.sources.durable import durable
 
 #: Distinct scores one task sorts; decides the number of score ranges.
 SCORES_PER_RANGE = 1_000_000
-MAX_RANGES = 4096
 
 
 def to_long(
@@ -70,19 +69,18 @@ def score_counts(long: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def _with_range(counts: DataFrame, scores_per_range: int) -> DataFrame | None:
+def _with_range(counts: DataFrame, scores_per_range: int) -> DataFrame:
     """Add ``range``: consecutive score intervals of about equal population.
 
-    None if one interval is enough. Edges are approximate quantiles of the
-    distinct scores, hence balanced for any score distribution; the interval of
-    a score is a function of the score alone, so a retried task puts it where it
-    was before. Rows without a score form the lowest interval.
+    Edges are approximate quantiles of the distinct scores, hence balanced for
+    any score distribution; the interval of a score is a function of the score
+    alone, so a retried task puts it where it was before. Rows without a score
+    form the lowest interval.
     """
-    ranges = min(MAX_RANGES, math.ceil(counts.count() / scores_per_range))
-    if ranges <= 1:
-        return None
-    quantiles = [i / ranges for i in range(1, ranges)]
-    edges = sorted(set(counts.approxQuantile("p", quantiles, 1 / (4 * ranges))))
+    ranges = 1 + counts.count() // scores_per_range
+    quantiles = [i / ranges for i in range(ranges)]
+    # 0 is one more edge: a bucketizer needs one where no row has a score.
+    edges = sorted({0.0, *counts.approxQuantile("p", quantiles, 1 / (4 * ranges))})
     bucketizer = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="p", outputCol="range", handleInvalid="keep")
     return bucketizer.transform(counts).withColumn("range", F.coalesce("range", F.lit(-1.0)))
 
@@ -91,14 +89,11 @@ def _running(counts: DataFrame, by: list[str], scores_per_range: int) -> DataFra
     """Add positives and rows at or above each score, as ``pos_cum, n_cum``.
 
     The running totals inside a score range plus the totals of the higher
-    ranges. Apart from the range totals, at most ``MAX_RANGES`` rows per group,
-    no window spans more than one range.
+    ranges. Apart from the range totals, one row per ``scores_per_range``
+    scores, no window spans more than one range.
     """
     ranged = _with_range(counts, scores_per_range)
-    window = Window.partitionBy(*by, *([] if ranged is None else ["range"])).orderBy(F.desc_nulls_last("p"))
-    window = window.rowsBetween(Window.unboundedPreceding, 0)
-    if ranged is None:
-        return counts.withColumns({"pos_cum": F.sum("pos").over(window), "n_cum": F.sum("n").over(window)})
+    window = Window.partitionBy(*by, "range").orderBy(F.desc_nulls_last("p")).rowsBetween(Window.unboundedPreceding, 0)
     higher = Window.partitionBy(*by).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy(*by, "range").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
     above = totals.select(

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
@@ -11,11 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlens import schema as S
-
-#: Slice of rows that one task may sort to find a boundary.
-SLICE_ROWS = 1_000_000
-#: Keys sampled per narrowing step.
-SAMPLE_ROWS = 10_000
+from feedlens.sources.durable import durable
 
 Key = tuple
 
@@ -60,106 +56,79 @@ def key_equals(bound: Key, keys: list[str] = S.KEYS) -> Column:
     return reduce(and_, [_same(F.col(k), v) for k, v in zip(keys, bound)])
 
 
-def _sampled_keys(df: DataFrame, keys: list[str], fraction: float, seed: int) -> list[tuple[Key, int]]:
-    """Distinct sampled keys in order with their number of sampled rows."""
-    counted = df.sample(fraction=fraction, seed=seed).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    rows = counted.orderBy(*[F.col(k).asc_nulls_last() for k in keys]).collect()
-    return [(tuple(row[k] for k in keys), row["n"]) for row in rows]
-
-
-def _key_at_rank(sample: list[tuple[Key, int]], rank: float) -> Key | None:
-    """Sampled key that covers ``rank``; None outside of the sample."""
-    seen = 0
-    for key, n in sample:
-        if seen <= rank < seen + n:
-            return key
-        seen += n
-    return None
-
-
-def _keys_in_slice(part: DataFrame, positions: list[int], keys: list[str]) -> list[Key]:
-    """Keys at positions of a slice small enough for one task to sort."""
-    order = [F.col(k).asc_nulls_last() for k in keys]
-    running = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    counted = part.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("end", F.sum("n").over(running))
-    covers = reduce(or_, [(F.col("end") > p) & (F.col("end") - F.col("n") <= p) for p in positions])
-    rows = counted.where(covers).collect()
-    return [tuple(r[k] for k in keys) for p in positions for r in rows if r["end"] - r["n"] <= p < r["end"]]
-
-
-def keys_at(
-    df: DataFrame,
-    positions: list[int],
-    rows: int,
-    keys: list[str] = S.KEYS,
-    slice_rows: int = SLICE_ROWS,
-    sample_rows: int = SAMPLE_ROWS,
-) -> list[Key]:
-    """Keys of the rows at ``positions`` (from 0) in key order.
-
-    Selection by narrowing instead of a full sort: a small sample of keys gives
-    a bracket around a position, one counting scan verifies it, and only the
-    bracket is narrowed again or sorted. Scans read the key columns alone and
-    nothing but the last slice is shuffled. The sample decides how fast the
-    bracket shrinks, never the result.
-    """
-    if rows <= slice_rows:
-        return _keys_in_slice(df.select(*keys), positions, keys)
-    return [_key_at(df, p, rows, keys, slice_rows, sample_rows) for p in positions]
-
-
-def _key_at(df: DataFrame, position: int, rows: int, keys: list[str], slice_rows: int, sample_rows: int) -> Key:
-    part, below, size = df.select(*keys), 0, rows
-    seed = 0
-    while size > slice_rows:
-        sample = _sampled_keys(part, keys, min(1.0, sample_rows / size), seed)
-        seed += 1
-        sampled = sum(n for _, n in sample)
-        target = (position - below) / size * sampled
-        margin = 4 * math.sqrt(sampled) + 1
-        ranks = (target - margin, target, target + margin)
-        bounds = [b for b in dict.fromkeys(_key_at_rank(sample, r) for r in ranks) if b]
-        if not bounds:  # an empty sample: draw another one
-            continue
-        counts = part.agg(
-            *[F.count_if(key_below(b, keys)).alias(f"below{i}") for i, b in enumerate(bounds)],
-            *[F.count_if(key_equals(b, keys)).alias(f"equal{i}") for i, b in enumerate(bounds)],
-        ).first()
-        base = below
-        for i, bound in enumerate(bounds):
-            start = base + counts[f"below{i}"]
-            end = start + counts[f"equal{i}"]
-            if start <= position < end:
-                return bound
-            if position < start:
-                part, size = part.where(key_below(bound, keys)), start - below
-                break
-            part = part.where(key_above(bound, keys))
-            size, below = size - (end - below), end
-    return _keys_in_slice(part, [position - below], keys)[0]
+@dataclass(frozen=True)
+class KeyRanges:
+    """Distinct keys with their rows ``_n``, stored by ranges ``_part`` in key
+    order, and ``(range, rows)`` of every range."""
+
+    table: DataFrame
+    sizes: list[tuple[int, int]]
+    keys: list[str]
+
+    @property
+    def rows(self) -> int:
+        return sum(size for _, size in self.sizes)
+
+    def at(self, positions: list[int]) -> dict[int, tuple[Key, int]]:
+        """By position (from 0) in key order: the key of that row, and how many
+        rows with the same key stand before it. Sorts the ranges concerned."""
+        inside, start = {}, 0
+        for part, size in self.sizes:
+            inside.update({p: (part, p - start) for p in positions if start <= p < start + size})
+            start += size
+        if not inside:
+            return {}
+        order = [F.col(k).asc_nulls_last() for k in self.keys]
+        running = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        ranges = self.table.where(F.col("_part").isin([part for part, _ in inside.values()]))
+        first = F.sum("_n").over(running) - F.col("_n")
+        covers = [(F.col("_part") == part) & (F.col("_first") <= at) & (F.col("_first") + F.col("_n") > at) for part, at in inside.values()]
+        found = ranges.withColumn("_first", first).where(reduce(or_, covers)).collect()
+        return {
+            p: (tuple(row[k] for k in self.keys), at - row["_first"])
+            for p, (part, at) in inside.items()
+            for row in found
+            if row["_part"] == part and row["_first"] <= at < row["_first"] + row["_n"]
+        }
+
+
+def key_ranges(df: DataFrame, keys: list[str] = S.KEYS) -> KeyRanges:
+    """Ranges of ``df`` in key order, as many as the session has shuffle
+    partitions. Rows are combined per key first, so a hot key is one entry, and
+    only keys are moved."""
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    ordered = counted.repartitionByRange(*[F.col(k).asc_nulls_last() for k in keys])
+    table = durable(ordered.withColumn("_part", F.spark_partition_id()), "ranges", partition_by=["_part"])
+    sizes = table.groupBy("_part").agg(F.sum("_n").alias("rows")).collect()
+    return KeyRanges(table, sorted(map(tuple, sizes)), list(keys))
 
 
 def positional_split(
-    df: DataFrame, train_until: float = 0.6, test_from: float = 0.8, keys: list[str] = S.KEYS, **limits
+    df: DataFrame, train_until: float = 0.6, test_from: float = 0.8, keys: list[str] = S.KEYS
 ) -> tuple[DataFrame, DataFrame]:
     """First share of the rows for training, last share for testing.
 
     In key order, since a distributed table has no file order. Both sides are
-    filters against a boundary key, so no row moves. Rows that share a key stay
-    together: where a boundary falls inside of them, they are on its later side.
+    filters against a boundary, so no whole row moves. Rows that share a key are
+    ordered by the hash of the whole row, as in :func:`sort_by_key`; only rows
+    that are equal in every column stay together, on the later side.
     """
-    rows = df.count()
-    train_end, test_start = int(rows * train_until), int(rows * test_from)
-
-    inner = [p for p in dict.fromkeys((train_end, test_start)) if 0 < p < rows]
-    bounds = dict(zip(inner, keys_at(df, inner, rows, keys, **limits))) if inner else {}
-
-    def first(position: int) -> Column:
-        return key_below(bounds[position], keys) if position in bounds else F.lit(position >= rows)
-
-    def rest(position: int) -> Column:
-        if position not in bounds:
-            return F.lit(position < rows)
-        return key_above(bounds[position], keys) | key_equals(bounds[position], keys)
-
-    return df.where(first(train_end)), df.where(rest(test_start))
+    ranges = key_ranges(df, keys)
+    train_end, test_start = int(ranges.rows * train_until), int(ranges.rows * test_from)
+    row_hash = F.xxhash64(*df.columns)
+    found = ranges.at([train_end, test_start])
+
+    def sides(position: int) -> tuple[Column, Column]:
+        if position not in found:  # behind the last row
+            return F.lit(True), F.lit(False)
+        key, offset = found[position]
+        below, same, above = key_below(key, keys), key_equals(key, keys), key_above(key, keys)
+        if not offset:
+            return below, above | same
+        # Inside the copies of one key. The first terms are implied; they are
+        # what a reader can push down.
+        copies = df.where(same).select(row_hash.alias("_tie"))
+        (tie,), _ = key_ranges(copies, ["_tie"]).at([offset])[offset]
+        return (below | same) & (below | (row_hash < F.lit(tie))), (above | same) & (above | (row_hash >= F.lit(tie)))
+
+    return df.where(sides(train_end)[0]), df.where(sides(test_start)[1])

@@ -186,42 +186,49 @@ def test_positional_split_of_small_tables(table, n):
     assert [k for k, _ in keys(test)] == [f"t{i}" for i in range(int(n * 0.8), n)]
 
 
-@pytest.mark.parametrize("limits", [{}, {"slice_rows": 100, "sample_rows": 200}, {"slice_rows": 1, "sample_rows": 30}])
-def test_positional_split_narrows_to_the_exact_rows(interactions, limits):
+def test_positional_split_takes_the_exact_rows(interactions):
     ordered = keys(interactions)
     n = len(ordered)
-    train, test = splits.positional_split(interactions.repartition(5), **limits)
+    train, test = splits.positional_split(interactions.repartition(5))
     assert keys(train) == ordered[: int(n * 0.6)] and keys(test) == ordered[int(n * 0.8) :]
 
 
-def test_positional_split_with_a_hot_key(spark):
+def test_positional_split_inside_a_hot_key(spark):
     rng = random.Random(5)
     ids = [f"k{rng.randrange(400):04d}" for _ in range(600)] + ["k0150"] * 400
     df = spark.createDataFrame([(i, "u", n) for n, i in enumerate(ids)], "tweet_id string, engaging_user_id string, n int").repartition(4)
     ids.sort()
-    for limits in ({}, {"slice_rows": 20, "sample_rows": 50}):
-        train, test = splits.positional_split(df, **limits)
-        below = [i for i in ids if i < ids[600]]
-        assert sorted(r["tweet_id"] for r in train.collect()) == below
-        assert sorted(r["tweet_id"] for r in test.collect()) == [i for i in ids if i >= ids[800]]
+    assert ids[400] == ids[500] == "k0150"
+    for cut in (0.4, 0.5, 0.8):
+        train, test = splits.positional_split(df, cut, cut)
+        n = int(1000 * cut)
+        assert sorted(r["tweet_id"] for r in train.collect()) == ids[:n] and sorted(r["tweet_id"] for r in test.collect()) == ids[n:]
+        assert train.unionByName(test).distinct().count() == 1000
+
+
+def test_equal_rows_stay_together(spark):
+    df = spark.createDataFrame([("a", "u")] * 7 + [("b", "u")] * 3, "tweet_id string, engaging_user_id string")
+    train, test = splits.positional_split(df, 0.5, 0.8)
+    assert (train.count(), test.count()) == (0, 3)
 
 
 def test_rows_with_missing_keys_come_last(spark):
     rows = [(None, "u"), ("a", None), ("a", "x"), ("b", "x"), (None, None)]
     df = spark.createDataFrame(rows, "tweet_id string, engaging_user_id string")
     ordered = [("a", "x"), ("a", None), ("b", "x"), (None, "u"), (None, None)]
-    for limits in ({}, {"slice_rows": 1, "sample_rows": 50}):
-        for cut in range(6):
-            train, test = splits.positional_split(df, cut / 5, cut / 5, **limits)
-            assert sorted(map(tuple, train.collect()), key=str) == sorted(ordered[:cut], key=str)
-            assert sorted(map(tuple, test.collect()), key=str) == sorted(ordered[cut:], key=str)
+    for cut in range(6):
+        train, test = splits.positional_split(df, cut / 5, cut / 5)
+        assert sorted(map(tuple, train.collect()), key=str) == sorted(ordered[:cut], key=str)
+        assert sorted(map(tuple, test.collect()), key=str) == sorted(ordered[cut:], key=str)
 
 
-@pytest.mark.parametrize("position", [0, 1, 449, 450, 500, 998, 999])
-def test_keys_at_every_kind_of_position(spark, position):
+def test_key_at_every_kind_of_position(spark):
     ids = sorted([f"k{i:04d}" for i in range(600)] + ["k0300"] * 400)
     df = spark.createDataFrame([(i, "u") for i in ids], "tweet_id string, engaging_user_id string").repartition(3)
-    assert splits.keys_at(df, [position], 1000, slice_rows=10, sample_rows=60) == [(ids[position], "u")]
+    ranges = splits.key_ranges(df)
+    positions = [0, 1, 449, 450, 500, 998, 999]
+    assert ranges.rows == 1000
+    assert ranges.at([*positions, 1000]) == {p: ((ids[p], "u"), p - ids.index(ids[p])) for p in positions}
 
 
 def test_sort_puts_missing_keys_last(table):
