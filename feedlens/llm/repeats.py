@@ -31,9 +31,11 @@ PARTS = LENGTH - GRAM + 1
 STARTS = 1 << 20
 PLACE = np.uint64((1 << 21) - 1)
 #: Bytes of a block, and runs of one anchor that stay together. An anchor with
-#: more is divided by the place of the anchor in the string, then by a hash of
-#: the string's first bytes: equal strings agree on both.
-BLOCK_BYTES, RUNS = 1 << 20, 2048
+#: more is divided by the place of the anchor in the string, on which equal
+#: strings agree, into at most so many divisions. The strings of an anchor with
+#: still more runs, such as a passage that most documents have, are not brought
+#: together: like whole runs, they are counted by their hashes.
+BLOCK_BYTES, RUNS, DIVISIONS = 1 << 20, 2048, 16
 SEPARATOR = 256
 
 
@@ -166,12 +168,7 @@ def repeated_starts(runs: list[bytes]) -> list[np.ndarray]:
 
 def _shipped(text: bytes, row: dict) -> Iterator[tuple[int, int, bytes]]:
     """Division, first start and bytes of the parts of a run that go to blocks."""
-    start, n, ahead, by_place, by_hash = (row[k] for k in ("start", "n", "ahead", "by_place", "by_hash"))
-    if by_hash > 1:
-        for k in range(start, start + n):
-            prefix = RangeHash(np.frombuffer(text[k : k + 32], np.uint8))(np.array([0]), np.array([32]))[0]
-            yield int(prefix % np.uint64(by_hash)) * PARTS + ahead - (k - start), k, text[k : k + LENGTH]
-        return
+    start, n, ahead, by_place = (row[k] for k in ("start", "n", "ahead", "by_place"))
     width = -(-PARTS // by_place)
     low = 0
     while low < n:
@@ -181,6 +178,13 @@ def _shipped(text: bytes, row: dict) -> Iterator[tuple[int, int, bytes]]:
         low = high
 
 
+def _counted(text: bytes, row: dict) -> Iterator[tuple[int, int]]:
+    """Start and hash of every string of a run."""
+    start, n = row["start"], row["n"]
+    hashes = RangeHash(np.frombuffer(text[start : start + n - 1 + LENGTH], np.uint8)).fixed(LENGTH)
+    return zip(range(start, start + n), hashes.view(np.int64).tolist())
+
+
 @dataclass
 class Repeats:
     """``spans``: ``doc, mark, spans`` (arrays of byte ranges, merged, in order)
@@ -217,14 +221,14 @@ def find_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Re
 
     several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_kinds")).where("n_kinds > 1")
     parts = F.ceil(F.col("n_kinds") / RUNS)
-    divided = several.select("anchor", F.least(parts, F.lit(PARTS)).cast("int").alias("by_place"), F.ceil(parts / PARTS).cast("int").alias("by_hash"))
-    searched = kinds.join(divided, "anchor").select("anchor", (F.col("copies") == 1).alias("alone"), "run.*", "by_place", "by_hash")
+    divided = several.select("anchor", F.when(parts <= DIVISIONS, parts.cast("int")).alias("by_place"))  # null: counted
+    searched = kinds.join(divided, "anchor").select("anchor", (F.col("copies") == 1).alias("alone"), "run.*", "by_place")
     involved = met.select("doc", "mark").distinct()
     texts = named.dropDuplicates(["doc", "mark"]).alias("t").join(
         involved.alias("i"), F.col("t.doc").eqNullSafe(F.col("i.doc")) & (F.col("t.mark") == F.col("i.mark")), "left_semi"
     )
     texts = durable(texts, "texts")
-    fields = F.struct("anchor", "alone", "start", "n", "ahead", "by_place", "by_hash")
+    fields = F.struct("anchor", "alone", "start", "n", "ahead", "by_place")
     by_text = searched.groupBy("doc", "mark").agg(F.collect_list(fields).alias("runs"))
     cut = texts.alias("t").join(by_text.alias("r"), F.col("t.doc").eqNullSafe(F.col("r.doc")) & (F.col("t.mark") == F.col("r.mark")))
 
@@ -232,18 +236,30 @@ def find_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Re
         for batch in batches:
             for i in range(len(batch)):
                 data = batch.column(2)[i].as_py().encode()
-                out = [(r["anchor"], r["alone"], *part) for r in batch.column(3)[i].as_py() for part in _shipped(data, r)]
-                anchors, alone, division, start, string = zip(*out)
+                out = []
+                for r in batch.column(3)[i].as_py():
+                    if r["by_place"] is None:
+                        out += [(r["anchor"], r["alone"], None, start, None, content) for start, content in _counted(data, r)]
+                    else:
+                        out += [(r["anchor"], r["alone"], *part, None) for part in _shipped(data, r)]
+                anchors, alone, division, start, string, content = zip(*out)
                 place = pa.array(np.full(len(out), i))
                 keys = [batch.column(c).take(place) for c in range(2)]
-                arrays = [pa.array(anchors, pa.int64()), pa.array(division, pa.int64()), pa.array(alone), pa.array(start, pa.int32()), pa.array(string, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*keys, *arrays], ["doc", "mark", "anchor", "division", "alone", "start", "string"])
+                arrays = [pa.array(anchors, pa.int64()), pa.array(division, pa.int64()), pa.array(alone), pa.array(start, pa.int32())]
+                arrays += [pa.array(string, pa.binary()), pa.array(content, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*keys, *arrays], ["doc", "mark", "anchor", "division", "alone", "start", "string", "content"])
 
     doc = named.schema["doc"].dataType.simpleString()
     shipped = cut.select("t.doc", "t.mark", "text", "runs").mapInArrow(
-        ship, f"doc {doc}, mark long, anchor long, division long, alone boolean, start int, string binary"
+        ship, f"doc {doc}, mark long, anchor long, division long, alone boolean, start int, string binary, content long"
     )
     shipped = durable(shipped, "shipped")
+    counted = shipped.where("content IS NOT NULL").select("doc", "mark", "anchor", "content", "alone", "start")
+    twice = counted.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "content")
+    twice = durable(twice, "twice")
+    counted = counted.where("alone").join(twice, ["anchor", "content"], "left_semi")
+    counted_spans = counted.select("doc", "mark", F.col("start").alias("low"), (F.col("start") + LENGTH).alias("high"))
+    shipped = shipped.where("string IS NOT NULL").drop("content")
     total = shipped.agg(F.coalesce(F.sum(F.length("string")), F.lit(0))).first()[0]
     blocks = F.pmod(F.xxhash64("anchor", "division"), F.lit(total // BLOCK_BYTES + 1))
 
@@ -257,7 +273,7 @@ def find_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Re
         return pa.Table.from_arrays([*keys, pa.array(low, pa.int32()), pa.array(low + LENGTH, pa.int32())], ["doc", "mark", "low", "high"])
 
     searched_spans = shipped.withColumn("block", blocks).groupBy("block").applyInArrow(search, f"doc {doc}, mark long, low int, high int")
-    every = covered.unionByName(searched_spans).groupBy("doc", "mark").agg(F.array_sort(F.collect_set(F.struct("low", "high"))).alias("spans"))
+    every = covered.unionByName(counted_spans).unionByName(searched_spans).groupBy("doc", "mark").agg(F.array_sort(F.collect_set(F.struct("low", "high"))).alias("spans"))
     return Repeats(every, texts)
 
 

@@ -215,9 +215,10 @@ def repeat_texts():
     return texts + [prose(rng, rng.randrange(60)) + passage[rng.randrange(100) : 200 + rng.randrange(150)] + "é" + prose(rng, rng.randrange(60)) for _ in range(40)]
 
 
-@pytest.mark.parametrize("runs", [repeats.RUNS, 2])
-def test_repeats_match_brute_force(spark, monkeypatch, runs):
+@pytest.mark.parametrize(("runs", "divisions"), [(repeats.RUNS, repeats.DIVISIONS), (2, repeats.PARTS), (2, 1)])
+def test_repeats_match_brute_force(spark, monkeypatch, runs, divisions):
     monkeypatch.setattr(repeats, "RUNS", runs)  # with 2, anchors are divided by place
+    monkeypatch.setattr(repeats, "DIVISIONS", divisions)  # with 1, they are counted string by string
     texts = repeat_texts()
     got = {r["doc_id"]: r for r in repeats.remove_repeats(docs(spark, texts)).collect()}
     for i, (kept, spans) in enumerate(plain_cut(texts)):
@@ -249,10 +250,10 @@ def test_divided_runs_hold_every_start():
     rng = random.Random(10)
     text = prose(rng, 200).encode()
     found = repeats.runs_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-    for by_place, by_hash in ((1, 1), (7, 1), (repeats.PARTS, 3)):
+    for by_place in (1, 7, repeats.PARTS):
         starts = []
         for start, n, ahead in zip(found["start"], found["n"], found["ahead"]):
-            row = {"start": int(start), "n": int(n), "ahead": int(ahead), "by_place": by_place, "by_hash": by_hash}
+            row = {"start": int(start), "n": int(n), "ahead": int(ahead), "by_place": by_place}
             for _, low, string in repeats._shipped(text, row):
                 assert string == text[low : low + len(string)]
                 starts += range(low, low + len(string) - repeats.LENGTH + 1)
@@ -449,3 +450,18 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             table = stage(spark, table, sf_dir)
         table.collect()
+
+
+CLASHING = ["row", "key", "id", "copy", "hash", "words", "piece", "mark", "fp", "deleted", "n_lines", "_row", "_digest", "_identity", "score", "items"]
+
+
+def test_stages_keep_clashing_columns(spark, sf_dir):
+    source = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60")
+    source = source.select("*", *[F.lit("x").alias(c) for c in CLASHING])
+    nothing = source.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in source.schema.fields]).limit(3)
+    for table in (source, source.unionByName(nothing).unionByName(source), nothing, source.where("false")):
+        for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            given = table
+            table = stage(spark, given, sf_dir)
+            assert table.columns == (given.columns if number < 4 else [*given.columns, "_copy"])
+            assert table.select(*CLASHING).where(" AND ".join(f"{c} = 'x'" for c in CLASHING)).count() == table.where("doc_id IS NOT NULL").count()
