@@ -116,7 +116,11 @@ def mix_sources(
 
 def repeat_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every taken document, once per copy, with the number of
-    the copy in ``copy``. Columns are those of ``docs``."""
+    the copy in ``copy``. The other columns are those of ``docs``; if one of them
+    is called ``copy`` already, the number is in ``_copy``, and so on."""
+    number = "copy"
+    while number in [c.lower() for c in docs.columns]:
+        number = f"_{number}"
     named = [F.col("row")[c].alias(c) for c in docs.columns]
     mixed = mix_sources(docs, carry=docs.columns, **options).where("copies > 0")
-    return mixed.select(*named, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return mixed.select(*named, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias(number))
