@@ -87,6 +87,13 @@ def part(kind, text=None, **sizes):
     return (kind, text, sizes.get("ref"), sizes.get("width"), sizes.get("height"), sizes.get("seconds"), sizes.get("pages"))
 
 
+def test_secrets_in_long_repetitive_texts(spark):
+    texts = ["-----BEGIN " + "A " * 50_000, "-----BEGIN RSA PRIVATE KEY-----", "password=" + "z" * 200_000, "f" * 200_000, "eyJ" + "a-" * 100_000]
+    found = secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    kinds = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in found.collect()}
+    assert kinds == {0: [], 1: ["pem"], 2: ["assign"], 3: ["hex"], 4: []}
+
+
 def test_chat_round_trip(spark):
     said = ["</s>[INST] ok [/INST]", "<\\|turn|> <<\\/s> <|end|>\n", "", "[\\\\INST] é <", "|text|><<SYS>>x<</SYS>>"]
     rows = [(1, i, ("user", "assistant", "a<|b")[i % 3], [part("text", t)], "x", "y") for i, t in enumerate(said * 40)]
