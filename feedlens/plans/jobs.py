@@ -12,7 +12,7 @@ from feedlens import schema as S
 from feedlens.operators import components, graph, metrics, profile, splits
 from feedlens.plans.feature_store import FeatureCache, FeatureStore
 from feedlens.plans.models import TargetModels
-from feedlens.sources.durable import durable, scratch_path
+from feedlens.sources.durable import durable, job_scratch, scratch_path
 from feedlens.sources.paths import dataset_fingerprint
 from feedlens.sources.readers import read_interactions, read_part_files
 from feedlens.sources.writers import write_predictions
@@ -29,9 +29,10 @@ def train(
     model = model or TargetModels()
     cache = training_cache(spark, path, cache_root) if cache_root else None
     raw = read_interactions(spark, path)
-    store = FeatureStore(raw, model.enabled(), model.auxiliaries, feature_cache=cache, auxiliary_cache=cache)
-    model.fit(store.dataset(), None, params)
-    model.save(model_path, spark)
+    with job_scratch(spark):
+        store = FeatureStore(raw, model.enabled(), model.auxiliaries, feature_cache=cache, auxiliary_cache=cache)
+        model.fit(store.dataset(), None, params)
+        model.save(model_path, spark)
     return model
 
 
@@ -65,8 +66,9 @@ def batch_inference(
     """
     written = Observation()
     raw = read_part_files(spark, directory)
-    predictions = score_unlabelled(raw, model, auxiliary_cache)
-    write_predictions(predictions.observe(written, F.count(F.lit(1)).alias("rows")), out)
+    with job_scratch(spark):
+        predictions = score_unlabelled(raw, model, auxiliary_cache)
+        write_predictions(predictions.observe(written, F.count(F.lit(1)).alias("rows")), out)
     rows, scored = raw.count(), written.get["rows"]
     if rows != scored:
         raise ValueError(f"{rows} rows read but {scored} predictions written")

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,19 +34,39 @@ def scratch_root(spark: SparkSession) -> str:
     return LOCAL_ROOT
 
 
-#: Scratch paths handed out by this process.
+#: Scratch paths handed out by this process outside ``job_scratch``, and inside.
 _handed_out: list[str] = []
+_of_job: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    _handed_out.append(path)
+    own = _of_job.get()
+    (_handed_out if own is None else own).append(path)
     return path
 
 
+@contextmanager
+def job_scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the scratch tables made inside at its end, also after an error.
+
+    Results must be stored or collected inside. A job frees its own tables only,
+    not those of jobs around it or in other threads.
+    """
+    own: list[str] = []
+    token = _of_job.set(own)
+    try:
+        yield
+    finally:
+        _of_job.reset(token)
+        while own:
+            delete(spark, own.pop())
+
+
 def release_scratch(spark: SparkSession) -> None:
-    """Delete the scratch tables of this process, once their results are stored."""
+    """Delete the scratch tables of this process that no ``job_scratch`` owns,
+    once their results are stored."""
     while _handed_out:
         delete(spark, _handed_out.pop())
 

@@ -182,10 +182,10 @@ TYPED_COMPONENTS = component_ctes(
 )
 
 
-def list_ends(name: str, cast: str = "") -> str:
+def whole_list(name: str, cast: str = "") -> str:
     items = f"string_split({name}, chr(9))"
     return (
-        f"cast(len({items}) AS integer) AS {name}_size, {items}[1]{cast} AS {name}_first, {items}[-1]{cast} AS {name}_last"
+        f"cast(len({items}) AS integer) AS {name}_size, {items}[1]{cast} AS {name}_first, replace({name}, chr(9), '|') AS {name}_items"
     )
 
 
@@ -240,8 +240,8 @@ ORACLES: dict[str, str] = {
     "raw_lines_split": sql(f"SELECT {TEXT_COLUMNS} FROM interactions"),
     "typed_cast": sql(f"SELECT {INT_COLUMNS} FROM interactions"),
     "list_columns": sql(
-        f"SELECT {KEYS}, {list_ends('text_tokens', '::bigint')}, "
-        + ", ".join(list_ends(c) for c in S.LIST_FIELDS if c != "text_tokens")
+        f"SELECT {KEYS}, {whole_list('text_tokens', '::bigint')}, "
+        + ", ".join(whole_list(c) for c in S.LIST_FIELDS if c != "text_tokens")
         + " FROM interactions"
     ),
     "predictions_export": sql(

@@ -151,19 +151,10 @@ def typed_cast(df):
 @on_interactions
 def list_columns(df):
     lists = readers.with_list_columns(df)
-    ends = [(c, F.size(c), F.get(c, F.lit(0)), F.get(c, F.size(c) - 1)) for c in S.LIST_FIELDS]
-    return lists.select(
-        *S.KEYS,
-        *[
-            column.alias(f"{name}_{suffix}")
-            for name, size, first, last in ends
-            for suffix, column in (
-                ("size", F.when(F.col(name).isNotNull(), size)),
-                ("first", first),
-                ("last", F.when(F.col(name).isNotNull(), last)),
-            )
-        ],
-    )
+    sizes = [F.when(F.col(c).isNotNull(), F.size(c)).alias(f"{c}_size") for c in S.LIST_FIELDS]
+    firsts = [F.get(c, F.lit(0)).alias(f"{c}_first") for c in S.LIST_FIELDS]
+    items = [F.array_join(c, "|", "?").alias(f"{c}_items") for c in S.LIST_FIELDS]
+    return lists.select(*S.KEYS, *sizes, *firsts, *items)
 
 
 @on_interactions

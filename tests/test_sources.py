@@ -182,6 +182,20 @@ def test_scratch_tables_can_be_released(spark, monkeypatch):
     assert not os.path.exists(directory) and os.path.isdir(os.path.dirname(directory))
 
 
+def test_jobs_free_their_own_scratch_only(spark):
+    def folder(df):
+        return os.path.dirname(df.inputFiles()[0].removeprefix("file://"))
+
+    before = folder(durable.durable(spark.range(3), "numbers"))
+    with durable.job_scratch(spark):
+        outer = folder(durable.durable(spark.range(3), "numbers"))
+        with pytest.raises(ZeroDivisionError), durable.job_scratch(spark):
+            inner = folder(durable.durable(spark.range(3), "numbers"))
+            1 / 0
+        assert os.path.isdir(outer) and not os.path.exists(inner)
+    assert os.path.isdir(before) and not os.path.exists(outer)
+
+
 def test_durable_refuses_a_machine_folder_on_a_cluster():
     class Context:
         master = "yarn"
