@@ -121,7 +121,7 @@ def overlapping_pairs(sequences: DataFrame, rare: int = RARE) -> DataFrame:
 
 def deleted_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", rare: int = RARE, least: int = LEAST_CHARS) -> DataFrame:
     """``id, deleted``: numbers (from 0) of the lines to delete, for documents
-    that lose any. Lines are compared without white space at their ends."""
+    that lose any. Lines are compared without blanks at their ends."""
     lines = F.transform(F.split(F.col(text), "\n", -1), lambda line: F.trim(line))
     hashed = docs.where(F.col(text).isNotNull()).select(
         identity(F.col(key), F.col(text)).alias("id"),
