@@ -1,27 +1,29 @@
 """Line dedup by pairwise alignment.
 
-Documents that overlap are found through the hashes of lines they share; each
-pair is aligned with a patience diff, and common blocks are deleted from the
-later document.
+Documents that overlap are found through the hashes of runs of lines they share.
+Each document is aligned with the first holder of every such run by a patience
+diff; common blocks are deleted from the later one.
 """
 
 from __future__ import annotations
 
+import sys
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedlens.llm.bytescan import mix
 from feedlens.operators.skew import salted_lookup
 from feedlens.sources.durable import durable
 
-#: A line in at most this many distinct documents is rare: all its documents are
-#: paired. Documents with a more frequent line, or pair of lines, are paired
-#: with the first that has it, so no line is left out.
-RARE = 4
+#: Distinct documents up to which all holders of a line count as compared with
+#: each other. There is no such bound: a block in any number of them is found.
+RARE = sys.maxsize
 #: Characters of the aligned lines from which a block is deleted.
 LEAST_CHARS = 100
 
@@ -76,6 +78,38 @@ def _longest_increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return found[::-1]
 
 
+def least_runs(sizes: np.ndarray, offsets: np.ndarray, least: int = LEAST_CHARS) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the shortest runs of lines with ``least`` characters
+    from every line on, and up to every line.
+
+    ``offsets`` bound the lines of each document. Every line of a block of
+    ``least`` characters lies in such a run inside the block: in the one up to it,
+    the one from it on, or the one from the last line before it from which the
+    block still has ``least``.
+    """
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    line = np.arange(len(sizes))
+    document = np.searchsorted(offsets, line, "right") - 1
+    ends = np.searchsorted(total, total[:-1] + least)
+    forward = ends <= offsets[document + 1]
+    starts = np.searchsorted(total, total[1:] - least, "right") - 1
+    backward = starts >= offsets[document]
+    backward[backward] = ends[starts[backward]] != line[backward] + 1  # the same run from its start
+    return np.concatenate([line[forward], starts[backward]]), np.concatenate([ends[forward], line[backward] + 1])
+
+
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def run_hashes(lines: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the lines of every run, wherever it lies."""
+    n = len(lines)
+    powers, inverse = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, base, np.uint64))]) for base in (_BASE, _INVERSE))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(lines) * powers[:-1])])
+    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
 def common_blocks(earlier: list, later: list, sizes: list[int], least: int = LEAST_CHARS) -> list[int]:
     """Lines of ``later`` in aligned blocks of at least ``least`` characters.
     A block is a run of lines that follow each other on both sides."""
@@ -97,29 +131,32 @@ def identity(key: Column, text: Column) -> Column:
     return F.struct(key.isNull().alias("unknown"), key.alias("key"), F.xxhash64(text).alias("text"))
 
 
-def overlapping_pairs(sequences: DataFrame, rare: int = RARE) -> DataFrame:
+def overlapping_pairs(sequences: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     """``earlier, later``: documents to align, each pair once.
 
-    Postings are distinct lines, and pairs of lines that follow each other, per
-    document. All documents of a rare one are paired; the others of a frequent
-    one are paired with its first. The list of a posting is kept while it is
-    short enough to be rare, so no task gathers a frequent line.
+    Postings are the shortest runs of lines with ``least`` characters, and every
+    holder of a run is paired with its first. A line that a document has to lose
+    lies in such a run, so these pairs miss no block, however many documents have
+    it, and grow with the postings only.
     """
-    following = F.transform(
-        F.sequence(F.lit(1), F.size("lines") - 1), lambda i: F.xxhash64(F.element_at("lines", i), F.element_at("lines", i + 1))
-    )
-    grams = F.concat("lines", F.when(F.size("lines") > 1, following).otherwise(F.array().cast("array<bigint>")))
-    postings = sequences.select("id", F.explode(F.array_distinct(grams)).alias("gram"))
-    held = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("earlier")).where("n > 1")
-    found = salted_lookup(postings, held, "gram", ["id"], "inner")
-    frequent = found.where((F.col("n") > rare) & (F.col("id") != F.col("earlier"))).select("earlier", F.col("id").alias("later"))
-    few = found.where(F.col("n") <= rare).groupBy("gram").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    each = few.select(F.posexplode("ids").alias("at", "earlier"), "ids")
-    paired = each.select("earlier", F.explode(F.filter("ids", lambda one, i: i > F.col("at"))).alias("later"))
-    return frequent.unionByName(paired).distinct()
-
-
-def deleted_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", rare: int = RARE, least: int = LEAST_CHARS) -> DataFrame:
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines, sizes = batch.column(1), batch.column(2)
+            offsets = np.concatenate([[0], np.cumsum(lines.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+            starts, ends = least_runs(sizes.flatten().to_numpy(zero_copy_only=False).astype(np.int64), offsets, least)
+            hashes = run_hashes(lines.flatten().to_numpy(zero_copy_only=False).view(np.uint64), starts, ends)
+            ids = batch.column(0).take(pa.array(np.searchsorted(offsets, starts, "right") - 1))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(hashes.view(np.int64))], ["id", "run"])
+
+    id_type = sequences.schema["id"].dataType.simpleString()
+    postings = durable(sequences.select("id", "lines", "sizes").mapInArrow(post, f"id {id_type}, run long"), "runs")
+    held = postings.groupBy("run").agg(F.min("id").alias("earlier"), F.max("id").alias("last")).where("earlier <> last")
+    found = salted_lookup(postings, held.select("run", "earlier"), "run", ["id"], "inner")
+    return found.where("id <> earlier").select("earlier", F.col("id").alias("later")).distinct()
+
+
+def deleted_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int = LEAST_CHARS) -> DataFrame:
     """``id, deleted``: numbers (from 0) of the lines to delete, for documents
     that lose any. Lines are compared without blanks at their ends."""
     lines = F.transform(F.split(F.col(text), "\n", -1), lambda line: F.trim(line))
@@ -132,7 +169,7 @@ def deleted_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", rare
     heads = every.groupBy("whole").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n"))
     heads = durable(heads, "heads")
     distinct = every.join(heads.select(F.col("head").alias("id")), "id", "left_semi").drop("whole")
-    pairs = durable(overlapping_pairs(distinct, rare), "pairs")
+    pairs = durable(overlapping_pairs(distinct, least), "pairs")
     aligned = pairs.join(distinct.select(F.col("id").alias("later"), "lines", "sizes"), "later").join(
         distinct.select(F.col("id").alias("earlier"), F.col("lines").alias("other")), "earlier"
     )
