@@ -2,7 +2,7 @@
 
 Documents that overlap are found through the hashes of runs of lines they share.
 Each document is aligned with the first holder of every such run by a patience
-diff; common blocks are deleted from the later one.
+diff; common blocks, moved and repeated ones too, are deleted from the later one.
 """
 
 from __future__ import annotations
@@ -111,19 +111,36 @@ def run_hashes(lines: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def common_blocks(earlier: list, later: list, sizes: list[int], least: int = LEAST_CHARS) -> list[int]:
-    """Lines of ``later`` in aligned blocks of at least ``least`` characters.
-    A block is a run of lines that follow each other on both sides."""
-    deleted: list[int] = []
+    """Lines of ``later`` in blocks of at least ``least`` characters: runs of
+    lines that follow each other on both sides.
+
+    Aligned blocks come first. Alignment leaves moved and repeated blocks, and
+    those between lines that are frequent on both sides; they are found by
+    their runs, until no common block is left.
+    """
+    deleted: set[int] = set()
     block: list[int] = []
     last = (-2, -2)
     for i, j in [*patience_pairs(later, earlier), (-9, -9)]:
         if (i, j) != (last[0] + 1, last[1] + 1):
             if sum(sizes[k] for k in block) >= least:
-                deleted += block
+                deleted.update(block)
             block = []
         block.append(i)
         last = (i, j)
-    return deleted
+    if sum(sizes) - sum(sizes[k] for k in deleted) == 0:
+        return sorted(deleted)
+    size_of = dict(zip(later, sizes))
+    number = {line: n for n, line in enumerate(dict.fromkeys([*later, *earlier]))}
+    runs = []
+    for side in (earlier, later):
+        of_side = np.array([size_of.get(line, 0) for line in side], np.int64)
+        starts, ends = least_runs(of_side, np.array([0, len(side)]), least)
+        runs.append((run_hashes(np.array([number[line] for line in side], np.uint64), starts, ends), starts, ends))
+    hashes, starts, ends = runs[1]
+    common = np.isin(hashes, runs[0][0])
+    covered = np.cumsum(np.bincount(starts[common], minlength=len(later) + 1) - np.bincount(ends[common], minlength=len(later) + 1))
+    return sorted(deleted.union(np.flatnonzero(covered > 0).tolist()))
 
 
 def identity(key: Column, text: Column) -> Column:

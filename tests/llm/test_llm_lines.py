@@ -40,5 +40,22 @@ def frequent_parts():
     return firsts + more + [f"own {i}\n{P1}\n\n{P2}\nend {i}" for i in range(8)] + ["\n".join([f"z{i}", *short, f"e{i}"]) for i in range(8)]
 
 
+def repeated_and_moved():
+    block, other = f"{P1}\n{P2}", f"{P3}\n{line('four')}"
+    return [f"a\n{block}\nb\n{block}\nc\n{other}", *[f"d{i}\n{block}\ne{i}" for i in range(6)], f"f\n{other}\ng\n{block}\nh\n{block}"]
+
+
 def test_frequent_lines_with_different_first_holders(spark):
-    check(spark, frequent_parts())
+    check(spark, frequent_parts() + repeated_and_moved())
+
+
+def test_repeated_and_moved_blocks():
+    a, p, q = "a" * 9, "p" * 120, "q" * 120
+    for earlier, later, gone in [([a, p, "y", p, "z"], ["u", p, "v"], [1]), ([p], [p, "x", p], [0, 2]), ([p, "x", q], [q, "y", p], [0, 2])]:
+        assert lines.common_blocks(earlier, later, list(map(len, later))) == gone
+
+
+def test_all_runs_of_random_documents(spark):
+    rng = random.Random(41)
+    pool = [line(f"l{i}", rng.choice([0, 5, 20, 40, 70, 120])) for i in range(14)]
+    check(spark, ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 14))) for _ in range(90)])
