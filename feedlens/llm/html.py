@@ -32,6 +32,10 @@ BLOCK = frozenset(
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: Where an implied end stops.
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
+#: Elements that leave a head open; any other, and text, ends it.
+IN_HEAD = HIDDEN & frozenset("title script style noscript template".split()) | frozenset("html head base link meta".split())
+#: Elements of graphics and formulas that hold HTML.
+EMBEDDING = frozenset("foreignobject desc annotation-xml".split())
 #: Words in class and id attributes, by what they hint at.
 SIDE_TOKENS = frozenset(
     "ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs"
@@ -78,18 +82,21 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes = [Node("#root", -1, 0)]
         self.open = [0]
-        self.run = self.hidden = self.links = 0
+        self.run = self.links = 0
+        self.hidden: list[str] = []  # a hidden element, and what is open inside
         self.marks: list[bool | None] = [None]
         self.feed(html)
         self.close()
-        del self.open, self.marks
+        del self.open, self.marks, self.hidden
 
     def _flush(self) -> None:
         self.run = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self._imply_hidden_ends(tag)
         if self.hidden or tag in HIDDEN:
-            self.hidden += tag in HIDDEN and tag not in VOID
+            if tag in HIDDEN or tag in BLOCK or tag in EMBEDDING:
+                self.hidden.append(tag)
             return
         if tag == "br":
             self.handle_data(" ")
@@ -108,6 +115,26 @@ class Page(HTMLParser):
         self.marks.append(self.marks[-1] if mark is None else mark == "1")
         self.nodes.append(Node(tag, self.open[-2], len(self.open) - 1, frozenset(w.lower() for w in words)))
 
+    def _imply_hidden_ends(self, tag: str) -> None:
+        """Ends hidden elements whose end tag may be left out before ``tag``."""
+        if not self.hidden:
+            return
+        last = self.hidden[-1]
+        if tag == "body" and not {"template", "iframe"} & {*self.hidden}:
+            self.hidden.clear()
+        elif last == "head" and tag not in IN_HEAD or last == "option" and tag in ("option", "optgroup", "hr"):
+            self.hidden.pop()
+        elif last in ("svg", "math") and tag in BLOCK:
+            self.hidden.pop()
+        elif tag in ("select", "input", "textarea") and "select" in self.hidden:
+            self._end_hidden("select")
+        elif tag == "button" and "button" in self.hidden:
+            self._end_hidden("button")
+
+    def _end_hidden(self, tag: str) -> None:
+        while self.hidden.pop() != tag:
+            pass
+
     def _imply_ends(self, tag: str) -> None:
         if any(self.nodes[i].tag == "p" for i in self.open):
             while self.nodes[self.open[-1]].tag != "p":
@@ -132,19 +159,25 @@ class Page(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
+        if tag in self.hidden:
+            self._end_hidden(tag)
         elif tag == "a":
             self.links = max(0, self.links - 1)
-        elif tag in BLOCK and not self.hidden:
+        elif tag in BLOCK:
+            inside = any(self.nodes[i].tag == tag for i in self.open)
+            if self.hidden and not inside:
+                return
+            self.hidden.clear()  # left open inside an element that ends
             self._flush()
-            if any(self.nodes[i].tag == tag for i in self.open):
+            if inside:
                 while self.nodes[self.open[-1]].tag != tag:
                     self._pop()
                 self._pop()
                 self.links = 0
 
     def handle_data(self, data: str) -> None:
+        if self.hidden == ["head"] and data.strip():
+            self.hidden.clear()
         if self.hidden or not (self.run or data.strip()):
             return
         if not self.run:
