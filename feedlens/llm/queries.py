@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.llm import chat, contamination, html, language, lines, mixing, quality, repeats, secrets, simhash
+from feedlens.llm import alignment, chat, contamination, html, language, lines, mixing, quality, repeats, runs, secrets, simhash, warc
 from feedlens.llm.oracles import ORACLES as ORACLES
+from feedlens.sources.durable import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -109,3 +110,57 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeats.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda total, span: total + (span["high"] - span["low"]))
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = scratch_path(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), archives)
+    records = warc.read_records(spark, archives)
+    return records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: a tenth of the documents, told by the crc32 of their id,
+    repeats a period from some word on, as the contract of the query says."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        start = F.pmod(g, n)
+        period = 1 + F.floor((n - start) / (3 + F.pmod(g, F.lit(8))))
+        at = lambda i: F.when(i >= start, start + F.pmod(i - start, period)).otherwise(i).cast("int")
+        return F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(w, at(i))), " ")
+
+    planted = F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise("")), F.lit(0))
+    chosen = (F.pmod(h, F.lit(10)) == 0) & F.col("text").isNotNull()
+    return docs.select("doc_id", F.when(chosen, planted).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(with_periods(table(spark, sf_dir, "documents")))
+    ranked = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    with_best = found.withColumn("best", ranked)
+    length, period = F.col("best.length"), -F.col("best.period")
+    return with_best.select(
+        "row.doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return aligned.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))

@@ -1,0 +1,112 @@
+"""Archives written and read back; magics inside payloads; broken archives."""
+
+import base64
+import hashlib
+import random
+from collections import defaultdict
+
+import pytest
+
+from feedlens.llm import warc
+
+INSIDE = 'WARC/1.1\r\nWARC-Type: response\r\nPage-Key: 77\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n'
+
+
+def expected(rows, least=0):
+    """``key, bytes, digest, type, refers_to`` as a sorted list of texts."""
+    same = defaultdict(list)
+    for key, url, html in rows:
+        same[(html or "").encode()].append((key, url))
+    out = []
+    for payload, pages in same.items():
+        digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        pages.sort(key=lambda p: (p[0] is not None, p[0] or 0, p[1] is not None, p[1] or ""))
+        for n, (key, _) in enumerate(pages):
+            first = n == len(pages) - 1 or len(payload) < least
+            out.append((key, len(payload), digest, "response" if first else "revisit", None if first else pages[-1][0]))
+    return sorted(map(str, out))
+
+
+def back(spark, path, **options):
+    return sorted(str((r["key"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"])) for r in warc.read_records(spark, path, **options).collect())
+
+
+def pages(spark, rows):
+    return spark.createDataFrame([(k, u, h, "x") for k, u, h in rows], "page_id long, url string, html string, digest string")
+
+
+def many():
+    rng = random.Random(9)
+    texts = ["", None, "a", INSIDE, f"<p>{INSIDE * 3}</p>", "WARC/1.", "xWARC/1.WWARC/1.0\r\n\r\n", INSIDE[:-9], "ünï\r\n\r\n\x00", "\r\n\r\n", "\r\nWARC/1."]
+    texts += ["".join(rng.choice(["WARC/1.1\r\n", "Content-Length: 3\r\n\r\n", "abc\r\n\r\n", INSIDE, "text "]) for _ in range(rng.randrange(30))) for _ in range(60)]
+    rows = [(n, f"http://h/{n}?q=a b\r\nWARC/1.1", rng.choice(texts)) for n in range(200)]
+    return [*rows, (None, None, "a"), (None, None, "a"), (5000, "u", "top"), (5000, "u", "top"), (5000, "t", "top"), (4, "u", "top"), (-3, "", "top")]
+
+
+@pytest.mark.parametrize("split,least", [("128m", 2), ("4k", 0)])
+def test_round_trip(spark, tmp_path, split, least):
+    rows = many()
+    warc.write_archives(pages(spark, rows).repartition(3), str(tmp_path / "a"), least_bytes=least)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    opening = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert back(spark, str(tmp_path / "a")) == expected(rows, least)
+        whole = warc.read_records(spark, str(tmp_path / "a"), payload=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.set("spark.sql.files.openCostInBytes", opening)
+    html = defaultdict(set)
+    for key, _, text in rows:
+        html[key].add((text or "").encode())
+    assert len(whole) == len(rows)
+    for r in whole:
+        assert (r["payload"] is None) == (r["record_type"] == "revisit")
+        if r["payload"] is not None:
+            assert bytes(r["payload"]) in html[r["key"]] and r["digest_ok"]
+    ids = {r["record_id"]: r["key"] for r in whole}
+    assert len(ids) == len(rows)
+    assert all(r["date"] and (r["url"] is None or " " not in r["url"]) for r in whole)
+
+
+def test_offsets_are_those_of_the_file(spark, tmp_path):
+    warc.write_archives(pages(spark, many()).coalesce(1), str(tmp_path / "a"))
+    (part,) = (tmp_path / "a").glob("part-*")
+    data = part.read_bytes()
+    records = warc.read_records(spark, str(tmp_path / "a"), payload=True).collect()
+    for r in records:
+        assert data[r["at"] :].startswith(b"WARC/1.1\r\n")
+        assert r["payload"] is None or bytes(r["payload"]) in data[r["at"] :]
+    assert min(r["at"] for r in records) == 0
+
+
+def test_empty_table(spark, tmp_path):
+    warc.write_archives(pages(spark, many()).limit(0), str(tmp_path / "a"))
+    assert back(spark, str(tmp_path / "a")) == []
+
+
+def test_other_writers_and_string_keys(spark, tmp_path):
+    (tmp_path / "b").mkdir()
+    info = b"WARC/1.1\r\ncontent-length: 0\r\n\r\n\r\n\r\nWARC/1. is no record here\r\n"
+    text = b"WARC/1.0\r\nwarc-type: warcinfo\r\nCONTENT-LENGTH:%d\r\n\r\n%s\r\n\r\n" % (len(info), info)
+    (tmp_path / "b" / "x.warc").write_bytes(text * 2)
+    got = warc.read_records(spark, str(tmp_path / "b"), key_type="string", payload=True).collect()
+    assert [(r["record_type"], r["at"], bytes(r["payload"]), r["key"], r["digest_ok"]) for r in sorted(got, key=lambda r: r["at"])] == [
+        ("warcinfo", 0, info, None, None),
+        ("warcinfo", len(text), info, None, None),
+    ]
+
+
+@pytest.mark.parametrize("cut", [lambda d: d[:-3], lambda d: b"x" + d, lambda d: d + b"junk", lambda d: d.replace(b"\r\nContent-Length: ", b"\r\nContent-Length: 9", 1)])
+def test_broken_archives_are_refused(spark, tmp_path, cut):
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x.warc").write_bytes(cut(INSIDE.encode() * 3))
+    with pytest.raises(ValueError, match="x.warc"):
+        warc.read_records(spark, str(tmp_path / "b"))
+
+
+def test_base32(spark):
+    digests = [hashlib.sha1(b"%d" % n).hexdigest() for n in range(50)]
+    df = spark.createDataFrame([(d,) for d in digests], "d string").select(warc.base32_of_hex(warc.F.col("d")))
+    assert [r[0] for r in df.collect()] == [base64.b32encode(bytes.fromhex(d)).decode() for d in digests]
