@@ -16,6 +16,7 @@ from math import ceil, inf
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -211,7 +212,7 @@ def _chunks(docs: DataFrame, text: str, byte_bpe: str, piece_bpe: str) -> DataFr
         tokenizers = _tokenizers(byte_bpe, piece_bpe)
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            sizes = np.cumsum(batch.column(1).cast(pa.binary()).fill_null(b"").value_lengths().to_numpy())
+            sizes = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
             first = 0
             while first < batch.num_rows:
                 before = sizes[first - 1] if first else 0

@@ -89,3 +89,16 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN words USING (rid) LEFT JOIN found USING (rid)
 """
+
+_BASE32 = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+
+ORACLES["op11_warc"] = f"""
+WITH p AS (SELECT page_id, html, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT *, sha1(payload) AS hex, row_number() OVER (PARTITION BY payload ORDER BY page_id DESC NULLS LAST) AS k,
+             max(page_id) OVER (PARTITION BY payload) AS top FROM p)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr({_BASE32},
+         ((('0x' || substr(hex, (i // 4)::INT * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
+       CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN top END AS refers_to
+FROM d
+"""
