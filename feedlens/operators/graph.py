@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from feedlens import schema as S
 from feedlens.operators import projections as P
 from feedlens.operators.filters import positives
+from feedlens.operators.running import older_events
 from feedlens.operators.skew import salted_lookup
+from feedlens.sources.durable import durable
 
 
 @dataclass(frozen=True)
@@ -151,6 +153,30 @@ def degree_features(
     )
 
 
+def degrees_as_of(df: DataFrame, edges: DataFrame, rows: int | None = None, keep: list[str] = S.KEYS, **skew) -> DataFrame:
+    """``keep`` columns plus in-degree of the author and out-degree of the viewer
+    from the edges that are strictly older than the row's tweet.
+
+    An edge is as old as its engagement, or as its tweet where the engagement is
+    dated before it; so no row sees its own edges, nor later ones. Users without
+    an older edge, and rows without a user or a time, get 0.
+    """
+    if rows is None:
+        rows = df.count()
+    at = F.greatest("interaction_timestamp", "tweet_timestamp").alias("at")
+    events = [F.struct(F.lit(role).alias("role"), F.col(end).alias("id"), at) for role, end in enumerate(("dst", "src"))]
+    users = ["engaged_with_user_id", "engaging_user_id"]
+    asked = [F.struct(F.lit(role).alias("role"), F.col(user).alias("id"), F.col("tweet_timestamp").alias("at")) for role, user in enumerate(users)]
+    older = older_events(edges.select(F.inline(F.array(*events))), df.select(F.inline(F.array(*asked))), ["role", "id"], "at")
+    older = durable(older, "older")
+    joined = df.select(*dict.fromkeys([*keep, *S.KEYS, *users, "tweet_timestamp"]))
+    for role, user in enumerate(users):
+        known = older.where(F.col("role") == role).select(F.col("id").alias(user), F.col("at").alias("tweet_timestamp"), F.col("older").alias(f"_{role}"))
+        joined = salted_lookup(joined, known, [user, "tweet_timestamp"], S.KEYS, "left", rows, **skew)
+    names = ["engaged_with_user_in_degree", "engaging_user_out_degree"]
+    return joined.select(*keep, *[F.coalesce(f"_{role}", F.lit(0).cast("long")).alias(name) for role, name in enumerate(names)])
+
+
 def add_degrees(left: DataFrame, right: DataFrame) -> DataFrame:
     """Sum of two degree tables, for edges that arrive in several batches."""
     both = left.unionByName(right).groupBy("id")

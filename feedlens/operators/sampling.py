@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from feedlens import schema as S
 from feedlens.functions.columns import hash_bits, hash_bound, in_hash_sample
 from feedlens.operators import filters, projections
+from feedlens.operators.membership import bloom_filter, maybe_member
+from feedlens.operators.skew import salted_lookup
 from feedlens.sources.durable import durable
 from feedlens.sources.readers import cast_fields
 from feedlens.sources.writers import write_fold, write_sample
@@ -69,7 +71,7 @@ class Folds:
         return Folds(self.train, durable(self.test, "test", partition_by=["fold"]))
 
 
-def build_folds(df: DataFrame, plan: FoldPlan) -> Folds:
+def build_folds(df: DataFrame, plan: FoldPlan, **skew) -> Folds:
     """Train and test samples of every fold.
 
     Train rows are drawn before the split time. Test rows are drawn after it
@@ -80,7 +82,9 @@ def build_folds(df: DataFrame, plan: FoldPlan) -> Folds:
     row key, so it runs before the user lookup and only drawn rows are shuffled;
     the number of eligible rows, which the test fraction needs, comes from rows
     combined per user. The train samples are stored, as their users are needed
-    twice. Only two totals and one number per fold reach the driver.
+    twice. Drawn rows pass a Bloom filter of these users before they are shuffled,
+    and the rows of a hot user are spread. Only two totals, one number per fold and
+    the filter, whose size is bounded, reach the driver.
     """
     ts, fold = F.col("tweet_timestamp"), F.col("fold")
     totals = df.agg(F.count_if(ts < plan.split).alias("train"), F.count_if(ts > plan.split).alias("test")).first()
@@ -89,7 +93,8 @@ def build_folds(df: DataFrame, plan: FoldPlan) -> Folds:
     bound = hash_bound(fraction_for(plan.train_rows, totals["train"]))
     drawn = _per_fold(earlier, plan.folds).where(hash_bits(fold + plan.train_seed + plan.seed) < bound)
     train = durable(drawn, "train", partition_by=["fold"])
-    users = train.select("fold", "engaging_user_id").distinct()
+    user = ["fold", "engaging_user_id"]
+    users = durable(train.select(*user).where(F.col("engaging_user_id").isNotNull()).distinct(), "users")
 
     per_user = later.groupBy("engaging_user_id").agg(F.count(F.lit(1)).alias("n"))
     eligible = per_user.join(users, "engaging_user_id").groupBy("fold").agg(F.sum("n").alias("n")).collect()
@@ -99,9 +104,11 @@ def build_folds(df: DataFrame, plan: FoldPlan) -> Folds:
     in_test = hash_bits(fold + plan.test_seed + plan.seed) < F.element_at(F.array(*map(F.lit, bounds)), fold + 1)
     extra_bound = hash_bound(fraction_for(plan.extra_rows, totals["test"]))
     in_extra = hash_bits(fold + plan.extra_seed + plan.seed) < extra_bound
-    candidates = _per_fold(later, plan.folds).where(in_test | in_extra)
+    seen = maybe_member(user, bloom_filter(users, user))
+    candidates = _per_fold(later, plan.folds).where((in_test & seen) | in_extra)
     known = users.withColumn("_known", F.lit(True))
-    test = candidates.join(known, ["fold", "engaging_user_id"], "left").where((in_test & F.col("_known")) | in_extra)
+    most = plan.folds * (plan.test_rows + plan.extra_rows)
+    test = salted_lookup(candidates, known, user, S.KEYS, "left", most, **skew).where((in_test & F.col("_known")) | in_extra)
     return Folds(train, test.select("fold", *df.columns).distinct())
 
 

@@ -35,7 +35,7 @@ def hot_keys(df: DataFrame, key: str, rows: int, share: float = HOT_SHARE, sampl
 def salted_lookup(
     left: DataFrame,
     right: DataFrame,
-    key: str,
+    key: str | list[str],
     spread: list[str],
     how: str = "left",
     rows: int | None = None,
@@ -48,18 +48,30 @@ def salted_lookup(
     of the ``spread`` columns, rows without a key likewise; the hot rows of
     ``right`` are repeated for every piece. Which keys are taken for hot affects the speed only: any
     list gives the rows of the plain join. ``how`` is left, inner or left_semi.
-    Without a key of more than one piece this is the plain join.
+    Without a key of more than one piece this is the plain join. Several key
+    columns, which need the same types on both sides, are told apart by a hash;
+    two keys with one hash are both split.
     """
     if rows is None:
         rows = left.count()
+    if not isinstance(key, str):
+        if rows <= piece_rows:
+            return left.join(right, key, how)
+        hashed = [df.withColumn("_code", F.xxhash64(*key)) for df in (left, right)]
+        return _salted(*hashed, "_code", [*key, "_code"], spread, how, rows, share, piece_rows).drop("_code")
+    return _salted(left, right, key, [key], spread, how, rows, share, piece_rows)
+
+
+def _salted(left: DataFrame, right: DataFrame, key: str, on: list[str], spread: list[str], how: str, rows: int, share: float, piece_rows: int) -> DataFrame:
+    """``key`` is the column by which hot keys are known, ``on`` what is joined."""
     found = hot_keys(left, key, rows, share) if rows > piece_rows else {}  # no key has more rows than there are
     pieces = {k: math.ceil(n / piece_rows) for k, n in found.items() if n > piece_rows}
     if not pieces:
-        return left.join(right, key, how)
+        return left.join(right, on, how)
     of_key = F.create_map(*[F.lit(x) for pair in pieces.items() for x in pair])
     number = F.when(F.col(key).isin(list(pieces)), F.element_at(of_key, F.col(key)))
     no_key = F.when(F.col(key).isNull(), F.lit(math.ceil(rows / piece_rows)))
     piece = F.pmod(F.xxhash64(*spread), F.coalesce(number, no_key, F.lit(1)).cast("long")).cast("int")
     salted_left = left.withColumn("_salt", piece)
     salted_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(number, F.lit(1)) - 1)))
-    return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
+    return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")

@@ -44,6 +44,7 @@ def engagement_graph(raw_data: DataFrame, auxiliary_train: dict[str, DataFrame]
         "edges": auxiliary_train["edges"].unionByName(built.edges),
         "degrees": graph.add_degrees(auxiliary_train["degrees"], degrees),
         "known_degrees": auxiliary_train["degrees"],
+        "known_edges": auxiliary_train["edges"],
     }
 
 
@@ -52,8 +53,18 @@ def engagement_degrees(raw_data, features, auxiliaries):
     """In-degree of the author and out-degree of the viewer, as two more columns.
 
     No row sees its own labels: new rows get the degrees of training, rows whose
-    edges are in the graph get the degrees without those edges.
+    edges are in the graph get the degrees without those edges. Compared with each
+    other such degrees still tell a label: among the rows of a user the engaged
+    ones have the smaller degree. Models learn from ``engagement_degrees_as_of``.
     """
     if "known_degrees" in auxiliaries:
         return graph.degree_features(raw_data, auxiliaries["known_degrees"], keep=raw_data.columns)
     return graph.degree_features(raw_data, auxiliaries["degrees"], keep=raw_data.columns, own=graph.own_edges(raw_data))
+
+
+@DEFAULT.feature()
+def engagement_degrees_as_of(raw_data, features, auxiliaries):
+    """In-degree of the author and out-degree of the viewer as of the tweet's
+    time, as two more columns: engagements of training that are strictly older."""
+    edges = auxiliaries.get("known_edges", auxiliaries["edges"])
+    return graph.degrees_as_of(raw_data, edges, keep=raw_data.columns)

@@ -14,6 +14,7 @@ from feedlens.plans.feature_store import FeatureCache, FeatureStore
 from feedlens.plans.models import TargetModels
 from feedlens.sources.durable import durable, job_scratch, scratch_path
 from feedlens.sources.paths import dataset_fingerprint
+from feedlens.sources.publish import staged
 from feedlens.sources.readers import read_interactions, read_part_files
 from feedlens.sources.writers import write_predictions
 
@@ -62,16 +63,18 @@ def batch_inference(
     """Score every part file of a directory in one job; returns the row count.
 
     The number of predictions is observed while they are written and compared
-    with the number of input rows, which only takes a scan of line ends.
+    with the number of input rows, which only takes a scan of line ends. They are
+    written beside ``out`` and take its place once the numbers agree; otherwise
+    earlier predictions stay as they are.
     """
     written = Observation()
     raw = read_part_files(spark, directory)
-    with job_scratch(spark):
+    with job_scratch(spark), staged(spark, out) as staging:
         predictions = score_unlabelled(raw, model, auxiliary_cache)
-        write_predictions(predictions.observe(written, F.count(F.lit(1)).alias("rows")), out)
-    rows, scored = raw.count(), written.get["rows"]
-    if rows != scored:
-        raise ValueError(f"{rows} rows read but {scored} predictions written")
+        write_predictions(predictions.observe(written, F.count(F.lit(1)).alias("rows")), staging)
+        rows, scored = raw.count(), written.get["rows"]
+        if rows != scored:
+            raise ValueError(f"{rows} rows read but {scored} predictions written")
     return scored
 
 

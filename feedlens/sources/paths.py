@@ -25,6 +25,18 @@ def subdirectories(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(location) if s.isDirectory())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    location, fs = _locate(spark, path)
+    return fs.exists(location)
+
+
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    """Rename within one file system; raises ``OSError`` where it does not work."""
+    location, fs = _locate(spark, source)
+    if not fs.rename(location, _locate(spark, target)[0]):
+        raise OSError(f"could not rename {source} to {target}")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a file or directory, if it is there."""
     location, fs = _locate(spark, path)

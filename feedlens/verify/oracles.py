@@ -374,6 +374,17 @@ ORACLES: dict[str, str] = {
         "LEFT JOIN in_degrees i ON i.id = engaged_with_user_id LEFT JOIN out_degrees o ON o.id = engaging_user_id",
         EDGES, IN_DEGREES, OUT_DEGREES,
     ),
+    "degrees_as_of": sql(
+        f"SELECT {KEYS}, coalesce(i.c, 0) AS engaged_with_user_in_degree, coalesce(o.c, 0) AS engaging_user_out_degree FROM interactions r "
+        "ASOF LEFT JOIN i ON i.id = r.engaged_with_user_id AND i.t < r.tweet_timestamp "
+        "ASOF LEFT JOIN o ON o.id = r.engaging_user_id AND o.t < r.tweet_timestamp",
+        EDGES,
+        *[
+            f"{name} AS (SELECT {end} AS id, greatest(interaction_timestamp, tweet_timestamp) AS t, "
+            f"cast(sum(count(*)) OVER (PARTITION BY {end} ORDER BY greatest(interaction_timestamp, tweet_timestamp)) AS bigint) AS c FROM edges GROUP BY 1, 2)"
+            for name, end in (("i", "dst"), ("o", "src"))
+        ],
+    ),
     "degree_features": sql(
         f"SELECT {KEYS}, coalesce(i.in_degree, 0) AS engaged_with_user_in_degree, coalesce(o.out_degree, 0) AS engaging_user_out_degree "
         "FROM interactions LEFT JOIN in_degrees i ON i.id = engaged_with_user_id LEFT JOIN out_degrees o ON o.id = engaging_user_id",
@@ -415,8 +426,15 @@ ORACLES: dict[str, str] = {
     "row_contract_check": sql(
         "SELECT count(*) AS raw_rows, count(*) AS feature_rows, "
         f"cast(count(*) - count(DISTINCT ({KEYS})) AS bigint) AS surplus_rows, "
+        "cast(0 AS bigint) AS missing_keys, cast(0 AS bigint) AS foreign_keys, "
         f"count(*) = count(DISTINCT ({KEYS})) AS holds FROM interactions"
     ),
+    "row_contract_foreign": sql(
+        "SELECT count(*) AS raw_rows, count(*) AS feature_rows, cast(count(*) - count(DISTINCT ({0})) AS bigint) AS surplus_rows, "
+        "count(DISTINCT ({0})) FILTER (tweet_timestamp >= {1}) AS missing_keys, count(DISTINCT ({0})) FILTER (tweet_timestamp >= {1}) AS foreign_keys, "
+        "false AS holds FROM interactions".format(KEYS, Q.SPLIT)
+    ),
+    "published_predictions": sql(f"SELECT {KEYS}, " + ", ".join(f"{SCORE} AS {t}" for t in S.TARGET_NAMES) + " FROM interactions"),
     # streaming
     "stream_hourly": sql(
         "SELECT timestamp // 3600 * 3600 AS hour, type, count(*) AS count FROM events GROUP BY 1, 2",

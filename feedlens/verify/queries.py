@@ -15,10 +15,11 @@ from feedlens.operators import components as CC
 from feedlens.operators import filters, graph, metrics, profile, projections, sampling, splits
 from feedlens.plans import jobs
 from feedlens.plans.extractors import engagement_graph
-from feedlens.plans.feature_store import FeatureCache, FeatureStore, concat_features, row_contract
+from feedlens.plans.feature_store import FeatureCache, FeatureStore, concat_features, contract_report
 from feedlens.plans.models import TargetModels, score_batches
 from feedlens.sources import readers, writers
 from feedlens.sources.durable import durable, scratch_path
+from feedlens.sources.publish import staged
 from feedlens.standin import interactions
 from feedlens.streaming.hourly import read_hourly_counts, stream_hourly_counts
 from feedlens.streaming.scoring import read_part_stream, stream_scores
@@ -450,6 +451,12 @@ def degrees_without_own_row(df):
     return graph.degree_features(df, graph.degrees(graph.edges(df)), own=graph.own_edges(df))
 
 
+@on_stored_interactions
+def degrees_as_of(df):
+    """Engagements strictly older than the tweet, over several time ranges."""
+    return graph.degrees_as_of(df, graph.edges(df))
+
+
 @on_stored_interactions
 def graph_report(df):
     return rounded(jobs.graph_report(df), "value")
@@ -496,7 +503,14 @@ def auxiliary_degrees(df):
 @on_stored_interactions
 def row_contract_check(df):
     degrees = engagement_graph(df)["degrees"]
-    return row_contract(df, graph.degree_features(df, degrees))
+    return contract_report(df, graph.degree_features(df, degrees))
+
+
+@on_stored_interactions
+def row_contract_foreign(df):
+    """As many distinct keys as the raw rows, but those of other rows."""
+    mixed = df.select(F.when(F.col("tweet_timestamp") < SPLIT, F.col("tweet_id")).otherwise(F.concat(F.lit("x"), "tweet_id")).alias("tweet_id"), "engaging_user_id")
+    return contract_report(df, mixed)
 
 
 # -- models and jobs --------------------------------------------------------
@@ -519,9 +533,9 @@ def batch_inference(df):
 
 
 def degree_model() -> TargetModels:
-    """Learns from the follower counts and the degrees in the graph."""
+    """Learns from the follower counts and the degrees as of the tweet."""
     degrees = ["engaged_with_user_in_degree", "engaging_user_out_degree"]
-    return TargetModels([*S.MODEL_FEATURES, *degrees], extractors=[*S.MODEL_FEATURES, "engagement_degrees"], auxiliaries=["engagement_graph"])
+    return TargetModels([*S.MODEL_FEATURES, *degrees], extractors=[*S.MODEL_FEATURES, "engagement_degrees_as_of"], auxiliaries=["engagement_graph"])
 
 
 def stored_pairs(df: DataFrame, folds: int) -> list[tuple[DataFrame, DataFrame]]:
@@ -540,6 +554,23 @@ def cross_fold_eval_with_degrees(df):
     return jobs.cross_fold_evaluation(stored_pairs(df, 5), make_model=degree_model)
 
 
+@on_stored_interactions
+def published_predictions(df):
+    """Predictions of a first run; a second one with fewer rows fails its check."""
+    spark, out = df.sparkSession, scratch_path(df.sparkSession, "results")
+    whole = fixed_predictions(df)
+    for predictions in (whole, whole.where(F.col("tweet_id") < "t5")):
+        try:
+            with staged(spark, out) as staging:
+                writers.write_predictions(predictions, staging)
+                if spark.read.csv(staging).count() != df.count():
+                    raise ValueError("predictions are missing")
+        except ValueError:
+            continue
+    types = ", ".join([f"{k} string" for k in S.KEYS] + [f"`{t}` double" for t in S.TARGET_NAMES])
+    return spark.read.schema(types).csv(out)
+
+
 @on_interactions
 def differential_check(df):
     return jobs.differential_check(df)
