@@ -35,6 +35,41 @@ def hash_sample(df: DataFrame, fraction: float, seed: int) -> DataFrame:
     return df.where(in_hash_sample(fraction, seed))
 
 
+#: Hexadecimal digits of a key hash that one pass of the selection looks at.
+DIGITS = 3
+
+
+def exact_sample(df: DataFrame, rows: int, seed: int, keys: list[str] = S.KEYS) -> DataFrame:
+    """``rows`` rows, or all if there are fewer: those with the smallest hashes of
+    key and seed, under any partitioning.
+
+    The bound is found digit by digit: every pass counts the rows per next digits
+    below the prefix found so far, at most 4096 numbers, and goes on with the digits
+    that hold the last wanted row. Rows of the bound's own key are told apart by
+    the hash of the whole row.
+    """
+    if rows <= 0:
+        return df.limit(0)
+    hashed = df.withColumn("_hash", F.md5(F.concat_ws("|", *[F.col(k) for k in keys], F.lit(str(seed)))))
+    prefix, wanted = "", rows
+    while len(prefix) < 32:
+        within = hashed.where(F.col("_hash").startswith(prefix)) if prefix else hashed
+        width = min(DIGITS, 32 - len(prefix))
+        counts = within.groupBy(F.substring("_hash", len(prefix) + 1, width).alias("digits")).agg(F.count(F.lit(1)).alias("n")).collect()
+        for row in sorted(counts):
+            if row["n"] >= wanted:
+                break
+            wanted -= row["n"]
+        else:
+            return df
+        prefix += row["digits"]
+        if row["n"] == wanted:  # all rows below this prefix, too
+            return hashed.where(F.col("_hash") < prefix + "g").drop("_hash")
+    below = hashed.where(F.col("_hash") < prefix)
+    same = hashed.where(F.col("_hash") == prefix).orderBy(F.xxhash64(*df.columns)).limit(wanted)
+    return below.unionByName(same).drop("_hash")
+
+
 @dataclass(frozen=True)
 class FoldPlan:
     """Sizes and seeds of the train/test pairs; the defaults are fixed values."""

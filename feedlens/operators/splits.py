@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from feedlens import schema as S
 from feedlens.sources.durable import durable
@@ -132,3 +135,36 @@ def positional_split(
         return (below | same) & (below | (row_hash < F.lit(tie))), (above | same) & (above | (row_hash >= F.lit(tie)))
 
     return df.where(sides(train_end)[0]), df.where(sides(test_start)[1])
+
+
+def order_report(df: DataFrame, keys: list[str] = S.KEYS) -> DataFrame:
+    """One row about the order in which ``df`` would be written: ``rows``, whether
+    every partition is ``sorted_inside``, and whether each partition starts where
+    the one before it ends or later (``sorted_across``). Missing keys come last.
+
+    Only the bounds of the partitions are compared across tasks, a row each.
+    """
+    types = ", ".join(f"{side}_{k} {df.schema[k].dataType.simpleString()}" for side in ("first", "last") for k in keys)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, last, n, in_order = None, None, 0, True
+        for batch in batches:
+            for row in zip(*(column.to_pylist() for column in batch.columns)):
+                place = [(value is None, value if value is not None else 0) for value in row]
+                in_order = in_order and (last is None or last[1] <= place)
+                first, last, n = first or (row, place), (row, place), n + 1
+        if n:
+            values = [TaskContext.get().partitionId(), n, in_order, *first[0], *last[0]]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, values))], schema=pa.schema(list(zip(names, arrow))))
+
+    names = ["part", "n", "in_order", *[f"{side}_{k}" for side in ("first", "last") for k in keys]]
+    arrow = [pa.int32(), pa.int64(), pa.bool_(), *[to_arrow_type(df.schema[k].dataType) for _ in range(2) for k in keys]]
+    parts = df.select(*keys).mapInArrow(scan, f"part int, n long, in_order boolean, {types}")
+    known = lambda side: F.struct(*[F.struct(F.col(f"{side}_{k}").isNull(), F.col(f"{side}_{k}")) for k in keys])
+    before = F.lag(known("last")).over(Window.orderBy("part"))  # a row per partition
+    across = parts.withColumn("across", F.coalesce(before <= known("first"), F.lit(True)))
+    return across.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+        F.coalesce(F.bool_and("in_order"), F.lit(True)).alias("sorted_inside"),
+        F.coalesce(F.bool_and("across"), F.lit(True)).alias("sorted_across"),
+    )

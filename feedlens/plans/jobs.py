@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,15 +82,17 @@ def batch_inference(
 
 
 def cross_fold_evaluation(
-    pairs: list[tuple[DataFrame, DataFrame]], params: dict | None = None, make_model: Callable[[], TargetModels] = TargetModels
+    pairs: list[tuple[DataFrame, DataFrame]], params: dict | None = None, make_model: Callable[[], TargetModels] = TargetModels, parallelism: int = 3
 ) -> DataFrame:
     """``(fold, split, target, ap, rce)`` of a fresh model per train/test pair.
 
     Auxiliaries of the train side are stored and extended by the test side;
-    features must not read a row's own labels back from them.
+    features must not read a row's own labels back from them. The small jobs of a
+    fold leave executors idle, so up to ``parallelism`` folds are assembled and
+    fitted side by side; the scores of all folds are evaluated in one pass.
     """
-    results = []
-    for fold, (train_raw, test_raw) in enumerate(pairs):
+
+    def scores(fold: int, train_raw: DataFrame, test_raw: DataFrame) -> list[DataFrame]:
         model = make_model()
         cache = FeatureCache(scratch_path(train_raw.sparkSession, "fold"), "train")
 
@@ -95,12 +100,19 @@ def cross_fold_evaluation(
             store = FeatureStore(raw, model.enabled(), model.auxiliaries, auxiliary_cache=cache, inference=inference)
             return durable(store.dataset(), "fold")
 
-        train_set, test_set = assemble(train_raw, False), assemble(test_raw, True)
-        model.fit(train_set, None, params)
-        for split, dataset in (("train", train_set), ("test", test_set)):
-            tags = [F.lit(fold).alias("fold"), F.lit(split).alias("split")]
-            results.append(model.evaluate(dataset).select(*tags, "target", "ap", "rce"))
-    return reduce(DataFrame.unionByName, results)
+        sides = {"train": assemble(train_raw, False), "test": assemble(test_raw, True)}
+        model.fit(sides["train"], None, params)
+        scored = [model.score(df, model.targets, "predicted_").select(F.lit(fold).alias("fold"), F.lit(split).alias("split"), "*") for split, df in sides.items()]
+        return [metrics.to_long(df, ["fold", "split"], targets=model.targets) for df in scored]
+
+    if not pairs:
+        raise ValueError("no pairs to evaluate")
+    run = inheritable_thread_target(pairs[0][0].sparkSession)(scores)
+    with ThreadPoolExecutor(max(1, parallelism)) as pool:
+        # A context of its own per fold, so that scratch tables belong to the job around.
+        pending = [pool.submit(copy_context().run, run, fold, *pair) for fold, pair in enumerate(pairs)]
+        long = [df for fold in pending for df in fold.result()]
+    return metrics.evaluate(reduce(DataFrame.unionByName, long), ["fold", "split", "target"])
 
 
 def differential_check(raw: DataFrame, target: str = "retweet_with_comment", params: dict | None = None) -> DataFrame:

@@ -331,6 +331,17 @@ ORACLES: dict[str, str] = {
         f"SELECT *, retweet_with_comment_timestamp IS NOT NULL AS retweet_with_comment, "
         f"row_number() OVER (ORDER BY {KEYS}) - 1 AS i, count(*) OVER () AS n FROM interactions)) WHERE part IS NOT NULL"
     ),
+    "exact_sample": sql(
+        f"SELECT {KEYS}, tweet_timestamp FROM interactions ORDER BY md5(concat_ws('|', {KEYS}, '42')) LIMIT 4000"
+    ),
+    "sorted_dataset_order": sql("SELECT count(*) AS rows, true AS sorted_inside, true AS sorted_across FROM interactions"),
+    "validated_fit": sql(
+        " UNION ALL ".join(
+            f"SELECT '{t}' AS target, true AS within_limit, true AS last_is_best FROM interactions "
+            f"WHERE tweet_timestamp < {Q.SPLIT} HAVING count({c}) BETWEEN 1 AND count(*) - 1"
+            for t, c in S.TARGETS.items()
+        )
+    ),
     "sorted_dataset": sql(f"SELECT {KEYS}, {FEATURES} FROM interactions ORDER BY {KEYS}"),
     # graph
     "graph_vertices": sql("SELECT * FROM vertices", VERTICES),

@@ -16,7 +16,7 @@ from feedlens.operators import filters, graph, metrics, profile, projections, sa
 from feedlens.plans import jobs
 from feedlens.plans.extractors import engagement_graph
 from feedlens.plans.feature_store import FeatureCache, FeatureStore, concat_features, contract_report
-from feedlens.plans.models import TargetModels, score_batches
+from feedlens.plans.models import DEFAULT_PARAMS, TargetModels, score_batches
 from feedlens.sources import readers, writers
 from feedlens.sources.durable import durable, scratch_path
 from feedlens.sources.publish import staged
@@ -328,6 +328,11 @@ def bernoulli_sample(df):
     return sampling.bernoulli_sample(df, 4_000, seed=42).select(*S.KEYS)
 
 
+@on_stored_interactions
+def exact_sample(df):
+    return sampling.exact_sample(df, 4_000, 42).select(*S.KEYS, "tweet_timestamp")
+
+
 @on_interactions
 def hash_sample(df):
     return sampling.hash_sample(df, 0.1, 42).select(*S.KEYS, "tweet_timestamp")
@@ -371,6 +376,12 @@ def sorted_dataset(df):
     return splits.sort_by_key(df.select(*S.KEYS, *S.MODEL_FEATURES))
 
 
+@on_interactions
+def sorted_dataset_order(df):
+    """Whether the sorted table is in order, inside and across its partitions."""
+    return splits.order_report(splits.sort_by_key(df.select(*S.KEYS, *S.MODEL_FEATURES)))
+
+
 # -- graph ------------------------------------------------------------------
 
 
@@ -522,6 +533,17 @@ def gbt_train_predict(df):
     return TargetModels().fit(dataset).predict(dataset)
 
 
+@on_stored_interactions
+def validated_fit(df):
+    """Fits that stop on later rows: are the rounds kept within the limit, and is
+    the last one the best of them on those rows?"""
+    dataset = durable(FeatureStore(df, [*TargetModels().enabled(), "tweet_timestamp"]).dataset(), "dataset")
+    valid = filters.after(dataset, SPLIT)
+    model = TargetModels().fit(filters.before(dataset, SPLIT), valid)
+    found = [(t, len(losses) <= DEFAULT_PARAMS["maxIter"], losses[-1] == min(losses)) for t, losses in model.validation_losses(valid).items()]
+    return df.sparkSession.createDataFrame(found, "target string, within_limit boolean, last_is_best boolean")
+
+
 @on_stored_interactions
 def batch_inference(df):
     spark = df.sparkSession
