@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from math import ceil, inf
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,10 @@ from feedlens.sources.durable import durable
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text whose documents are aligned together; one longer text stands alone.
-CHUNK_BYTES = 4 << 20
-#: Characters after which a text is cut for the tokenizers, at the next place
-#: where that changes no token.
-SEGMENT_CHARS = 1 << 16
+CHUNK_BYTES = 2 << 20
+#: Characters after which a text is cut at the next possible place, and the number
+#: of such segments that are encoded together.
+SEGMENT_CHARS, SEGMENTS = 2_000, 256
 #: Distinct pairs behind one hash, and pair rows that are counted in one task.
 BUCKET_PAIRS = 250_000
 SLICE_ROWS = 2_000_000
@@ -39,8 +40,8 @@ FAN_IN = 16
 
 #: A pair is one number: first id, then second id in the lower bits.
 PAIR_BITS = 24
-#: A space between two letters or digits: both tokenizers start a token there.
-_CUT = re.compile(r"(?<=\w) (?=\w)")
+#: A single space between other characters: both tokenizers start a token there.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -69,37 +70,49 @@ class Tokenizers:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in side], np.int64) for side in (self.a_bytes, self.b_bytes))
-        inside = any("▁" in p.lstrip("▁") for p in pieces)  # then a piece may reach over a cut
-        self.segment = inf if inside else SEGMENT_CHARS
+        self.can_cut = not any("▁" in p.lstrip("▁") for p in pieces)  # else a piece may reach over a cut
         #: Texts of ids in groups: inside and at the end of the first side, then of the second.
         self.labels = [f"{i}{end}".encode() for side, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for i in range(len(side)) for end in ends]
 
     def segments(self, text: str) -> list[str]:
-        """Parts of a text that can be encoded one by one."""
+        """A text in parts that can be encoded one by one, without the space
+        between them."""
         parts, start = [], 0
-        while len(text) - start > self.segment:
-            found = _CUT.search(text, start + self.segment)
+        while self.can_cut and len(text) - start > SEGMENT_CHARS:
+            found = _CUT.search(text, start + SEGMENT_CHARS)
             if not found:
                 break
             parts.append(text[start : found.start()])
-            start = found.start()
+            start = found.end()
         return [*parts, text[start:]]
 
-    def encode(self, texts: list[str | None]) -> list[tuple[list[int], list[int]]]:
-        """Ids of both for every text; none where the tokens are not the bytes of
-        the text behind a space."""
-        parts = [self.segments(text) if text else [] for text in texts]
-        flat = [part if n else " " + part for of_text in parts for n, part in enumerate(of_text)]
-        a = iter(self.a.encode_batch_fast(flat, add_special_tokens=False))
-        b = iter(self.b.encode([part[1:] for part in flat], num_threads=1))
-        found = []
-        for text, of_text in zip(texts, parts):
-            ids_a = [i for _ in of_text for i in next(a).ids]
-            ids_b = [i for _ in of_text for i in next(b)]
-            whole = b" " + text.encode() if text else b""
-            same = b"".join([self.a_bytes[i] for i in ids_a]) == whole == b"".join([self.b_bytes[i] for i in ids_b])
-            found.append((ids_a, ids_b) if same else ([], []))
-        return found
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For both: number of tokens by text, and all ids. A text has none where
+        the tokens are not its bytes behind a space."""
+        parts, owner = [], []
+        for n, text in enumerate(texts):
+            of_text = self.segments(text) if text else []
+            parts += of_text
+            owner += [n] * len(of_text)
+        misfits, sizes, ids = np.zeros(len(texts), bool), ([], []), (array("i"), array("i"))
+        for low in range(0, len(parts), SEGMENTS):
+            batch = parts[low : low + SEGMENTS]
+            a = [e.ids for e in self.a.encode_batch_fast([" " + part for part in batch], add_special_tokens=False)]
+            b = self.b.encode(batch, num_threads=1)
+            for n, part, *both in zip(owner[low:], batch, a, b):
+                whole = b" " + part.encode()
+                for known, found, size, all_ids in zip((self.a_bytes, self.b_bytes), both, sizes, ids):
+                    misfits[n] |= b"".join([known[i] for i in found]) != whole
+                    size.append(len(found))
+                    all_ids.extend(found)
+        fits = ~misfits[np.array(owner, np.int64)]
+        sides = []
+        for size, all_ids in zip(sizes, ids):
+            size, values = np.array(size, np.int64), np.array(all_ids, np.int64)
+            counts = np.zeros(len(texts), np.int64)
+            np.add.at(counts, np.array(owner, np.int64), size * fits)
+            sides.append((counts, values[np.repeat(fits, size)]))
+        return sides
 
 
 @lru_cache(maxsize=1)
@@ -110,33 +123,41 @@ def _tokenizers(byte_bpe: str, piece_bpe: str) -> Tokenizers:
 class Alignment:
     """The tokens of many texts, one text behind the other."""
 
-    def __init__(self, encoded: list[tuple[list[int], list[int]]], tokenizers: Tokenizers):
-        self.n_a, self.n_b = (np.array([len(e[side]) for e in encoded], np.int64) for side in (0, 1))
-        self.a, self.b = (np.array([i for e in encoded for i in e[side]], np.int64) for side in (0, 1))
+    def __init__(self, encoded: list[tuple[np.ndarray, np.ndarray]], tokenizers: Tokenizers):
+        (self.n_a, self.a), (self.n_b, self.b) = encoded
         self.a_ends, self.b_ends = np.cumsum(tokenizers.a_sizes[self.a]), np.cumsum(tokenizers.b_sizes[self.b])
-        cuts = np.union1d(self.a_ends, self.b_ends)  # between two cuts lies one link
-        self.of_a, of_b = np.searchsorted(self.a_ends, cuts), np.searchsorted(self.b_ends, cuts)
+        ends_a, ends_b = (np.zeros((ends[-1] if len(ends) else 0) + 1, bool) for ends in (self.a_ends, self.b_ends))
+        ends_a[self.a_ends], ends_b[self.b_ends] = True, True
+        cuts = np.flatnonzero(ends_a | ends_b)  # between two cuts lies one link
+        self.of_a, of_b = (np.cumsum(ends)[cuts] - ends[cuts] for ends in (ends_a, ends_b))
         #: Number of the pair of ids and of the text, by link.
         self.pairs = (self.a[self.of_a] << PAIR_BITS) | self.b[of_b]
-        self.texts = np.repeat(np.arange(len(encoded)), self.n_a)[self.of_a]
-        self.common = cuts[(self.a_ends[self.of_a] == cuts) & (self.b_ends[of_b] == cuts)]
-        self.n_links = np.bincount(self.texts, minlength=len(encoded))
+        self.texts = np.repeat(np.arange(len(self.n_a)), self.n_a)[self.of_a]
+        self.common = np.flatnonzero(ends_a & ends_b)
+        self.n_links = np.bincount(self.texts, minlength=len(self.n_a))
 
     def pair_texts(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct pairs, and how many of the texts link each."""
-        distinct, number = np.unique(self.pairs, return_inverse=True)
-        held = np.unique(number * np.int64(len(self.n_a) + 1) + self.texts) // (len(self.n_a) + 1)
-        return distinct, np.bincount(held, minlength=len(distinct))
+        shift = len(self.n_a).bit_length()
+        held = np.unique((self.pairs << shift) | self.texts) >> shift
+        first = np.flatnonzero(np.diff(held, prepend=-1))
+        return held[first], np.diff(first, append=len(held))
 
     def groups(self, tokenizers: Tokenizers) -> tuple[np.ndarray, list[bytes]]:
         """Number of groups and their ids, as text, by text."""
         group_a, group_b = np.searchsorted(self.common, self.a_ends), np.searchsorted(self.common, self.b_ends)
         last_a, last_b = (np.diff(group, append=-1) != 0 for group in (group_a, group_b))
         codes = np.concatenate([2 * self.a + last_a, 2 * (len(tokenizers.a_bytes) + self.b) + last_b])
-        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        # A token stands behind the tokens of its side, and behind the other side's of
+        # earlier groups; for the second side also of its own group.
+        in_group_a, in_group_b = (np.cumsum(np.bincount(group, minlength=len(self.common) + 1)) for group in (group_a, group_b))
+        before_a = np.arange(len(self.a)) + np.concatenate([[0], in_group_b])[group_a]
+        before_b = np.arange(len(self.b)) + in_group_a[group_b]
+        ordered = np.empty(len(codes), np.int64)
+        ordered[np.concatenate([before_a, before_b])] = codes
         labels, known = [], tokenizers.labels
         bounds = np.concatenate([[0], np.cumsum(self.n_a + self.n_b)])
-        ordered = codes[order].tolist()
+        ordered = ordered.tolist()
         for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             labels.append(b"".join([known[c] for c in ordered[low:high]])[:-1])
         of_text = np.repeat(np.arange(len(self.n_a)), self.n_a)[np.searchsorted(self.a_ends, self.common)]
@@ -311,9 +332,9 @@ def align(docs: DataFrame, text: str = "text", byte_bpe: str = BYTE_BPE, piece_b
     of ids; ``n_best`` counts those whose pair is in the most documents of its
     first id. A text that is null or empty, or whose tokens are not its bytes, has
     no tokens. Equal rows count as documents each; an empty table gives no rows.
-    Long texts are cut for the tokenizers where that changes no token; a text
-    without a space between letters or digits is encoded in one piece. No task
-    holds more than a chunk of texts or a bucket of pairs.
+    Long texts are cut at single spaces, which changes no token; a text without
+    such a space is encoded in one piece.
+    No task holds more than a chunk of texts or a bucket of pairs.
     """
     chunks = durable(_chunks(docs, text, byte_bpe, piece_bpe), "chunks")
     partials, buckets, slices = _partials(chunks, bucket_pairs, slice_rows)

@@ -57,7 +57,7 @@ def plain(texts, tokenizers):
 
 TRICKY = [
     None, "", " ", "  a", "a  b ", "\n\ttabs\x00nul", "Straße — naïve café", "漢字かな交じり文", "🙂👩‍👩‍👧 emoji", "▁under", "<s> </s> <unk> <0x41> <|endoftext|>", "ﬁ Ａ é é",
-    "don't we'll 12345 67", "x" * 300, "  \u0085  z", "same text", "same text",
+    "don't we'll 12345 67 's 'll x", "a\u00a0 b \u3000c \u2581d e\x1c f \x85g", "tab\t x \ny", "x" * 300, "  \u0085  z", "same text", "same text",
 ]
 
 
@@ -82,12 +82,21 @@ def test_empty_table(spark):
     assert alignment.align(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()[0]["groups"] == ""
 
 
-def test_segments_change_no_token(tokenizers, monkeypatch, spark, sf_dir):
-    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if r["text"]] + [t for t in TRICKY if t]
-    whole = tokenizers.encode(texts)
-    monkeypatch.setattr(tokenizers, "segment", 20)
-    assert tokenizers.encode(texts) == whole
-    assert max(len(tokenizers.segments(t)) for t in texts) > 100
+def test_cuts_change_no_token(tokenizers, monkeypatch, spark, sf_dir):
+    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()] + TRICKY
+    assert tokenizers.can_cut
+    monkeypatch.setattr(alignment, "SEGMENT_CHARS", 1)
+    cut = tokenizers.encode(texts)
+    monkeypatch.setattr(tokenizers, "can_cut", False)
+    for with_cuts, whole in zip(cut, tokenizers.encode(texts)):
+        assert (with_cuts[0] == whole[0]).all() and (with_cuts[1] == whole[1]).all()
+
+
+def test_long_text(tokenizers):
+    text = "Wörter und 12 words, " * 100_000
+    (n_a, a), (n_b, b) = tokenizers.encode([text])
+    assert a.tolist() == tokenizers.a.encode(" " + text, add_special_tokens=False).ids
+    assert len(b) == n_b[0] and len(a) == n_a[0] > 10**5
 
 
 def test_perfect_hash_is_minimal():
