@@ -2,14 +2,14 @@
 
 Documents that overlap are found through the hashes of runs of lines they share.
 Each document is aligned with the first holder of every such run by a patience
-diff; common blocks, moved and repeated ones too, are deleted from the later one.
+diff; what is aligned is deleted from the later one. What is left of it, moved and
+repeated blocks, is aligned again until no common block remains.
 """
 
 from __future__ import annotations
 
-import sys
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,18 +21,18 @@ from feedlens.llm.bytescan import mix
 from feedlens.operators.skew import salted_lookup
 from feedlens.sources.durable import durable
 
-#: Distinct documents up to which all holders of a line count as compared with
-#: each other. There is no such bound: a block in any number of them is found.
-RARE = sys.maxsize
 #: Characters of the aligned lines from which a block is deleted.
 LEAST_CHARS = 100
 
 
 def patience_pairs(a: list, b: list) -> list[tuple[int, int]]:
-    """Positions of aligned equal lines, increasing in both.
+    """Positions of aligned equal items, increasing in both; some, if the sides
+    have an item in common.
 
-    Common ends are matched first; inside, lines that are unique on both sides
-    and increase together are matched, and the gaps between them in turn.
+    Common ends are matched first. Inside, the rarest common items are anchors,
+    those unique on both sides if there are any, else the n-th occurrence on one
+    side and the n-th on the other. The most that increase together are matched,
+    and the gaps between them in turn.
     """
     pairs: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
@@ -46,10 +46,7 @@ def patience_pairs(a: list, b: list) -> list[tuple[int, int]]:
             pairs.append((i_end, j_end))
         if i == i_end or j == j_end:
             continue
-        count_a, count_b = Counter(a[i:i_end]), Counter(b[j:j_end])
-        place = {line: k for k, line in enumerate(b[j:j_end], j) if count_b[line] == 1}
-        unique = [(k, place[line]) for k, line in enumerate(a[i:i_end], i) if count_a[line] == 1 and line in place]
-        anchors = _longest_increasing(unique)
+        anchors = _longest_increasing(_rarest_pairs(a, i, i_end, b, j, j_end))
         for (k, m), (k_next, m_next) in zip([(i - 1, j - 1), *anchors], [*anchors, (i_end, j_end)]):
             if anchors:
                 todo.append((k + 1, k_next, m + 1, m_next))
@@ -57,6 +54,19 @@ def patience_pairs(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
+def _rarest_pairs(a: list, i: int, i_end: int, b: list, j: int, j_end: int) -> list[tuple[int, int]]:
+    """Positions of the rarest items that ``a[i:i_end]`` and ``b[j:j_end]`` share,
+    occurrence by occurrence."""
+    count_a, count_b = Counter(a[i:i_end]), Counter(b[j:j_end])
+    often = {item: max(n, count_b[item]) for item, n in count_a.items() if item in count_b}
+    rarest = min(often.values(), default=0)
+    places = defaultdict(list)
+    for m in range(j_end - 1, j - 1, -1):  # the first place comes off last
+        if often.get(b[m]) == rarest:
+            places[b[m]].append(m)
+    return [(k, places[a[k]].pop()) for k in range(i, i_end) if places.get(a[k])]
+
+
 def _longest_increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """A longest run of ``pairs``, which increase in the first part, that
     increases in the second."""
@@ -114,33 +124,38 @@ def common_blocks(earlier: list, later: list, sizes: list[int], least: int = LEA
     """Lines of ``later`` in blocks of at least ``least`` characters: runs of
     lines that follow each other on both sides.
 
-    Aligned blocks come first. Alignment leaves moved and repeated blocks, and
-    those between lines that are frequent on both sides; they are found by
-    their runs, until no common block is left.
+    Both sides are read as their shortest runs of ``least`` characters and
+    aligned; the lines of aligned runs go. Runs that stand in another order or
+    more often than in ``earlier`` are left over and aligned again, with as many
+    repeats of the earlier ones as they have room for, until no common run is
+    left. Every alignment matches a run, so this ends, and a block of which no
+    line is covered by aligned runs would hold a common run.
     """
-    deleted: set[int] = set()
-    block: list[int] = []
-    last = (-2, -2)
-    for i, j in [*patience_pairs(later, earlier), (-9, -9)]:
-        if (i, j) != (last[0] + 1, last[1] + 1):
-            if sum(sizes[k] for k in block) >= least:
-                deleted.update(block)
-            block = []
-        block.append(i)
-        last = (i, j)
-    if sum(sizes) - sum(sizes[k] for k in deleted) == 0:
-        return sorted(deleted)
     size_of = dict(zip(later, sizes))
     number = {line: n for n, line in enumerate(dict.fromkeys([*later, *earlier]))}
-    runs = []
-    for side in (earlier, later):
-        of_side = np.array([size_of.get(line, 0) for line in side], np.int64)
-        starts, ends = least_runs(of_side, np.array([0, len(side)]), least)
-        runs.append((run_hashes(np.array([number[line] for line in side], np.uint64), starts, ends), starts, ends))
-    hashes, starts, ends = runs[1]
-    common = np.isin(hashes, runs[0][0])
-    covered = np.cumsum(np.bincount(starts[common], minlength=len(later) + 1) - np.bincount(ends[common], minlength=len(later) + 1))
-    return sorted(deleted.union(np.flatnonzero(covered > 0).tolist()))
+
+    def runs_of(side: list) -> tuple[list[int], np.ndarray, np.ndarray]:
+        starts, ends = least_runs(np.array([size_of.get(line, 0) for line in side], np.int64), np.array([0, len(side)]), least)
+        order = np.lexsort((ends, starts))
+        starts, ends = starts[order], ends[order]
+        return run_hashes(np.array([number[line] for line in side], np.uint64), starts, ends).tolist(), starts, ends
+
+    theirs = runs_of(earlier)[0]
+    runs, starts, ends = runs_of(later)
+    held = set(theirs)
+    left = [k for k, run in enumerate(runs) if run in held]
+    gone = np.zeros(len(later) + 1, np.int64)  # +1 where an aligned run starts, -1 behind it
+    while left:
+        wanted = {runs[k] for k in left}
+        theirs = [run for run in theirs if run in wanted]
+        aligned = [left[i] for i, _ in patience_pairs([runs[k] for k in left], theirs * max(1, len(left) // len(theirs)))]
+        if not aligned:
+            break
+        np.add.at(gone, starts[aligned], 1)
+        np.add.at(gone, ends[aligned], -1)
+        kept = np.concatenate([[0], np.cumsum(np.cumsum(gone[:-1]) == 0)])
+        left = [k for k in left if kept[ends[k]] > kept[starts[k]]]
+    return np.flatnonzero(np.cumsum(gone[:-1])).tolist()
 
 
 def identity(key: Column, text: Column) -> Column:
@@ -187,9 +202,9 @@ def deleted_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", leas
     heads = durable(heads, "heads")
     distinct = every.join(heads.select(F.col("head").alias("id")), "id", "left_semi").drop("whole")
     pairs = durable(overlapping_pairs(distinct, least), "pairs")
-    aligned = pairs.join(distinct.select(F.col("id").alias("later"), "lines", "sizes"), "later").join(
-        distinct.select(F.col("id").alias("earlier"), F.col("lines").alias("other")), "earlier"
-    )
+    firsts = distinct.select(F.col("id").alias("earlier"), F.col("lines").alias("other"))
+    met = salted_lookup(pairs.withColumn("code", F.xxhash64("earlier")), firsts.withColumn("code", F.xxhash64("earlier")), ["code", "earlier"], ["later"], "inner")
+    aligned = met.join(distinct.select(F.col("id").alias("later"), "lines", "sizes"), "later")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

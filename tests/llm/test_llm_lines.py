@@ -1,6 +1,7 @@
 """Line dedup against a search for all runs of lines in all earlier documents."""
 
 import random
+import time
 
 from feedlens.llm import lines
 
@@ -55,6 +56,33 @@ def test_repeated_and_moved_blocks():
         assert lines.common_blocks(earlier, later, list(map(len, later))) == gone
 
 
+def test_the_alignment_decides(monkeypatch):
+    earlier, later = [P1, P2, "x"], ["y", P1, P2]
+    assert lines.common_blocks(earlier, later, list(map(len, later))) == [1, 2]
+    monkeypatch.setattr(lines, "patience_pairs", lambda a, b: [])
+    assert lines.common_blocks(earlier, later, list(map(len, later))) == []
+
+
+def test_pairs_of_random_documents():
+    rng = random.Random(42)
+    for _ in range(3000):
+        pool = [line(f"l{i}", rng.choice([0, 5, 40, 70, 120])) for i in range(rng.randrange(2, 12))]
+        earlier, later = ([rng.choice(pool) for _ in range(rng.randrange(1, 25))] for _ in range(2))
+        runs = {tuple(earlier[a:b]) for a in range(len(earlier)) for b in range(a + 1, len(earlier) + 1)}
+        gone = {k for a in range(len(later)) for b in range(a + 1, len(later) + 1) if tuple(later[a:b]) in runs and sum(map(len, later[a:b])) >= 100 for k in range(a, b)}
+        assert lines.common_blocks(earlier, later, list(map(len, later))) == sorted(gone)
+
+
+def test_long_documents():
+    block = [line(f"b{i}") for i in range(10)]
+    unlike = [line(f"u{i}") for i in range(100_000)]
+    started = time.process_time()
+    assert lines.common_blocks(block, block * 10_000, [60] * 100_000) == list(range(100_000))
+    assert lines.common_blocks(unlike, unlike[50_000:] + unlike[:50_000], [60] * 100_000) == list(range(100_000))
+    assert lines.common_blocks(unlike, [f"x{i}" if i % 2 else one for i, one in enumerate(unlike)], [60] * 100_000) == []
+    assert time.process_time() - started < 60
+
+
 def test_all_runs_of_random_documents(spark):
     rng = random.Random(41)
     pool = [line(f"l{i}", rng.choice([0, 5, 20, 40, 70, 120])) for i in range(14)]

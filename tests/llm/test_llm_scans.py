@@ -147,7 +147,7 @@ def test_patience_alignment():
         assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
 
 
-def plain_dedup(texts, rare):
+def plain_dedup(texts):
     """Deleted lines per document: every candidate pair aligned in plain Python."""
     split = {i: [line.strip(" ") for line in t.split("\n")] for i, t in enumerate(texts) if t is not None}
     heads = {}
@@ -158,7 +158,7 @@ def plain_dedup(texts, rare):
     for i in distinct:
         for gram in {(line,) for line in split[i]} | set(zip(split[i], split[i][1:])):
             holders.setdefault(gram, []).append(i)
-    pairs = {(a, b) for ids in holders.values() for a in ids for b in ids if a < b and (len(ids) <= rare or a == ids[0])}
+    pairs = {(a, b) for ids in holders.values() for a in ids for b in ids if a < b}
     deleted = {i: set() for i in split}
     for a, b in pairs:
         deleted[b] |= set(lines.common_blocks(split[a], split[b], [len(s) for s in split[b]]))
@@ -175,7 +175,7 @@ def test_line_dedup_matches_brute_force(spark):
     texts += ["\n".join(pool[:8]), "\n".join([*pool[20:22], *pool[:8]])] * 2
     df = docs(spark, texts)
     got = {r["row"]["doc_id"]: r for r in lines.dedup_lines(df).collect()}
-    expected = plain_dedup(texts, lines.RARE)
+    expected = plain_dedup(texts)
     assert len(got) == len(texts)
     for i, text in enumerate(texts):
         if text is None:
@@ -434,7 +434,7 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
             assert ids == set(sure)
         elif number == 1:
             order = before.sort_values("doc_id")
-            expected = plain_dedup(order["text"].tolist(), lines.RARE)
+            expected = plain_dedup(order["text"].tolist())
             texts = dict(zip(after["doc_id"], after["text"]))
             for k, (i, text) in enumerate(zip(order["doc_id"], order["text"])):
                 kept = [line for n, line in enumerate(text.split("\n")) if n not in expected[k]]
