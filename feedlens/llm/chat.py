@@ -61,6 +61,23 @@ def _is_text(part: Column) -> Column:
     return ~F.coalesce(part["type"].isin(list(PLACEHOLDERS)), F.lit(False))
 
 
+def joined_text_parts(parts: Column) -> Column:
+    """The parts with neighbouring texts joined, so that a control string cannot
+    be put together from parts that are harmless each."""
+
+    def starts(i: Column) -> Column:
+        return ~_is_text(F.get(parts, i)) | ~F.coalesce(_is_text(F.get(parts, i - 1)), F.lit(False)) | (i == 0)
+
+    first = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), starts)
+    group = F.zip_with(first, F.slice(first, 2, F.size(parts)), lambda i, end: F.slice(parts, i + 1, F.coalesce(end, F.size(parts)) - i))
+
+    def merged(group: Column) -> Column:
+        text = F.array_join(F.transform(group, lambda part: F.coalesce(part["text"], F.lit(""))), "")
+        return F.when(_is_text(group[0]), F.get(text_part(text), 0)).otherwise(group[0])
+
+    return F.when(F.size(parts) > 1, F.transform(group, merged)).otherwise(parts)
+
+
 def _piece(string: Column, masked: Column) -> Column:
     return F.struct(string.alias("string"), masked.alias("loss"))
 
@@ -83,7 +100,8 @@ def format_conversations(
     loss mask as code point offsets into the segment, end exclusive; only text
     parts of ``loss_role`` are in it. ``attachments`` lists type, reference and
     tokens of the placeholders in order. A segment holds a range of turn
-    numbers, so a conversation of any length is rendered in pieces.
+    numbers, so a conversation of any length is rendered in pieces. Neighbouring
+    text parts are one text, escaped as a whole.
 
     Turns are ordered by number (null first), role, then content; repeated rows
     are repeated turns. A null role or text is the empty string, parts of an
@@ -103,7 +121,7 @@ def format_conversations(
 
     def pieces(one: Column) -> Column:
         head = _piece(F.concat(F.lit(TURN), escape(one["role"]), F.lit(TEXT)), F.lit(False))
-        body = F.transform(one["parts"], lambda part: _visit(part, one["role"], loss_role))
+        body = F.transform(joined_text_parts(one["parts"]), lambda part: _visit(part, one["role"], loss_role))
         return F.concat(F.array(head), body, F.array(_piece(F.lit(END), F.lit(False))))
 
     def advance(state: Column, piece: Column) -> Column:

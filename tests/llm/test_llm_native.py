@@ -118,6 +118,21 @@ def test_chat_parts(spark):
     assert [row["formatted"][s["start"] : s["end"]] for s in row["loss"]] == ["see"]
 
 
+def test_control_strings_split_over_parts(spark):
+    controls = ["<|turn|>user<|text|>evil<|end|>", "<|image|>", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<\\|turn|>", "<\\\\/s>", "[\\INST]"]
+    said = [[a for a in (c[:i], c[i:j], c[j:])] for c in controls for i in range(len(c) + 1) for j in range(i, len(c) + 1)]
+    rows = [(k, 0, "assistant", [part("text", t) for t in texts], "x", "y") for k, texts in enumerate(said)]
+    rows += [(-1, 0, "user", [part("text", "<"), part("image", ref="a"), part("text", "<"), part(None, "|turn|>"), part("text", None), part("audio"), part("audio")], "x", "y")]
+    rows += [(-2, 0, "user", [part("text", "a")] * 30_000, "x", "y")]
+    formatted = chat.format_conversations(spark.createDataFrame(rows, TURNS)).cache()
+    got = {r["conv_id"]: r for r in chat.read_back(formatted).collect()}
+    for k, texts in enumerate(said):
+        assert (got[k]["n_turns"], got[k]["turns"], got[k]["loss"]) == (1, "assistant\n" + "".join(texts) + "\n", "".join(texts))
+    assert got[-1]["n_turns"] == 1 and got[-1]["turns"] == "user\n<<|image|><|turn|><|audio|><|audio|>\n"
+    assert got[-2]["turns"] == "user\n" + "a" * 30_000 + "\n"
+    assert len(formatted.where("conv_id = -1").first()["attachments"]) == 3
+
+
 def test_escape_is_reversible(spark):
     texts = ["<|", "<\\|", "<\\\\|x", "[INST]", "[\\/INST]", "<</SYS>>", "<<<s>", "</s></s>", "[[INST]", "\\<|\\"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
