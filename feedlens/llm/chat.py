@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedlens.llm.arrays import running_totals
+
 #: A content part. ``text`` is set for text, ``ref`` and sizes for the others.
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 
@@ -124,12 +126,10 @@ def format_conversations(
         body = F.transform(joined_text_parts(one["parts"]), lambda part: _visit(part, one["role"], loss_role))
         return F.concat(F.array(head), body, F.array(_piece(F.lit(END), F.lit(False))))
 
-    def advance(state: Column, piece: Column) -> Column:
-        end = state["at"] + F.length(piece["string"])
-        span = F.array(F.struct(state["at"].alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(piece["loss"], F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+    def masked(piece: Column, end: Column) -> Column:
+        return F.when(piece["loss"], F.struct((end - F.length(piece["string"])).alias("start"), end.alias("end")))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    ends = running_totals(F.transform("pieces", lambda piece: F.length(piece["string"])))
     attachments = F.transform(
         F.filter(F.flatten(F.col("said.parts")), lambda part: ~_is_text(part)),
         lambda part: F.struct(part["type"].alias("type"), part["ref"].alias("ref"), expanded_tokens(part).alias("tokens")),
@@ -139,7 +139,7 @@ def format_conversations(
         F.col("conversation").alias(conversation),
         "segment",
         F.array_join("pieces.string", "").alias("formatted"),
-        F.aggregate("pieces", start, advance, lambda state: state["spans"]).alias("loss"),
+        F.array_compact(F.zip_with("pieces", ends, masked)).alias("loss"),
         "attachments",
         F.aggregate("attachments", F.lit(0).cast("long"), lambda total, one: total + one["tokens"]).alias("expanded_tokens"),
     )

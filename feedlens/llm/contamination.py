@@ -22,6 +22,9 @@ WINDOW = 10
 BROADCAST_BYTES = 96 << 20
 #: Bytes of a window beside its text and items: hash, length, array headers.
 ROW_BYTES = 64
+#: Words of a text whose windows are looked up together; windows over the end of
+#: a slice are in it, so the result is that of the whole text.
+SLICE = 512
 #: Characters between words, after lower-casing.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -38,9 +41,19 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), BETWEEN, -1), "")
 
 
+def _slices(words: Column, longest: int) -> Column:
+    """The words in slices of ``SLICE``, each with the ``longest - 1`` words behind
+    it, the number of words before it and of all words. No words are one slice."""
+    last = F.floor(F.greatest(F.size(words) - 1, F.lit(0)) / SLICE).cast("int")
+    return F.transform(
+        F.sequence(F.lit(0), last),
+        lambda k: F.struct((k * SLICE).alias("before"), F.size(words).alias("n_words"), F.slice(words, k * SLICE + 1, SLICE + longest - 1).alias("words")),
+    )
+
+
 def _windows(words: Column, length: int) -> Column:
-    """Position from 1, length and hash of every window of a length."""
-    starts = F.sequence(F.lit(1), F.size(words) - length + 1)
+    """Position from 1, length and hash of every window of a length that starts in a slice."""
+    starts = F.sequence(F.lit(1), F.least(F.lit(SLICE), F.size(words) - length + 1))
     windows = F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(length).alias("length"), F.xxhash64(F.slice(words, i, length)).alias("hash")))
     return F.when(F.size(words) >= length, windows).otherwise(F.array().cast("array<struct<at:int,length:int,hash:bigint>>"))
 
@@ -66,6 +79,9 @@ def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", key: str =
     document travels with its own ten words, never with the whole text, and
     frequent windows are split over several tasks.
 
+    Texts are cut into slices of words first, so the time for a text grows with
+    its length and a task never holds more than one slice's windows.
+
     Null and empty texts have no words, null items texts no windows. Repeated
     rows, also with one key, are searched each; a null key is kept. Other
     columns are not looked at. Without items nothing is hit.
@@ -76,23 +92,25 @@ def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", key: str =
         F.coalesce(F.sum(F.octet_length("window") + named + ROW_BYTES), F.lit(0)).alias("bytes"), F.collect_set("length").alias("lengths")
     ).first()
     known = windows.select(F.col("length").alias("known_length"), "hash", "window", "items")
-    worded = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), words_of(F.col(text)).alias("words"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    lengths = sorted(summary["lengths"])
+    slices = F.flatten(F.transform(F.array(words_of(F.col("text"))), lambda words: _slices(words, max(lengths, default=1))))
+    sliced = numbered.select("row", "key", F.inline(slices))
+    none = F.array().cast("array<struct<at:int,length:int,hash:bigint>>")
     marker = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("length"), F.lit(None).cast("long").alias("hash")))
-    tried = F.concat(marker, *[_windows(F.col("words"), n) for n in sorted(summary["lengths"])])
-    placed = worded.select("row", "key", "words", F.inline(tried))
+    tried = F.concat(F.when(F.col("before") == 0, marker).otherwise(none), *[_windows(F.col("words"), n) for n in lengths])
+    placed = sliced.select("row", "key", "before", "n_words", "words", F.inline(tried))
     own = F.array_join(F.slice("words", F.col("at"), F.col("length")), " ")
     if summary["bytes"] <= broadcast_bytes:
         looked = placed.join(F.broadcast(known), "hash", "left").withColumn("own", own)
-        n_words = F.size("words")
     else:
-        slim = placed.select("row", "key", "at", "length", "hash", F.when(F.col("at") > 0, own).alias("own"), F.when(F.col("at") == 0, F.size("words")).alias("size"))
-        looked = salted_lookup(slim, known, "hash", ["row", "at"], "left")
-        n_words = F.col("size")
+        slim = placed.select("row", "key", "before", "n_words", "at", "length", "hash", F.when(F.col("at") > 0, own).alias("own"))
+        looked = salted_lookup(slim, known, "hash", ["row", "before", "at"], "left")
     verified = (F.col("window") == F.col("own")) & (F.col("length") == F.col("known_length"))
     hits = looked.where((F.col("at") == 0) | verified)
-    n_words = F.when(F.col("at") == 0, n_words.cast("long"))
-    span = F.when(F.col("at") > 0, F.sequence(F.col("at"), F.col("at") + F.col("length") - 1))
-    slim = hits.select("row", "key", n_words.alias("n_words"), span.alias("span"), F.col("items"))
+    start = F.col("before") + F.col("at")
+    span = F.when(F.col("at") > 0, F.sequence(start, start + F.col("length") - 1))
+    slim = hits.select("row", "key", F.col("n_words").cast("long").alias("n_words"), span.alias("span"), F.col("items"))
     grouped = slim.groupBy("row").agg(
         F.first("key").alias("key"), F.max("n_words").alias("n_words"), F.collect_list("span").alias("spans"), F.collect_set("items").alias("items")
     )

@@ -9,6 +9,7 @@ nothing below a dropped node is kept and every kept text has kept ancestors.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -75,6 +76,42 @@ class Node:
         return " ".join("".join(self.text).split())
 
 
+class Opened:
+    """Names of open elements, outermost first, and where each name stands."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, name: str) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+
+    def pop(self) -> str:
+        name = self.names.pop()
+        self.places[name].pop()
+        return name
+
+    def clear(self) -> None:
+        self.names.clear()
+        self.places.clear()
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def __contains__(self, name: str) -> bool:
+        return bool(self.places.get(name))
+
+    def last(self, names: set[str]) -> int:
+        """Place of the innermost element of these names, or -1."""
+        return max((self.places[name][-1] for name in names if name in self), default=-1)
+
+    def first_behind(self, names: set[str], place: int) -> int | None:
+        """The outermost place behind ``place`` of an element of these names."""
+        found = ((places, bisect_right(places, place)) for places in map(self.places.get, names) if places)
+        return min((places[at] for places, at in found if at < len(places)), default=None)
+
+
 class Page(HTMLParser):
     """Blocks and text runs of a page, in page order; node 0 is the root."""
 
@@ -82,12 +119,16 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes = [Node("#root", -1, 0)]
         self.open = [0]
+        self.tags = Opened()  # the names of ``open``
+        self.tags.push("#root")
         self.run = self.links = 0
-        self.hidden: list[str] = []  # a hidden element, and what is open inside
+        self.hidden = Opened()  # a hidden element, and what is open inside
         self.marks: list[bool | None] = [None]
         self.feed(html)
+        if self.rawdata.startswith("<!"):  # a comment without end
+            self.rawdata = ""
         self.close()
-        del self.open, self.marks, self.hidden
+        del self.open, self.tags, self.marks, self.hidden
 
     def _flush(self) -> None:
         self.run = 0
@@ -96,7 +137,7 @@ class Page(HTMLParser):
         self._imply_hidden_ends(tag)
         if self.hidden or tag in HIDDEN:
             if tag in HIDDEN or tag in BLOCK or tag in EMBEDDING:
-                self.hidden.append(tag)
+                self.hidden.push(tag)
             return
         if tag == "br":
             self.handle_data(" ")
@@ -111,6 +152,7 @@ class Page(HTMLParser):
         given = dict(attrs)
         words = re.findall(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+", f"{given.get('class') or ''} {given.get('id') or ''} {given.get('role') or ''}")
         self.open.append(len(self.nodes))
+        self.tags.push(tag)
         mark = given.get("data-main")
         self.marks.append(self.marks[-1] if mark is None else mark == "1")
         self.nodes.append(Node(tag, self.open[-2], len(self.open) - 1, frozenset(w.lower() for w in words)))
@@ -119,8 +161,8 @@ class Page(HTMLParser):
         """Ends hidden elements whose end tag may be left out before ``tag``."""
         if not self.hidden:
             return
-        last = self.hidden[-1]
-        if tag == "body" and not {"template", "iframe"} & {*self.hidden}:
+        last = self.hidden.names[-1]
+        if tag == "body" and "template" not in self.hidden and "iframe" not in self.hidden:
             self.hidden.clear()
         elif last == "head" and tag not in IN_HEAD or last == "option" and tag in ("option", "optgroup", "hr"):
             self.hidden.pop()
@@ -136,22 +178,21 @@ class Page(HTMLParser):
             pass
 
     def _imply_ends(self, tag: str) -> None:
-        if any(self.nodes[i].tag == "p" for i in self.open):
-            while self.nodes[self.open[-1]].tag != "p":
+        if "p" in self.tags:
+            self._end("p")
+        if tag in CLOSES:
+            ended = self.tags.first_behind(CLOSES[tag], max(0, self.tags.last(SCOPES[tag])))
+            while ended is not None and len(self.open) > ended:
                 self._pop()
-            self._pop()
-        closes, scope = CLOSES.get(tag, set()), SCOPES.get(tag, set())
-        for at in range(len(self.open) - 1, 0, -1):
-            name = self.nodes[self.open[at]].tag
-            if name in scope:
-                break
-            if name in closes:
-                while len(self.open) > at:
-                    self._pop()
-
-    def _pop(self) -> None:
+
+    def _end(self, tag: str) -> None:
+        while self._pop() != tag:
+            pass
+
+    def _pop(self) -> str:
         self.open.pop()
         self.marks.pop()
+        return self.tags.pop()
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -164,19 +205,17 @@ class Page(HTMLParser):
         elif tag == "a":
             self.links = max(0, self.links - 1)
         elif tag in BLOCK:
-            inside = any(self.nodes[i].tag == tag for i in self.open)
+            inside = tag in self.tags
             if self.hidden and not inside:
                 return
             self.hidden.clear()  # left open inside an element that ends
             self._flush()
             if inside:
-                while self.nodes[self.open[-1]].tag != tag:
-                    self._pop()
-                self._pop()
+                self._end(tag)
                 self.links = 0
 
     def handle_data(self, data: str) -> None:
-        if self.hidden == ["head"] and data.strip():
+        if self.hidden.names == ["head"] and data.strip():
             self.hidden.clear()
         if self.hidden or not (self.run or data.strip()):
             return
@@ -312,14 +351,13 @@ def main_text(html: str | None, trees: list[Tree]) -> str:
 
 def _tagged(nodes: list[Node]) -> list[bool]:
     """Whether a run lies in an article or main element and in none for other uses."""
-    inside = []
-    for node in nodes:
-        names, at = set(), node.parent
-        while at > 0:
-            names.add(nodes[at].tag)
-            at = nodes[at].parent
-        inside.append(bool(names & {"article", "main"}) and not names & {"nav", "aside", "footer", "form", "header"})
-    return inside
+    article, other = np.zeros(len(nodes), bool), np.zeros(len(nodes), bool)
+    for i, node in enumerate(nodes):
+        if node.parent > 0:  # parents come first
+            above = nodes[node.parent].tag
+            article[i] = article[node.parent] or above in ("article", "main")
+            other[i] = other[node.parent] or above in ("nav", "aside", "footer", "form", "header")
+    return (article & ~other).tolist()
 
 
 def variant(rng: np.random.Generator, article: list[tuple[str, str]], other: list[str]) -> str:
@@ -404,9 +442,13 @@ def train(pages: list[str]) -> list[Tree]:
 
 
 def fit(pages: DataFrame, html: str = "html", limit: int = TRAIN_PAGES) -> list[Tree]:
-    """Trees from at most ``limit`` pages, chosen by a hash of their content."""
-    usable = pages.where(F.col(html).isNotNull()).select(F.xxhash64(html).alias("draw"), F.col(html).alias("html"))
-    return train([row["html"] for row in usable.orderBy("draw", F.length("html")).limit(limit).collect()])
+    """Trees from at most ``limit`` different pages with an article or main
+    element, chosen by a hash of their content; copies count once. Without such a
+    page there are no trees, and ``page_score`` keeps long runs of text."""
+    marked = pages.where(F.col(html).rlike(r"(?i)<(?:article|main)[\s>]")).select(F.xxhash64(html).alias("draw"), F.col(html).alias("html"))
+    drawn = marked.select("draw").distinct().orderBy("draw").limit(limit)
+    chosen = marked.join(drawn, "draw", "left_semi").dropDuplicates(["draw"]).orderBy("draw")
+    return train([row["html"] for row in chosen.collect()])
 
 
 def extract(pages: DataFrame, trees: list[Tree], html: str = "html", carry: list[str] = ["page_id", "url"]) -> DataFrame:

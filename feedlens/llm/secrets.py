@@ -17,6 +17,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedlens.llm.arrays import let, running_totals
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -129,14 +131,16 @@ def _spans(text: Column, rule: Rule, position: int) -> Column:
         lambda gap, match: F.struct(F.length(gap).alias("gap"), F.length(match["whole"]).alias("size"), F.length(match["tested"]).alias("tested")),
     )
 
-    def advance(state: Column, one: Column) -> Column:
-        start = state["at"] + one["gap"]
-        span = F.struct(start.alias("start"), F.lit(position).alias("order"), F.lit(rule.kind).alias("kind"), (start + one["size"]).alias("end"))
-        kept = F.when(one["tested"] >= rule.least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.struct((start + F.coalesce(one["size"], F.lit(0))).alias("at"), kept.alias("spans"))
+    def placed(one: Column, end: Column) -> Column:
+        start = (end - one["size"]).alias("start")
+        return F.when(one["tested"] >= rule.least, F.struct(start, F.lit(position).alias("order"), F.lit(rule.kind).alias("kind"), end.alias("end")))
+
+    def spans(lengths: Column) -> Column:
+        ends = running_totals(F.transform(lengths, lambda one: one["gap"] + F.coalesce(one["size"], F.lit(0))))
+        return F.array_compact(F.zip_with(lengths, ends, placed))
 
     empty = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
-    found = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), empty.alias("spans")), advance, lambda state: state["spans"])
+    found = let(lengths, spans)
     return F.when(text.rlike(rule.pattern), found).otherwise(empty)
 
 

@@ -1,5 +1,9 @@
 """Pages that leave out end tags of hidden elements."""
 
+import time
+
+import pytest
+
 from feedlens.llm import html
 
 
@@ -25,3 +29,21 @@ def test_hidden_elements_stay_hidden():
         "<select><option>a</option></select>", "<head><noscript><div>a</div></noscript></head>", "<object><object>a</object>b</object>",
     ):
         assert said(f"<div>x</div>{hidden}<div>y</div>") == ["x", "y"], hidden
+
+
+def test_deep_pages_and_open_comments():
+    started = time.process_time()
+    for opening in ("<div>", "<div><li>", "<table><tr><td>", "<div><p>", "<svg><foreignObject>", "<ul><li>x"):
+        html.main_text("x " + opening * 20_000 + "deep", [])
+    assert time.process_time() - started < 30
+    assert said("<p>un<!-- no end <b>x") == ["un"] and said("a<!-- b -->c") == ["ac"]
+
+
+def test_copies_and_unmarked_pages_are_no_sample(spark):
+    rows = [(1, "<article><p>some words</article>")] * 500 + [(2, f"<p>unmarked {i}") for i in range(300)] + [(3, "<main>\nother words</main>"), (4, None)]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    learned = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(html, "train", lambda texts: learned.extend(texts) or [])
+        html.fit(pages)
+    assert sorted(learned) == sorted({rows[0][1], rows[-2][1]})

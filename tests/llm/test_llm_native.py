@@ -1,11 +1,13 @@
 """Mixing, secret scans and chat formatting against plain Python."""
 
+import itertools
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from feedlens.llm import chat, mixing, secrets
+from feedlens.llm import arrays, chat, mixing, secrets
 
 DOC = "doc_id long, text string, source string, size string, piece string"
 
@@ -80,6 +82,22 @@ def test_secrets_match_plain_search(spark):
     assert secrets.scan_secrets(docs(spark, rows).where("false")).collect() == []
 
 
+def test_secrets_in_a_text_with_many(spark):
+    text = "é " + " ".join(f"{i:030x} secret={'z' * (i % 9)}" for i in range(32_000))
+    started = time.time()
+    found = secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert time.time() - started < 30
+    assert [tuple(s) for s in found["spans"]] == plain_spans(text)
+
+
+def test_running_totals(spark):
+    for n in (0, 1, 255, 256, 257, 513, 2000):
+        steps = [i * 7 % 11 for i in range(n)]
+        df = spark.createDataFrame([(steps,), (None,)], "steps array<int>")
+        got = [r[0] for r in df.select(arrays.running_totals(F.col("steps"))).collect()]
+        assert got[0] == list(itertools.accumulate(steps)) and not got[1]
+
+
 TURNS = f"conv_id long, turn long, role string, parts array<{chat.PART}>, segment string, formatted string"
 
 

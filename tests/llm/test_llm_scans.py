@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -129,6 +130,23 @@ def test_hits_match_brute_force(spark):
     assert contamination.find_hits(df.where("false"), table).collect() == []
 
 
+@pytest.mark.parametrize("broadcast_bytes", [contamination.BROADCAST_BYTES, 0])
+def test_hits_over_slices(spark, broadcast_bytes):
+    rng = random.Random(8)
+    items = [(i, " ".join(f"w{rng.randrange(50)}" for _ in range(n))) for i, n in enumerate([3, 9, 10, 11, 40, 600, 1])]
+    cut = contamination.SLICE
+    texts = [" ".join(f"d{k}" for k in range(n)) for n in (cut - 1, cut, cut + 1, cut + 9, 2 * cut, 2 * cut + 1)]
+    texts += [" ".join(["d"] * (cut - back) + items[3][1].split() + ["e"] * 5) for back in range(13)] + [items[5][1] + " x " + items[5][1], "d " * 300_000 + items[4][1]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    started = time.time()
+    got = {r["doc_id"]: r for r in contamination.find_hits(df, table, broadcast_bytes=broadcast_bytes).collect()}
+    assert time.time() - started < 60
+    for i, text in enumerate(texts):
+        n_words, hit, ids = plain_hits(text, items)
+        assert (got[i]["n_words"], got[i]["hit"], got[i]["items"]) == (n_words, sorted(hit), sorted(map(str, ids)))
+
+
 def test_without_hits_keeps_the_rest(spark):
     df = spark.createDataFrame([("A b, c! d", [2, 3]), ("x", []), ("", [])], "t string, h array<int>")
     assert [r[0] for r in df.select(contamination.without_hits(F.col("t"), F.col("h"))).collect()] == ["A , ! d", "x", ""]
