@@ -24,7 +24,7 @@ BROADCAST_BYTES = 96 << 20
 ROW_BYTES = 64
 #: Words of a text whose windows are looked up together; windows over the end of
 #: a slice are in it, so the result is that of the whole text.
-SLICE = 512
+SLICE = 128
 #: Characters between words, after lower-casing.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
