@@ -35,20 +35,31 @@ SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM (
 """
 
 
-def _secret_kind(position: int, rule: secrets.Rule) -> str:
-    pattern = _quoted(rule.pattern)
+#: Fixed values of the query: pattern, tested group and least length of the base kinds,
+#: written out so that they do not depend on the operator's own rules.
+BASE_KINDS = (
+    ("assign", r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", 2, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", r"[0-9a-f]+", 0, 24),
+)
+
+
+def _secret_kind(position: int, kind: str, regex: str, group: int, least: int) -> str:
+    pattern = _quoted(regex)
     return f"""
-SELECT rid, {position} AS ord, '{rule.kind}' AS kind, start, start + length(whole) AS stop FROM (
+SELECT rid, {position} AS ord, '{kind}' AS kind, start, start + length(whole) AS stop FROM (
   SELECT rid, found[i] AS whole, tested[i] AS tested,
          list_sum(list_transform(gaps[1:i], lambda s: length(s))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda s: length(s))), 0) AS start
-  FROM (SELECT rid, regexp_extract_all(body, {pattern}) AS found, regexp_extract_all(body, {pattern}, {rule.group}) AS tested,
+  FROM (SELECT rid, regexp_extract_all(body, {pattern}) AS found, regexp_extract_all(body, {pattern}, {group}) AS tested,
                string_split_regex(body, {pattern}) AS gaps FROM docs), unnest(range(1, len(found) + 1)) r(i)) m
-WHERE length(tested) >= {rule.least}"""
+WHERE length(tested) >= {least}"""
+
 
+_KINDS = (*BASE_KINDS, *((r.kind, r.pattern, r.group, r.least) for r in secrets.RULES[len(BASE_KINDS) :]))
 
 ORACLES["op3_secrets"] = f"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS body FROM documents),
-spans AS ({" UNION ALL ".join(_secret_kind(i, rule) for i, rule in enumerate(secrets.RULES))}),
+spans AS ({" UNION ALL ".join(_secret_kind(i, *kind) for i, kind in enumerate(_KINDS))}),
 joined AS (
   SELECT rid, count(*) FILTER (ord = 0) AS a, count(*) FILTER (ord = 1) AS b, count(*) FILTER (ord = 2) AS c,
          string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, ord) FILTER (ord < 3) AS base,
