@@ -3,7 +3,8 @@
 Tokens of both that overlap are linked. How many documents link a pair of ids is
 kept in dense vectors, indexed by a minimal perfect hash of the distinct pairs and
 summed as a tree of partial vectors. A second pass aligns the documents again and
-looks the counts up.
+looks the counts up. Both tokenizers start a token at a single space, so each pass
+aligns the distinct words of a chunk of documents once.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 from math import ceil
 
 import numpy as np
@@ -28,10 +30,10 @@ from feedlens.sources.durable import durable
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text whose documents are aligned together; one longer text stands alone.
-CHUNK_BYTES = 2 << 20
-#: Characters after which a text is cut at the next possible place, and the number
-#: of such segments that are encoded together.
-SEGMENT_CHARS, SEGMENTS = 2_000, 256
+CHUNK_BYTES = 4 << 20
+#: Characters after which a text is cut at the next possible place before it is cut
+#: into words, and the number of words that are encoded together.
+SEGMENT_CHARS, BATCH_WORDS = 100_000, 4096
 #: Distinct pairs behind one hash, and pair rows that are counted in one task.
 BUCKET_PAIRS = 250_000
 SLICE_ROWS = 2_000_000
@@ -74,45 +76,35 @@ class Tokenizers:
         #: Texts of ids in groups: inside and at the end of the first side, then of the second.
         self.labels = [f"{i}{end}".encode() for side, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for i in range(len(side)) for end in ends]
 
-    def segments(self, text: str) -> list[str]:
+    def words(self, text: str) -> Iterator[list[str]]:
         """A text in parts that can be encoded one by one, without the space
-        between them."""
-        parts, start = [], 0
+        between them; a segment's parts at a time."""
+        start = 0
         while self.can_cut and len(text) - start > SEGMENT_CHARS:
             found = _CUT.search(text, start + SEGMENT_CHARS)
             if not found:
                 break
-            parts.append(text[start : found.start()])
+            yield _CUT.split(text[start : found.start()])
             start = found.end()
-        return [*parts, text[start:]]
-
-    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For both: number of tokens by text, and all ids. A text has none where
-        the tokens are not its bytes behind a space."""
-        parts, owner = [], []
-        for n, text in enumerate(texts):
-            of_text = self.segments(text) if text else []
-            parts += of_text
-            owner += [n] * len(of_text)
-        misfits, sizes, ids = np.zeros(len(texts), bool), ([], []), (array("i"), array("i"))
-        for low in range(0, len(parts), SEGMENTS):
-            batch = parts[low : low + SEGMENTS]
-            a = [e.ids for e in self.a.encode_batch_fast([" " + part for part in batch], add_special_tokens=False)]
+        yield _CUT.split(text[start:]) if self.can_cut else [text]
+
+    def encode(self, words: Iterable[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Which words have tokens: those whose tokens of both sides are their
+        bytes behind a space. For both sides: number of tokens by word, none
+        where it has none, and all ids."""
+        fits, sizes, ids = [], ([], []), (array("i"), array("i"))
+        words = iter(words)
+        while batch := list(islice(words, BATCH_WORDS)):
+            a = [e.ids for e in self.a.encode_batch_fast([" " + word for word in batch], add_special_tokens=False)]
             b = self.b.encode(batch, num_threads=1)
-            for n, part, *both in zip(owner[low:], batch, a, b):
-                whole = b" " + part.encode()
-                for known, found, size, all_ids in zip((self.a_bytes, self.b_bytes), both, sizes, ids):
-                    misfits[n] |= b"".join([known[i] for i in found]) != whole
-                    size.append(len(found))
-                    all_ids.extend(found)
-        fits = ~misfits[np.array(owner, np.int64)]
-        sides = []
-        for size, all_ids in zip(sizes, ids):
-            size, values = np.array(size, np.int64), np.array(all_ids, np.int64)
-            counts = np.zeros(len(texts), np.int64)
-            np.add.at(counts, np.array(owner, np.int64), size * fits)
-            sides.append((counts, values[np.repeat(fits, size)]))
-        return sides
+            for word, *both in zip(batch, a, b):
+                whole = b" " + word.encode()
+                fit = all(b"".join([known[i] for i in found]) == whole for known, found in zip((self.a_bytes, self.b_bytes), both))
+                fits.append(fit)
+                for found, size, all_ids in zip(both, sizes, ids):
+                    size.append(len(found) if fit else 0)
+                    all_ids.extend(found if fit else ())
+        return np.array(fits, bool), [(np.array(size, np.int64), np.array(all_ids, np.int64)) for size, all_ids in zip(sizes, ids)]
 
 
 @lru_cache(maxsize=1)
@@ -121,27 +113,61 @@ def _tokenizers(byte_bpe: str, piece_bpe: str) -> Tokenizers:
 
 
 class Alignment:
-    """The tokens of many texts, one text behind the other."""
+    """The distinct words of many texts, aligned, and the texts as their numbers."""
 
-    def __init__(self, encoded: list[tuple[np.ndarray, np.ndarray]], tokenizers: Tokenizers):
-        (self.n_a, self.a), (self.n_b, self.b) = encoded
+    def __init__(self, texts: list[str | None], tokenizers: Tokenizers):
+        number: dict[str, int] = {}
+        words, sizes = array("i"), np.zeros(len(texts), np.int64)
+        for n, text in enumerate(texts):
+            before = len(words)
+            for parts in tokenizers.words(text) if text else ():
+                words.extend([number.setdefault(part, len(number)) for part in parts])
+            sizes[n] = len(words) - before
+        fits, ((self.n_a, self.a), (self.n_b, self.b)) = tokenizers.encode(number)
+        self.n_texts, self.n_words, words = len(texts), len(number), np.array(words, np.int64)
+        owners = np.repeat(np.arange(self.n_texts), sizes)
+        misfits = np.zeros(self.n_texts, bool)
+        misfits[owners[~fits[words]]] = True
+        #: Texts and words by place; a text with a word that has no tokens has none.
+        self.owners, self.places = owners[~misfits[owners]], words[~misfits[owners]]
+        self._align(tokenizers)
+
+    def _align(self, tokenizers: Tokenizers) -> None:
         self.a_ends, self.b_ends = np.cumsum(tokenizers.a_sizes[self.a]), np.cumsum(tokenizers.b_sizes[self.b])
         ends_a, ends_b = (np.zeros((ends[-1] if len(ends) else 0) + 1, bool) for ends in (self.a_ends, self.b_ends))
         ends_a[self.a_ends], ends_b[self.b_ends] = True, True
         cuts = np.flatnonzero(ends_a | ends_b)  # between two cuts lies one link
-        self.of_a, of_b = (np.cumsum(ends)[cuts] - ends[cuts] for ends in (ends_a, ends_b))
-        #: Number of the pair of ids and of the text, by link.
-        self.pairs = (self.a[self.of_a] << PAIR_BITS) | self.b[of_b]
-        self.texts = np.repeat(np.arange(len(self.n_a)), self.n_a)[self.of_a]
+        of_a, of_b = (np.cumsum(ends)[cuts] - ends[cuts] for ends in (ends_a, ends_b))
+        #: Number of the pair of ids and of the word, by link.
+        self.pairs = (self.a[of_a] << PAIR_BITS) | self.b[of_b]
+        self.words = np.repeat(np.arange(self.n_words), self.n_a)[of_a]
         self.common = np.flatnonzero(ends_a & ends_b)
-        self.n_links = np.bincount(self.texts, minlength=len(self.n_a))
+        self.n_links = np.bincount(self.words, minlength=self.n_words)
+
+    def total(self, of_words: np.ndarray) -> np.ndarray:
+        """The sums over the texts of a number by word."""
+        sums = np.zeros(self.n_texts, np.int64)
+        np.add.at(sums, self.owners, of_words[self.places])
+        return sums
+
+    def of_links(self, values: np.ndarray) -> np.ndarray:
+        """The sums over the texts of a number by link."""
+        sums = np.zeros(self.n_words, np.int64)
+        np.add.at(sums, self.words, values)
+        return self.total(sums)
 
     def pair_texts(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct pairs, and how many of the texts link each."""
-        shift = len(self.n_a).bit_length()
-        held = np.unique((self.pairs << shift) | self.texts) >> shift
-        first = np.flatnonzero(np.diff(held, prepend=-1))
-        return held[first], np.diff(first, append=len(held))
+        distinct, numbers = np.unique(self.pairs, return_inverse=True)
+        in_words = np.unique(self.words * (len(distinct) + 1) + numbers)
+        first = np.searchsorted(in_words, np.arange(self.n_words + 1) * (len(distinct) + 1))
+        held = np.unique(self.owners * (self.n_words + 1) + self.places)
+        texts, words = np.divmod(held, self.n_words + 1)
+        n = np.diff(first)[words]
+        at = np.repeat(first[words] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        linked = np.unique(np.repeat(texts, n) * (len(distinct) + 1) + in_words[at] % (len(distinct) + 1))
+        counts = np.bincount(linked % (len(distinct) + 1), minlength=len(distinct))
+        return distinct[counts > 0], counts[counts > 0]
 
     def groups(self, tokenizers: Tokenizers) -> tuple[np.ndarray, list[bytes]]:
         """Number of groups and their ids, as text, by text."""
@@ -155,13 +181,14 @@ class Alignment:
         before_b = np.arange(len(self.b)) + in_group_a[group_b]
         ordered = np.empty(len(codes), np.int64)
         ordered[np.concatenate([before_a, before_b])] = codes
-        labels, known = [], tokenizers.labels
-        bounds = np.concatenate([[0], np.cumsum(self.n_a + self.n_b)])
-        ordered = ordered.tolist()
-        for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            labels.append(b"".join([known[c] for c in ordered[low:high]])[:-1])
-        of_text = np.repeat(np.arange(len(self.n_a)), self.n_a)[np.searchsorted(self.a_ends, self.common)]
-        return np.bincount(of_text, minlength=len(self.n_a)), labels
+        ordered, known = ordered.tolist(), tokenizers.labels
+        bounds = np.concatenate([[0], np.cumsum(self.n_a + self.n_b)]).tolist()
+        of_words = [b"".join([known[c] for c in ordered[low:high]])[:-1] for low, high in zip(bounds, bounds[1:])]
+        ends = np.cumsum(np.bincount(self.owners, minlength=self.n_texts)).tolist()
+        places = self.places.tolist()
+        labels = [b";".join([of_words[w] for w in places[low:high]]) for low, high in zip([0, *ends], ends)]
+        of_word = np.repeat(np.arange(self.n_words), self.n_a)[np.searchsorted(self.a_ends, self.common)]
+        return self.total(np.bincount(of_word, minlength=self.n_words)), labels
 
 
 class PerfectHash:
@@ -239,7 +266,7 @@ def _chunks(docs: DataFrame, text: str, byte_bpe: str, piece_bpe: str) -> DataFr
                 before = sizes[first - 1] if first else 0
                 n = max(1, int(np.searchsorted(sizes, before + CHUNK_BYTES, "right")) - first)
                 piece = batch.slice(first, n)
-                pairs, texts = Alignment(tokenizers.encode(piece.column(1).to_pylist()), tokenizers).pair_texts()
+                pairs, texts = Alignment(piece.column(1).to_pylist(), tokenizers).pair_texts()
                 lists = [pa.array([of_chunk.tolist(), *[None] * (n - 1)], pa.list_(pa.int64())) for of_chunk in (pairs, texts)]
                 yield pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int64()), piece.column(0), *lists], ["chunk", "row", "pairs", "texts"])
                 number += 1
@@ -332,8 +359,8 @@ def align(docs: DataFrame, text: str = "text", byte_bpe: str = BYTE_BPE, piece_b
     of ids; ``n_best`` counts those whose pair is in the most documents of its
     first id. A text that is null or empty, or whose tokens are not its bytes, has
     no tokens. Equal rows count as documents each; an empty table gives no rows.
-    Long texts are cut at single spaces, which changes no token; a text without
-    such a space is encoded in one piece.
+    Texts are cut at single spaces, which changes no token, and a word is encoded
+    once a chunk; a text without such a space is one word.
     No task holds more than a chunk of texts or a bucket of pairs.
     """
     chunks = durable(_chunks(docs, text, byte_bpe, piece_bpe), "chunks")
@@ -351,15 +378,14 @@ def align(docs: DataFrame, text: str = "text", byte_bpe: str = BYTE_BPE, piece_b
     def measure(of_chunk: pa.Table, found: pa.Table) -> pa.Table:
         tokenizers = _tokenizers(byte_bpe, piece_bpe)
         rows = of_chunk.column("row").combine_chunks()
-        alignment = Alignment(tokenizers.encode(rows.field(text).to_pylist()), tokenizers)
+        alignment = Alignment(rows.field(text).to_pylist(), tokenizers)
         pairs = _numbers(found, "pair")
         order = np.argsort(pairs)
         places = order[np.searchsorted(pairs, alignment.pairs, sorter=order)] if len(pairs) else np.zeros(0, np.int64)
         n_groups, groups = alignment.groups(tokenizers)
-        sums = [np.zeros(of_chunk.num_rows, np.int64) for _ in range(2)]
-        for total, name in zip(sums, ("best", "count")):
-            np.add.at(total, alignment.texts, _numbers(found, name)[places])
-        numbers = [pa.array(c.astype(np.int64)) for c in (alignment.n_a, alignment.n_b, n_groups, alignment.n_links, *sums)]
+        n_a, n_b, n_links = (alignment.total(n) for n in (alignment.n_a, alignment.n_b, alignment.n_links))
+        n_best, count_sum = (alignment.of_links(_numbers(found, name)[places]) for name in ("best", "count"))
+        numbers = [pa.array(c.astype(np.int64)) for c in (n_a, n_b, n_groups, n_links, n_best, count_sum)]
         return pa.table([rows, *numbers, pa.array(groups, pa.binary()).cast(pa.string())], names=["row", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
 
     of_slices = _per_slice(counted, slices)

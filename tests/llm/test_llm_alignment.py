@@ -82,21 +82,35 @@ def test_empty_table(spark):
     assert alignment.align(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()[0]["groups"] == ""
 
 
-def test_cuts_change_no_token(tokenizers, monkeypatch, spark, sf_dir):
+def tokens(texts, tokenizers):
+    """Ids of both sides by text, put together from words; None without tokens."""
+    numbers = alignment.Alignment(texts, tokenizers)
+    of_words = [np.split(ids, np.cumsum(n)[:-1]) for n, ids in ((numbers.n_a, numbers.a), (numbers.n_b, numbers.b))]
+    found = [None] * len(texts)
+    for owner, place in zip(numbers.owners.tolist(), numbers.places.tolist()):
+        found[owner] = found[owner] or ([], [])
+        for side, ids in zip(found[owner], of_words):
+            side.extend(ids[place].tolist())
+    return found
+
+
+@pytest.mark.parametrize("segment", [1, 50, 100_000])
+def test_cuts_change_no_token(tokenizers, monkeypatch, spark, sf_dir, segment):
     texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()] + TRICKY
     assert tokenizers.can_cut
-    monkeypatch.setattr(alignment, "SEGMENT_CHARS", 1)
-    cut = tokenizers.encode(texts)
+    monkeypatch.setattr(alignment, "SEGMENT_CHARS", segment)
+    cut = tokens(texts, tokenizers)
     monkeypatch.setattr(tokenizers, "can_cut", False)
-    for with_cuts, whole in zip(cut, tokenizers.encode(texts)):
-        assert (with_cuts[0] == whole[0]).all() and (with_cuts[1] == whole[1]).all()
+    assert cut == tokens(texts, tokenizers)
+    whole = [(tokenizers.a.encode(" " + t, add_special_tokens=False).ids, tokenizers.b.encode(t)) for t in texts if t]
+    assert [w for w, found in zip(whole, [c for c, t in zip(cut, texts) if t]) if found] == [c for c in cut if c]
 
 
 def test_long_text(tokenizers):
     text = "Wörter und 12 words, " * 100_000
-    (n_a, a), (n_b, b) = tokenizers.encode([text])
-    assert a.tolist() == tokenizers.a.encode(" " + text, add_special_tokens=False).ids
-    assert len(b) == n_b[0] and len(a) == n_a[0] > 10**5
+    numbers = alignment.Alignment([text], tokenizers)
+    assert numbers.total(numbers.n_a)[0] == len(tokenizers.a.encode(" " + text, add_special_tokens=False).ids) > 10**5
+    assert tokens([text], tokenizers)[0][0] == tokenizers.a.encode(" " + text, add_special_tokens=False).ids
 
 
 def test_perfect_hash_is_minimal():
