@@ -9,17 +9,18 @@ aligns the distinct words of a chunk of documents once.
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ from feedlens.sources.durable import durable
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text whose documents are aligned together; one longer text stands alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 8 << 20
 #: Characters after which a text is cut at the next possible place before it is cut
 #: into words, and the number of words that are encoded together.
 SEGMENT_CHARS, BATCH_WORDS = 100_000, 4096
@@ -44,6 +45,10 @@ FAN_IN = 16
 PAIR_BITS = 24
 #: A single space between other characters: both tokenizers start a token there.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Any other space.
+_NO_CUT = re.compile(r"(?<!\S) | (?!\S)")
+#: Pattern of the parts that byte-level vocabularies merge by default (fixed value).
+_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -68,6 +73,7 @@ class Tokenizers:
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.a_bytes[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
+        self.ranked = self._ranked()
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_bpe)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
@@ -88,23 +94,50 @@ class Tokenizers:
             start = found.end()
         yield _CUT.split(text[start:]) if self.can_cut else [text]
 
-    def encode(self, words: Iterable[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    def _ranked(self) -> tiktoken.Encoding | None:
+        """The first tokenizer as ranks of byte strings, which are faster to merge;
+        None unless it is plain byte-level and its merges stand in the order of ids."""
+        described = json.loads(self.a.to_str())
+        model, split = described["model"], described["pre_tokenizer"] or {}
+        plain = model["type"] == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"]
+        if not plain or described["normalizer"] or model.get("ignore_merges") or model.get("dropout"):
+            return None
+        merged = [model["vocab"]["".join(pair if isinstance(pair, list) else pair.split(" "))] for pair in model["merges"]]
+        if merged != sorted(merged):
+            return None
+        special = {token["id"] for token in described["added_tokens"]}
+        ranks = {token: i for i, token in enumerate(self.a_bytes) if i not in special}
+        return tiktoken.Encoding("ranks", pat_str=_PARTS, mergeable_ranks=ranks, special_tokens={})
+
+    def _ids_a(self, words: list[str]) -> list[list[int]]:
+        if self.ranked:
+            return [self.ranked.encode_ordinary(" " + word) for word in words]
+        return [e.ids for e in self.a.encode_batch_fast([" " + word for word in words], add_special_tokens=False)]
+
+    def encode(self, words: pa.StringArray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """Which words have tokens: those whose tokens of both sides are their
         bytes behind a space. For both sides: number of tokens by word, none
         where it has none, and all ids."""
-        fits, sizes, ids = [], ([], []), (array("i"), array("i"))
-        words = iter(words)
-        while batch := list(islice(words, BATCH_WORDS)):
-            a = [e.ids for e in self.a.encode_batch_fast([" " + word for word in batch], add_special_tokens=False)]
-            b = self.b.encode(batch, num_threads=1)
-            for word, *both in zip(batch, a, b):
-                whole = b" " + word.encode()
-                fit = all(b"".join([known[i] for i in found]) == whole for known, found in zip((self.a_bytes, self.b_bytes), both))
-                fits.append(fit)
-                for found, size, all_ids in zip(both, sizes, ids):
-                    size.append(len(found) if fit else 0)
-                    all_ids.extend(found if fit else ())
-        return np.array(fits, bool), [(np.array(size, np.int64), np.array(all_ids, np.int64)) for size, all_ids in zip(sizes, ids)]
+        fits, sizes, ids = np.ones(len(words), bool), ([], []), ([], [])
+        for low in range(0, len(words), BATCH_WORDS):
+            batch = words.slice(low, BATCH_WORDS)
+            ends = np.cumsum(pc.binary_length(batch).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            batch = batch.to_pylist()
+            whole = (" " + " ".join(batch)).encode()
+            sides = [self._ids_a(batch), self.b.encode(batch, num_threads=1)]
+            fit = np.ones(len(batch), bool)
+            for found, known, token_sizes in zip(sides, (self.a_bytes, self.b_bytes), (self.a_sizes, self.b_sizes)):
+                flat = list(chain.from_iterable(found))
+                reached = np.concatenate([[0], np.cumsum(token_sizes[np.array(flat, np.int64)])])[np.cumsum([len(f) for f in found])]
+                if not np.array_equal(reached, ends) or b"".join([known[i] for i in flat]) != whole:
+                    fit &= [b"".join([known[i] for i in of_word]) == b" " + word.encode() for word, of_word in zip(batch, found)]
+            fits[low : low + len(batch)] = fit
+            for found, size, all_ids in zip(sides, sizes, ids):
+                found = found if fit.all() else [f if ok else [] for f, ok in zip(found, fit.tolist())]
+                size.append(np.array([len(f) for f in found], np.int64))
+                all_ids.append(np.array(list(chain.from_iterable(found)), np.int64))
+        none = np.zeros(0, np.int64)
+        return fits, [(np.concatenate([none, *size]), np.concatenate([none, *all_ids])) for size, all_ids in zip(sizes, ids)]
 
 
 @lru_cache(maxsize=1)
@@ -115,23 +148,36 @@ def _tokenizers(byte_bpe: str, piece_bpe: str) -> Tokenizers:
 class Alignment:
     """The distinct words of many texts, aligned, and the texts as their numbers."""
 
-    def __init__(self, texts: list[str | None], tokenizers: Tokenizers):
-        number: dict[str, int] = {}
-        words, sizes = array("i"), np.zeros(len(texts), np.int64)
-        for n, text in enumerate(texts):
-            before = len(words)
-            for parts in tokenizers.words(text) if text else ():
-                words.extend([number.setdefault(part, len(number)) for part in parts])
-            sizes[n] = len(words) - before
-        fits, ((self.n_a, self.a), (self.n_b, self.b)) = tokenizers.encode(number)
-        self.n_texts, self.n_words, words = len(texts), len(number), np.array(words, np.int64)
-        owners = np.repeat(np.arange(self.n_texts), sizes)
+    def __init__(self, texts: pa.Array, tokenizers: Tokenizers):
+        self.n_texts = len(texts)
+        owners, words = self._split(texts, tokenizers)
+        found = words.dictionary_encode()
+        words, self.n_words = found.indices.to_numpy().astype(np.int64), len(found.dictionary)
+        fits, ((self.n_a, self.a), (self.n_b, self.b)) = tokenizers.encode(found.dictionary)
         misfits = np.zeros(self.n_texts, bool)
         misfits[owners[~fits[words]]] = True
         #: Texts and words by place; a text with a word that has no tokens has none.
         self.owners, self.places = owners[~misfits[owners]], words[~misfits[owners]]
         self._align(tokenizers)
 
+    @staticmethod
+    def _split(texts: pa.Array, tokenizers: Tokenizers) -> tuple[np.ndarray, pa.StringArray]:
+        """Number of the text and word, by place."""
+        texts = pa.concat_arrays([texts])  # kernels on strings go wrong on slices
+        odd = [bool(t) and (not tokenizers.can_cut or _NO_CUT.search(t) is not None) for t in texts.to_pylist()]
+        plain = pc.if_else(pc.or_(pa.array(odd, pa.bool_()), pc.equal(pc.fill_null(texts, ""), "")), pa.scalar(None, pa.string()), texts)
+        of_plain = pc.split_pattern(plain, " ")
+        owners, words = [pc.list_parent_indices(of_plain).to_numpy().astype(np.int64)], [of_plain.flatten()]
+        for n in np.flatnonzero(odd).tolist():
+            for parts in tokenizers.words(texts[n].as_py()):
+                words.append(pa.array(parts, pa.string()))
+                owners.append(np.full(len(parts), n, np.int64))
+        owners, words = np.concatenate(owners), pa.concat_arrays(words)
+        if any(odd):
+            order = np.argsort(owners, kind="stable")
+            owners, words = owners[order], words.take(pa.array(order))
+        return owners, words
+
     def _align(self, tokenizers: Tokenizers) -> None:
         self.a_ends, self.b_ends = np.cumsum(tokenizers.a_sizes[self.a]), np.cumsum(tokenizers.b_sizes[self.b])
         ends_a, ends_b = (np.zeros((ends[-1] if len(ends) else 0) + 1, bool) for ends in (self.a_ends, self.b_ends))
@@ -159,13 +205,12 @@ class Alignment:
     def pair_texts(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct pairs, and how many of the texts link each."""
         distinct, numbers = np.unique(self.pairs, return_inverse=True)
-        in_words = np.unique(self.words * (len(distinct) + 1) + numbers)
-        first = np.searchsorted(in_words, np.arange(self.n_words + 1) * (len(distinct) + 1))
+        first = np.cumsum(self.n_links) - self.n_links
         held = np.unique(self.owners * (self.n_words + 1) + self.places)
         texts, words = np.divmod(held, self.n_words + 1)
-        n = np.diff(first)[words]
+        n = self.n_links[words]
         at = np.repeat(first[words] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        linked = np.unique(np.repeat(texts, n) * (len(distinct) + 1) + in_words[at] % (len(distinct) + 1))
+        linked = np.unique(np.repeat(texts, n) * (len(distinct) + 1) + numbers[at])
         counts = np.bincount(linked % (len(distinct) + 1), minlength=len(distinct))
         return distinct[counts > 0], counts[counts > 0]
 
@@ -266,7 +311,7 @@ def _chunks(docs: DataFrame, text: str, byte_bpe: str, piece_bpe: str) -> DataFr
                 before = sizes[first - 1] if first else 0
                 n = max(1, int(np.searchsorted(sizes, before + CHUNK_BYTES, "right")) - first)
                 piece = batch.slice(first, n)
-                pairs, texts = Alignment(piece.column(1).to_pylist(), tokenizers).pair_texts()
+                pairs, texts = Alignment(piece.column(1), tokenizers).pair_texts()
                 lists = [pa.array([of_chunk.tolist(), *[None] * (n - 1)], pa.list_(pa.int64())) for of_chunk in (pairs, texts)]
                 yield pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int64()), piece.column(0), *lists], ["chunk", "row", "pairs", "texts"])
                 number += 1
@@ -378,7 +423,7 @@ def align(docs: DataFrame, text: str = "text", byte_bpe: str = BYTE_BPE, piece_b
     def measure(of_chunk: pa.Table, found: pa.Table) -> pa.Table:
         tokenizers = _tokenizers(byte_bpe, piece_bpe)
         rows = of_chunk.column("row").combine_chunks()
-        alignment = Alignment(rows.field(text).to_pylist(), tokenizers)
+        alignment = Alignment(rows.field(text).cast(pa.string()), tokenizers)
         pairs = _numbers(found, "pair")
         order = np.argsort(pairs)
         places = order[np.searchsorted(pairs, alignment.pairs, sorter=order)] if len(pairs) else np.zeros(0, np.int64)

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from feedlens.llm import alignment
@@ -84,7 +85,7 @@ def test_empty_table(spark):
 
 def tokens(texts, tokenizers):
     """Ids of both sides by text, put together from words; None without tokens."""
-    numbers = alignment.Alignment(texts, tokenizers)
+    numbers = alignment.Alignment(pa.array(texts, pa.string()), tokenizers)
     of_words = [np.split(ids, np.cumsum(n)[:-1]) for n, ids in ((numbers.n_a, numbers.a), (numbers.n_b, numbers.b))]
     found = [None] * len(texts)
     for owner, place in zip(numbers.owners.tolist(), numbers.places.tolist()):
@@ -108,11 +109,33 @@ def test_cuts_change_no_token(tokenizers, monkeypatch, spark, sf_dir, segment):
 
 def test_long_text(tokenizers):
     text = "Wörter und 12 words, " * 100_000
-    numbers = alignment.Alignment([text], tokenizers)
+    numbers = alignment.Alignment(pa.array([text]), tokenizers)
     assert numbers.total(numbers.n_a)[0] == len(tokenizers.a.encode(" " + text, add_special_tokens=False).ids) > 10**5
     assert tokens([text], tokenizers)[0][0] == tokenizers.a.encode(" " + text, add_special_tokens=False).ids
 
 
+def test_words_of_slices(tokenizers):
+    texts = pa.array(TRICKY, pa.string())
+    for low in range(len(TRICKY)):
+        for n in range(1, 5):
+            owners, words = alignment.Alignment._split(texts.slice(low, n), tokenizers)
+            plain = [(i, w) for i, t in enumerate(TRICKY[low : low + n]) if t for parts in tokenizers.words(t) for w in parts]
+            assert list(zip(owners.tolist(), words.to_pylist())) == plain
+
+
+def test_ranks_give_the_tokens_of_the_file(tokenizers):
+    """Every character at both ends of a word, and random words."""
+    characters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    words = [f"{c}b{c}" for c in characters]
+    rng = random.Random(5)
+    words += ["".join(rng.choice(characters[: rng.choice([128, 1000, 70_000])]) for _ in range(rng.randrange(1, 30))) for _ in range(50_000)]
+    assert tokenizers.ranked
+    for low in range(0, len(words), 50_000):
+        batch = words[low : low + 50_000]
+        by_file = [e.ids for e in tokenizers.a.encode_batch_fast([" " + w for w in batch], add_special_tokens=False)]
+        assert [w for w, ids, found in zip(batch, by_file, tokenizers._ids_a(batch)) if ids != found] == []
+
+
 def test_perfect_hash_is_minimal():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 1000, 50_000):
