@@ -4,7 +4,8 @@ Tokens of both that overlap are linked. How many documents link a pair of ids is
 kept in dense vectors, indexed by a minimal perfect hash of the distinct pairs and
 summed as a tree of partial vectors. A second pass aligns the documents again and
 looks the counts up. Both tokenizers start a token at a single space, so each pass
-aligns the distinct words of a chunk of documents once.
+aligns the distinct words of a chunk of documents once; the first one stores the
+tokens of these words with the chunk, and the second one reads them.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from io import BytesIO
 from itertools import chain
 from math import ceil
 
@@ -31,7 +33,7 @@ from feedlens.sources.durable import durable
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text whose documents are aligned together; one longer text stands alone.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Characters after which a text is cut at the next possible place before it is cut
 #: into words, and the number of words that are encoded together.
 SEGMENT_CHARS, BATCH_WORDS = 100_000, 4096
@@ -114,11 +116,10 @@ class Tokenizers:
             return [self.ranked.encode_ordinary(" " + word) for word in words]
         return [e.ids for e in self.a.encode_batch_fast([" " + word for word in words], add_special_tokens=False)]
 
-    def encode(self, words: pa.StringArray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        """Which words have tokens: those whose tokens of both sides are their
-        bytes behind a space. For both sides: number of tokens by word, none
-        where it has none, and all ids."""
-        fits, sizes, ids = np.ones(len(words), bool), ([], []), ([], [])
+    def encode(self, words: pa.StringArray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For both sides: number of tokens by word, and all ids. A word has none
+        unless the tokens of both sides are its bytes behind a space."""
+        sizes, ids = ([], []), ([], [])
         for low in range(0, len(words), BATCH_WORDS):
             batch = words.slice(low, BATCH_WORDS)
             ends = np.cumsum(pc.binary_length(batch).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
@@ -131,13 +132,12 @@ class Tokenizers:
                 reached = np.concatenate([[0], np.cumsum(token_sizes[np.array(flat, np.int64)])])[np.cumsum([len(f) for f in found])]
                 if not np.array_equal(reached, ends) or b"".join([known[i] for i in flat]) != whole:
                     fit &= [b"".join([known[i] for i in of_word]) == b" " + word.encode() for word, of_word in zip(batch, found)]
-            fits[low : low + len(batch)] = fit
             for found, size, all_ids in zip(sides, sizes, ids):
                 found = found if fit.all() else [f if ok else [] for f, ok in zip(found, fit.tolist())]
                 size.append(np.array([len(f) for f in found], np.int64))
                 all_ids.append(np.array(list(chain.from_iterable(found)), np.int64))
         none = np.zeros(0, np.int64)
-        return fits, [(np.concatenate([none, *size]), np.concatenate([none, *all_ids])) for size, all_ids in zip(sizes, ids)]
+        return [(np.concatenate([none, *size]), np.concatenate([none, *all_ids])) for size, all_ids in zip(sizes, ids)]
 
 
 @lru_cache(maxsize=1)
@@ -148,18 +148,32 @@ def _tokenizers(byte_bpe: str, piece_bpe: str) -> Tokenizers:
 class Alignment:
     """The distinct words of many texts, aligned, and the texts as their numbers."""
 
-    def __init__(self, texts: pa.Array, tokenizers: Tokenizers):
+    def __init__(self, texts: pa.Array, tokenizers: Tokenizers, stored: bytes | None = None):
+        """``stored`` are the tokens that :meth:`stored` gave for these texts in
+        this order."""
         self.n_texts = len(texts)
         owners, words = self._split(texts, tokenizers)
         found = words.dictionary_encode()
         words, self.n_words = found.indices.to_numpy().astype(np.int64), len(found.dictionary)
-        fits, ((self.n_a, self.a), (self.n_b, self.b)) = tokenizers.encode(found.dictionary)
+        if stored is None:
+            (self.n_a, self.a), (self.n_b, self.b) = tokenizers.encode(found.dictionary)
+        else:
+            buffer = BytesIO(stored)
+            self.n_a, self.a, self.n_b, self.b = (np.load(buffer).astype(np.int64) for _ in range(4))
+        fits = self.n_a > 0
         misfits = np.zeros(self.n_texts, bool)
         misfits[owners[~fits[words]]] = True
         #: Texts and words by place; a text with a word that has no tokens has none.
         self.owners, self.places = owners[~misfits[owners]], words[~misfits[owners]]
         self._align(tokenizers)
 
+    def stored(self) -> bytes:
+        """Tokens by word, in the smallest numbers that hold them."""
+        buffer = BytesIO()
+        for values in (self.n_a, self.a, self.n_b, self.b):
+            np.save(buffer, values.astype(np.min_scalar_type(values.max(initial=0))))
+        return buffer.getvalue()
+
     @staticmethod
     def _split(texts: pa.Array, tokenizers: Tokenizers) -> tuple[np.ndarray, pa.StringArray]:
         """Number of the text and word, by place."""
@@ -298,8 +312,9 @@ def _lists(**columns) -> pa.Table:
 
 
 def _chunks(docs: DataFrame, text: str, byte_bpe: str, piece_bpe: str) -> DataFrame:
-    """``chunk, row, pairs, texts``: the documents, dealt into chunks, and with
-    the first of each chunk the pairs of all its documents."""
+    """``chunk, place, row, pairs, texts, tokens``: the documents, dealt into chunks,
+    and with the first of each chunk the pairs of all its documents and the tokens
+    of their words."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizers = _tokenizers(byte_bpe, piece_bpe)
@@ -311,15 +326,17 @@ def _chunks(docs: DataFrame, text: str, byte_bpe: str, piece_bpe: str) -> DataFr
                 before = sizes[first - 1] if first else 0
                 n = max(1, int(np.searchsorted(sizes, before + CHUNK_BYTES, "right")) - first)
                 piece = batch.slice(first, n)
-                pairs, texts = Alignment(piece.column(1), tokenizers).pair_texts()
-                lists = [pa.array([of_chunk.tolist(), *[None] * (n - 1)], pa.list_(pa.int64())) for of_chunk in (pairs, texts)]
-                yield pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int64()), piece.column(0), *lists], ["chunk", "row", "pairs", "texts"])
+                alignment = Alignment(piece.column(1), tokenizers)
+                lists = [pa.array([of_chunk.tolist(), *[None] * (n - 1)], pa.list_(pa.int64())) for of_chunk in alignment.pair_texts()]
+                tokens = pa.array([alignment.stored(), *[None] * (n - 1)], pa.binary())
+                columns = [pa.array([number] * n, pa.int64()), pa.array(range(n), pa.int32()), piece.column(0), *lists, tokens]
+                yield pa.RecordBatch.from_arrays(columns, ["chunk", "place", "row", "pairs", "texts", "tokens"])
                 number += 1
                 first += n
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
     row_type = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(deal, f"chunk long, row {row_type}, pairs array<long>, texts array<long>")
+    return rows.mapInArrow(deal, f"chunk long, place int, row {row_type}, pairs array<long>, texts array<long>, tokens binary")
 
 
 def _counted(partials: DataFrame, buckets: int, slices: int) -> DataFrame:
@@ -386,7 +403,7 @@ def _partials(chunks: DataFrame, bucket_pairs: int, slice_rows: int) -> tuple[Da
 def pair_counts(docs: DataFrame, text: str = "text", byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE, bucket_pairs: int = BUCKET_PAIRS, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """``a, b, documents, best``: every pair of ids that some document links, in
     how many documents, and whether no pair with ``a`` is in more."""
-    chunks = durable(_chunks(docs.select(text), text, byte_bpe, piece_bpe), "chunks")
+    chunks = durable(_chunks(docs.select(text), text, byte_bpe, piece_bpe).select("chunk", "pairs", "texts"), "chunks")
     counted = _counted(*_partials(chunks, bucket_pairs, slice_rows))
     rows = counted.select(F.explode(F.arrays_zip("keys", "counts", "best")).alias("r"))
     second = F.col("r.keys").bitwiseAND((1 << PAIR_BITS) - 1)
@@ -422,8 +439,9 @@ def align(docs: DataFrame, text: str = "text", byte_bpe: str = BYTE_BPE, piece_b
 
     def measure(of_chunk: pa.Table, found: pa.Table) -> pa.Table:
         tokenizers = _tokenizers(byte_bpe, piece_bpe)
+        of_chunk = of_chunk.sort_by("place")
         rows = of_chunk.column("row").combine_chunks()
-        alignment = Alignment(rows.field(text).cast(pa.string()), tokenizers)
+        alignment = Alignment(rows.field(text).cast(pa.string()), tokenizers, of_chunk.column("tokens")[0].as_py())
         pairs = _numbers(found, "pair")
         order = np.argsort(pairs)
         places = order[np.searchsorted(pairs, alignment.pairs, sorter=order)] if len(pairs) else np.zeros(0, np.int64)
@@ -437,7 +455,7 @@ def align(docs: DataFrame, text: str = "text", byte_bpe: str = BYTE_BPE, piece_b
     found = partials.drop("texts").groupBy("bucket", "slice").cogroup(of_slices.groupBy("bucket", "slice")).applyInArrow(look_up, "chunk long, pair long, count long, best boolean")
     row_type = chunks.schema["row"].dataType.simpleString()
     types = f"row {row_type}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
-    return chunks.select("chunk", "row").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(measure, types)
+    return chunks.select("chunk", "place", "row", "tokens").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(measure, types)
 
 
 _FOUND = pa.schema([("chunk", pa.int64()), ("pair", pa.int64()), ("count", pa.int64()), ("best", pa.bool_())])
