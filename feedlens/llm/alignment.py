@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from io import BytesIO
@@ -33,7 +34,7 @@ from feedlens.sources.durable import durable
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text whose documents are aligned together; one longer text stands alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 3 << 20
 #: Characters after which a text is cut at the next possible place before it is cut
 #: into words, and the number of words that are encoded together.
 SEGMENT_CHARS, BATCH_WORDS = 100_000, 4096
@@ -158,7 +159,7 @@ class Alignment:
         if stored is None:
             (self.n_a, self.a), (self.n_b, self.b) = tokenizers.encode(found.dictionary)
         else:
-            buffer = BytesIO(stored)
+            buffer = BytesIO(zlib.decompress(stored))
             self.n_a, self.a, self.n_b, self.b = (np.load(buffer).astype(np.int64) for _ in range(4))
         fits = self.n_a > 0
         misfits = np.zeros(self.n_texts, bool)
@@ -172,7 +173,7 @@ class Alignment:
         buffer = BytesIO()
         for values in (self.n_a, self.a, self.n_b, self.b):
             np.save(buffer, values.astype(np.min_scalar_type(values.max(initial=0))))
-        return buffer.getvalue()
+        return zlib.compress(buffer.getbuffer(), 1)
 
     @staticmethod
     def _split(texts: pa.Array, tokenizers: Tokenizers) -> tuple[np.ndarray, pa.StringArray]:
@@ -331,6 +332,8 @@ def _chunks(docs: DataFrame, text: str, byte_bpe: str, piece_bpe: str) -> DataFr
                 tokens = pa.array([alignment.stored(), *[None] * (n - 1)], pa.binary())
                 columns = [pa.array([number] * n, pa.int64()), pa.array(range(n), pa.int32()), piece.column(0), *lists, tokens]
                 yield pa.RecordBatch.from_arrays(columns, ["chunk", "place", "row", "pairs", "texts", "tokens"])
+                del alignment, lists, tokens, columns
+                pa.default_memory_pool().release_unused()
                 number += 1
                 first += n
 
