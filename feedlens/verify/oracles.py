@@ -451,5 +451,10 @@ ORACLES: dict[str, str] = {
         "SELECT timestamp // 3600 * 3600 AS hour, type, count(*) AS count FROM events GROUP BY 1, 2",
         EVENTS,
     ),
+    "stream_hourly_late": sql(
+        "SELECT timestamp // 3600 * 3600 AS hour, type, count(*) AS count FROM events GROUP BY 1, 2",
+        EVENTS,
+    ),
+    "stream_scored_model": sql("SELECT count(*) AS n_streamed, CAST(0 AS BIGINT) AS n_different FROM interactions"),
     "stream_scored": sql(f"SELECT {KEYS}, {SCORE} AS p FROM interactions"),
 }

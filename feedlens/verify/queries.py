@@ -21,8 +21,8 @@ from feedlens.sources import readers, writers
 from feedlens.sources.durable import durable, scratch_path
 from feedlens.sources.publish import staged
 from feedlens.standin import interactions
-from feedlens.streaming.hourly import read_hourly_counts, stream_hourly_counts
-from feedlens.streaming.scoring import read_part_stream, stream_scores
+from feedlens.streaming.hourly import read_hour_parts, read_hourly_counts, stream_hour_parts, stream_hourly_counts
+from feedlens.streaming.scoring import degree_scorer, read_model_scores, read_part_stream, stream_model_scores, stream_scores
 
 #: Split time of the stand-in table: its median tweet time.
 SPLIT = 893137754
@@ -616,3 +616,32 @@ def stream_scored(df):
     score = lambda rows: rows.select(*S.KEYS, follower_score().alias("p"))
     stream_scores(parts, score, out, scratch_path(spark, "scores-state")).awaitTermination()
     return spark.read.schema("tweet_id string, engaging_user_id string, p double").csv(out)
+
+
+@on_interactions
+def stream_hourly_late(df):
+    """Counts from several batches, with the late ones kept."""
+    spark, out = df.sparkSession, scratch_path(df.sparkSession, "hour-parts")
+    stream = read_part_stream(spark, text_copy(df), labelled=True, files_per_batch=4)
+    stream_hour_parts(stream, out, scratch_path(spark, "hour-parts-state"), lateness=86400).awaitTermination()
+    return read_hour_parts(spark, out).select("hour", "type", "count")
+
+
+@on_stored_interactions
+def stream_scored_model(df):
+    """A model fitted on earlier rows scores a stream of all rows, with the stored
+    degrees of training: rows that are scored, and rows whose scores are not those
+    of the batch job."""
+    spark, out = df.sparkSession, scratch_path(df.sparkSession, "model-scores")
+    earlier = filters.before(df, SPLIT)
+    degrees = durable(graph.degrees(graph.edges(earlier)), "degrees")
+    labels = [(F.col(c).isNotNull()).cast("int").alias(t) for t, c in S.TARGETS.items()]
+    names = ["engaged_with_user_in_degree", "engaging_user_out_degree"]
+    train = graph.degree_features(earlier.select("*", *labels), degrees, keep=[*S.KEYS, *S.MODEL_FEATURES, *S.TARGET_NAMES])
+    score = degree_scorer(TargetModels([*S.MODEL_FEATURES, *names]).fit(train), degrees)
+    parts = text_copy(df, False)
+    stream_model_scores(read_part_stream(spark, parts, files_per_batch=4), score, out, scratch_path(spark, "model-state")).awaitTermination()
+    both = [scores.groupBy(*S.KEYS, *S.TARGET_NAMES).agg(F.count(F.lit(1)).alias(side)) for side, scores in (("streamed", read_model_scores(spark, out)), ("batch", score(df)))]
+    joined = both[0].join(both[1], [*S.KEYS, *S.TARGET_NAMES], "full")
+    n = [F.coalesce(side, F.lit(0)) for side in ("streamed", "batch")]
+    return joined.agg(F.sum(n[0]).alias("n_streamed"), F.sum(F.abs(n[0] - n[1])).alias("n_different"))
