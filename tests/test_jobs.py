@@ -1,6 +1,8 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from feedlens import schema as S
@@ -67,6 +69,36 @@ def test_missing_feature_values_are_a_value_of_their_own(dataset):
     assert model.evaluate(holes).first()["ap"] == pytest.approx(1.0)
 
 
+def test_rows_of_one_cell_are_fitted_once_with_their_number(spark, monkeypatch):
+    """MLlib gets a row per cell and label, whatever the number of rows, and learns
+    the same as from the rows themselves."""
+    rows = spark.range(5000).selectExpr("id", "pmod(xxhash64(id, 1), 5) AS a", "pmod(xxhash64(id, 2), 7) AS b")
+    rows = rows.selectExpr("a", "b", "(a > 2 OR b = 4) <> (pmod(xxhash64(id, 3), 10) = 0) AS like")
+    seen, learn = [], GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, table: seen.append(table.count()) or learn(self, table))
+    model = TargetModels(["a", "b"], ["like"]).fit(rows, None, FAST)
+    assert seen == [70]
+    trees = model.fitted["like"].stages[-1]
+    vectors = VectorAssembler(inputCols=["a", "b"], outputCol="vector").transform(rows.withColumn("like", F.col("like").cast("double")))
+    plain = learn(GBTClassifier(labelCol="like", featuresCol="vector", seed=42, stepSize=0.3, **FAST), vectors)
+    assert trees.treeWeights == plain.treeWeights
+    losses = plain.evaluateEachIteration(vectors)
+    assert model.validation_losses(rows)["like"] == pytest.approx(losses)
+    scored = model.score(rows, ["a", "b"]).distinct().collect()
+    expected = {(r["a"], r["b"]): r["probability"][1] for r in plain.transform(vectors).select("a", "b", "probability").distinct().collect()}
+    assert {(r["a"], r["b"]): r["like"] for r in scored} == pytest.approx(expected, rel=1e-6)
+
+
+def test_bins_keep_order_and_few_values_apart(spark):
+    rows = spark.range(10_000).selectExpr("id % 3 AS a", "if(id % 10 = 0, null, id) AS b", "id % 3 = 1 AS like")
+    model = TargetModels(["a", "b"], ["like"])
+    bins = model._bins(model._numbers(rows, []), 32)
+    found = bins.transform(model._numbers(rows, [])).groupBy("_b0").agg(F.count_distinct("_f0").alias("n")).collect()
+    assert sorted(map(tuple, found)) == [(0.0, 1), (1.0, 1), (2.0, 1)]
+    ranges = bins.transform(model._numbers(rows, [])).groupBy("_b1").agg(F.min("_f1").alias("lo"), F.max("_f1").alias("hi")).orderBy("_b1").collect()
+    assert 25 <= len(ranges) <= 32 and all(a["hi"] < b["lo"] for a, b in zip(ranges, ranges[1:]))
+
+
 def test_training_on_nothing_gives_constants(dataset):
     model = TargetModels().fit(dataset.where("false"))
     assert model.constants == dict.fromkeys(S.TARGET_NAMES, 0.0) and model.predict(dataset).count() == 400
