@@ -78,18 +78,18 @@ def _named(expressions: dict[str, str], prefix: str = "") -> list[str]:
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 24-column interaction table over ``lineitem, orders, customer, part``.
 
-    Orders meet their authors before the line items join, so only the last two
-    joins move all pairs. The merge hint keeps the pairs spread over tasks when
-    a small input would be broadcast whole; a large one is merged anyway.
+    The joins move the columns of the given tables only, and what follows from
+    them is computed behind the last join: derived texts and times would be most of
+    the shuffled bytes. Pairs are dealt by order once, for their duplicates and for
+    the join with their orders. Orders meet their authors before the line items
+    join, so only the last two joins move all pairs. The merge hint keeps the pairs
+    spread over tasks when a small input would be broadcast whole; a large one is
+    merged anyway.
     """
-    orders = _table(spark, sf_dir, "orders")
-    pairs = _table(spark, sf_dir, "lineitem").distinct().hint("merge")
-    authors = _table(spark, sf_dir, "customer").selectExpr(*_named(AUTHOR, "engaged_with_"))
-    viewers = _table(spark, sf_dir, "part").selectExpr(*_named(VIEWER, "engaging_"))
-    tweets = orders.selectExpr("o_orderkey", "o_custkey", *_named(TWEET))
-    pairs_by_tweet = tweets.join(authors, tweets.o_custkey == authors.engaged_with_key).join(
-        pairs, tweets.o_orderkey == pairs.l_orderkey
-    )
-    joined = pairs_by_tweet.join(viewers, pairs.l_partkey == viewers.engaging_key)
-    keyed = joined.selectExpr("*", "o_orderkey * 31 + engaging_key * 17 AS k")
+    orders, customer, part = (_table(spark, sf_dir, name) for name in ("orders", "customer", "part"))
+    pairs = _table(spark, sf_dir, "lineitem").repartition("l_orderkey").distinct().hint("merge")
+    tweets = orders.join(customer, orders.o_custkey == customer.c_custkey)
+    joined = tweets.join(pairs, orders.o_orderkey == pairs.l_orderkey).join(part, pairs.l_partkey == part.p_partkey)
+    columns = [*_named(TWEET), *_named(AUTHOR, "engaged_with_"), *_named(VIEWER, "engaging_")]
+    keyed = joined.selectExpr(*columns, "o_orderkey * 31 + p_partkey * 17 AS k")
     return keyed.selectExpr(*[c for c in S.INPUT_COLUMNS if c not in PAIR], *_named(PAIR)).select(*S.ALL_COLUMNS)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedlens import schema as S
+from feedlens import standin
 from feedlens.operators import filters, graph, metrics, profile, projections, sampling, splits
 from feedlens.sources import readers
 from feedlens.verify.oracles import ORACLES
@@ -113,3 +114,22 @@ def test_standin_schema_and_key(spark, sf_dir):
     df = interactions(spark, sf_dir)
     assert [(f.name, f.dataType) for f in df.schema] == [(f.name, f.dataType) for f in S.interaction_schema()]
     assert df.groupBy(*S.KEYS).count().where(F.col("count") > 1).count() == 0
+
+
+def test_stand_in_joins_move_given_columns_only(spark, sf_dir):
+    """Derived texts and times are computed behind the last join, and the pairs are
+    dealt by order once, for their duplicates and for the join."""
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    earlier = {name: spark.conf.get(name) for name in off}
+    try:
+        for name, value in off.items():
+            spark.conf.set(name, value)
+        query = standin.interactions(spark, sf_dir)._jdf.queryExecution()
+        lines = query.optimizedPlan().toString().splitlines()
+        first = next(i for i, line in enumerate(lines) if "Join" in line)
+        assert any("concat(" in line for line in lines[:first]) and not any("concat(" in line for line in lines[first:])
+        # orders and authors, tweets, pairs, pairs with their tweets, viewers
+        assert query.executedPlan().toString().count("Exchange hashpartitioning") == 6
+    finally:
+        for name, value in earlier.items():
+            spark.conf.set(name, value)
