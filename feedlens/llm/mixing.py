@@ -76,8 +76,9 @@ def mix_sources(
     rank times it. They are ranked from the longest to the shortest, which
     keeps the words taken near the target: every step trades documents of
     neighbouring sizes. Ranks come from a range partitioning over all sources:
-    sorted pieces are stored, counted, and their offsets added, so a source of
-    any share is spread over all tasks. Equal lengths are ordered by a hash of
+    sorted pieces are stored with the place of every row, counted, and their
+    offsets added, so a source of any share is spread over all tasks and whole
+    rows are shuffled once. Equal lengths are ordered by a hash of
     the key, then by key and text; repeated rows are ranked one by one.
 
     A null text has size 0, a null source is a source of its own, last in order.
@@ -93,22 +94,23 @@ def mix_sources(
         F.struct(*[F.col(c) for c in carry]).alias("row") if carry else F.lit(None).cast("string").alias("row"),
     )
     order = [F.desc("size"), F.asc("draw"), F.asc("key"), F.asc("tie")]
-    pieces = durable(sized.repartitionByRange(F.asc("source"), *order).withColumn("piece", F.spark_partition_id()), "mix")
-    counts = pieces.groupBy("piece", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    ranged = sized.repartitionByRange(F.asc("source"), *order).sortWithinPartitions(F.asc("source"), *order)
+    numbered = ranged.withColumn("place", F.monotonically_increasing_id()).withColumn("piece", F.shiftright("place", 33).cast("int"))
+    pieces = durable(numbered.drop("draw", "tie"), "mix")
+    counts = pieces.groupBy("piece", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"), F.min("place").alias("first"))
     by_source = W.partitionBy("source")
     earlier = F.sum("n").over(by_source.orderBy("piece").rowsBetween(W.unboundedPreceding, -1))
-    offsets = counts.select("piece", "source", F.coalesce(earlier, F.lit(0)).alias("before"))
+    offsets = counts.select("piece", "source", "first", F.coalesce(earlier, F.lit(0)).alias("before"))
     totals = counts.groupBy("source").agg(F.sum("words").alias("source_size"))
     targets = source_targets(totals, weights, share, most)
     shift = _fraction(F.conv(F.left(F.md5(F.concat_ws("|", F.lit(f"{seed}/offset"), F.coalesce("t.source", F.lit("")))), F.lit(8)), 16, 10).cast("long"))
     plan = offsets.alias("o").join(targets.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source")))
     plan = plan.select("o.*", "source_size", "target", shift.alias("shift"))
-    ranked = pieces.withColumn("rank", F.row_number().over(W.partitionBy("piece", "source").orderBy(*order)))
-    joined = ranked.alias("r").join(
+    joined = pieces.alias("r").join(
         plan.alias("p"), (F.col("r.piece") == F.col("p.piece")) & F.col("r.source").eqNullSafe(F.col("p.source"))
     )
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    end = F.col("before") + F.col("rank")
+    end = F.col("before") + F.col("place") - F.col("first") + 1
     crossed = F.floor(F.col("shift") + expected * end) - F.floor(F.col("shift") + expected * (end - 1))
     copies = F.least(crossed, F.lit(most).cast("long"))
     return joined.select(F.col("key").alias(key), F.col("r.source").alias("source"), "size", "source_size", "target", copies.alias("copies"), "row")

@@ -50,6 +50,12 @@ def test_mix_of_nothing(spark):
     assert mixing.mix_sources(docs(spark, [(1, "a", "s")]).where("false")).collect() == []
 
 
+def test_mix_moves_whole_rows_once(spark):
+    rows = [(i, "a " * (i % 7), f"s{i % 3}") for i in range(200)]
+    plan = mixing.mix_sources(docs(spark, rows), carry=["text"])._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Window" in line and "piece" in line and "row_number" in line]
+
+
 def plain_spans(text):
     found = []
     for order, rule in enumerate(secrets.RULES):
