@@ -133,3 +133,19 @@ def test_stand_in_joins_move_given_columns_only(spark, sf_dir):
     finally:
         for name, value in earlier.items():
             spark.conf.set(name, value)
+
+
+@pytest.mark.parametrize("name", ["components", "components_by_type", "component_stats", "degrees_as_of", "graph_report"])
+def test_graph_queries_store_no_texts(spark, sf_dir, monkeypatch, name):
+    from feedlens.verify import queries
+
+    stored = []
+
+    def recorded(df, *rest):
+        stored.append(set(df.columns))
+        raise StopIteration
+
+    monkeypatch.setattr(queries, "durable", recorded)
+    with pytest.raises(StopIteration):
+        queries.QUERIES[name](spark, sf_dir)
+    assert stored and not stored[0] & {"text_tokens", "hashtags", "present_media", "language"}
