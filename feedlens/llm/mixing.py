@@ -105,7 +105,8 @@ def mix_sources(
     targets = source_targets(totals, weights, share, most)
     shift = _fraction(F.conv(F.left(F.md5(F.concat_ws("|", F.lit(f"{seed}/offset"), F.coalesce("t.source", F.lit("")))), F.lit(8)), 16, 10).cast("long"))
     plan = offsets.alias("o").join(targets.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source")))
-    plan = plan.select("o.*", "source_size", "target", shift.alias("shift"))
+    # Stored, so that its real size decides whether the rows move again to meet it.
+    plan = durable(plan.select("o.*", "source_size", "target", shift.alias("shift")), "plan")
     joined = pieces.alias("r").join(
         plan.alias("p"), (F.col("r.piece") == F.col("p.piece")) & F.col("r.source").eqNullSafe(F.col("p.source"))
     )
