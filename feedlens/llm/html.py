@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 from html import escape
@@ -51,12 +51,20 @@ GROUPS = (
     {"blockquote", "pre", "figure", "figcaption"}, {"html", "body"},
 )
 
+#: By tag, a bit for each group that has it.
+GROUP_BITS = {tag: sum(1 << g for g, names in enumerate(GROUPS) if tag in names) for tag in frozenset().union(*GROUPS)}
+
 _MARKS, _UPPER = re.compile("[.,;!?]"), re.compile("[A-Z]")
+_WORDS = re.compile("[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 #: Bound of the training sample in pages, and variants made of each.
 TRAIN_PAGES, VARIANTS, SEED = 160, 3, 5
 TREES, DEPTH, RATE, BINS = 40, 4, 0.3, 24
 
+#: Pages are scored together until they have this many nodes or characters: the
+#: trees take a few array operations per call, which are dear for one small page.
+NODES_TOGETHER, CHARS_TOGETHER = 10_000, 1 << 20
+
 
 @dataclass
 class Node:
@@ -150,7 +158,7 @@ class Page(HTMLParser):
         self._flush()
         self._imply_ends(tag)
         given = dict(attrs)
-        words = re.findall(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+", f"{given.get('class') or ''} {given.get('id') or ''} {given.get('role') or ''}")
+        words = _WORDS.findall(f"{given.get('class') or ''} {given.get('id') or ''} {given.get('role') or ''}") if given else ()
         self.open.append(len(self.nodes))
         self.tags.push(tag)
         mark = given.get("data-main")
@@ -226,11 +234,14 @@ class Page(HTMLParser):
         self.nodes[self.run].linked += len(data.strip()) if self.links else 0
 
 
-def features(nodes: list[Node]) -> np.ndarray:
-    """A row per node: densities of its subtree, tokens, depth, siblings."""
+def features(*pages: list[Node]) -> np.ndarray:
+    """A row per node, page after page: densities of its subtree, tokens, depth, siblings."""
+    nodes = [node for page in pages for node in page]
+    roots = np.cumsum([0, *map(len, pages)])[:-1]
+    first = np.repeat(roots, [len(page) for page in pages])
+    up = (first + [max(0, node.parent) for node in nodes]).tolist()
     n = len(nodes)
-    chars, linked, marks, runs, tags, upper = (np.zeros(n) for _ in range(6))
-    parent = np.array([node.parent for node in nodes])
+    chars, linked, marks, runs, tags, upper, children = ([0] * n for _ in range(7))
     for i, node in enumerate(nodes):
         if node.tag == "#text":
             text = node.said
@@ -239,36 +250,40 @@ def features(nodes: list[Node]) -> np.ndarray:
             upper[i] = len(_UPPER.findall(text))
         else:
             tags[i] = 1
-    for i in range(n - 1, 0, -1):  # children come after their parents
-        for totals in (chars, linked, marks, runs, tags, upper):
-            totals[parent[i]] += totals[i]
-    side = np.array([len(node.tokens & SIDE_TOKENS) for node in nodes], float)
-    main = np.array([len(node.tokens & MAIN_TOKENS) for node in nodes], float)
-    group = np.zeros((n, len(GROUPS)))
-    for i, node in enumerate(nodes):
-        for g, names in enumerate(GROUPS):
-            group[i, g] = node.tag in names
+    for i in range(n - 1, -1, -1):  # children come after their parents
+        if (p := up[i]) != i:
+            children[p] += 1
+            for totals in (chars, linked, marks, runs, tags, upper):
+                totals[p] += totals[i]
+    side = [len(node.tokens & SIDE_TOKENS) if node.tokens else 0 for node in nodes]
+    main = [len(node.tokens & MAIN_TOKENS) if node.tokens else 0 for node in nodes]
+    group = [GROUP_BITS.get(node.tag, 0) for node in nodes]
     side_above, main_above, group_above = side.copy(), main.copy(), group.copy()
-    children = np.bincount(parent[1:], minlength=n) if n > 1 else np.zeros(n)
-    place, before, earlier = np.zeros(n), np.zeros(n), np.zeros(n)
-    last, seen, read = np.full(n, -1), np.zeros(n), 0.0
-    for i in range(1, n):
-        p = parent[i]
+    place, before, earlier, last, seen, read = [0] * n, [0] * n, [0] * n, [-1] * n, [0] * n, 0
+    for i, node in enumerate(nodes):
+        if (p := up[i]) == i:
+            read = 0
+            continue
         side_above[i] += side_above[p]
         main_above[i] += main_above[p]
-        group_above[i] = np.maximum(group_above[i], group_above[p])
+        group_above[i] |= group_above[p]
         place[i], seen[p] = seen[p], seen[p] + 1
         before[i] = chars[last[p]] if last[p] >= 0 else 0
         last[p] = i
         earlier[i] = read
-        read += chars[i] if nodes[i].tag == "#text" else 0
-    up = np.maximum(parent, 0)
+        if node.tag == "#text":
+            read += chars[i]
+    bits = 1 << np.arange(len(GROUPS))
+    chars, linked, marks, runs, tags, upper, children, place, before, earlier, side, main = (
+        np.array(column, float) for column in (chars, linked, marks, runs, tags, upper, children, place, before, earlier, side, main)
+    )
     columns = [
         np.log1p(chars), chars / (tags + 1), linked / (chars + 1), marks / (chars + 1), upper / (chars + 1), np.log1p(runs), chars / (runs + 1),
         [node.depth for node in nodes], place / (children[up] + 1), children, children[up], np.log1p(before), chars / (chars[up] + 1),
-        chars / (chars[0] + 1), earlier / (chars[0] + 1), side, main, side[up], main[up], side_above, main_above, linked[up] / (chars[up] + 1),
+        chars / (chars[first] + 1), earlier / (chars[first] + 1), side, main, side[up], main[up], side_above, main_above, linked[up] / (chars[up] + 1),
     ]
-    return np.column_stack([np.column_stack(columns), group, group_above]).astype(np.float32)
+    in_groups = [(np.array(masks, np.int64)[:, None] & bits) > 0 for masks in (group, group_above)]
+    return np.column_stack([np.column_stack(columns), *in_groups]).astype(np.float32)
 
 
 @dataclass
@@ -291,18 +306,23 @@ def _grow(x: np.ndarray, edges: list[np.ndarray], binned: np.ndarray, gradient:
     """A tree on the gradient, split by split from histograms."""
     inner = 2**DEPTH - 1
     feature, limit, at = np.zeros(inner, np.int64), np.full(inner, np.inf, np.float32), np.zeros(len(x), np.int64)
+    is_edge = np.arange(BINS) < np.array([len(e) for e in edges])[:, None]
+    places = binned + np.arange(x.shape[1]) * BINS  # a histogram per feature, one behind the other
+
+    def histograms(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+        sums = np.bincount(places[rows].ravel(), np.repeat(values[rows], x.shape[1]), is_edge.size)
+        return sums.reshape(is_edge.shape).cumsum(axis=1)
+
     for node in range(inner):
         rows = np.flatnonzero(at == node)
-        best = 1e-6
+        if not len(rows):
+            continue
         total_g, total_w = gradient[rows].sum(), weight[rows].sum()
-        for f in range(x.shape[1]):
-            if not len(edges[f]) or not len(rows):
-                continue
-            g = np.bincount(binned[rows, f], gradient[rows], BINS).cumsum()[: len(edges[f])]
-            w = np.bincount(binned[rows, f], weight[rows], BINS).cumsum()[: len(edges[f])]
-            gain = g**2 / (w + 1) + (total_g - g) ** 2 / (total_w - w + 1) - total_g**2 / (total_w + 1)
-            if gain.max() > best:
-                best, feature[node], limit[node] = gain.max(), f, edges[f][gain.argmax()]
+        g, w = histograms(rows, gradient), histograms(rows, weight)
+        gain = np.where(is_edge, g**2 / (w + 1) + (total_g - g) ** 2 / (total_w - w + 1) - total_g**2 / (total_w + 1), -np.inf)
+        f, edge = np.unravel_index(gain.argmax(), gain.shape)
+        if gain[f, edge] > 1e-6:
+            feature[node], limit[node] = f, edges[f][edge]
         at[rows] = 2 * node + 1 + (x[rows, feature[node]] > limit[node])
     leaf = at - inner
     value = np.bincount(leaf, gradient, inner + 1) / (np.bincount(leaf, weight, inner + 1) + 1)
@@ -324,8 +344,7 @@ def boost(x: np.ndarray, truth: np.ndarray) -> list[Tree]:
 
 def decode(nodes: list[Node], score: np.ndarray) -> np.ndarray:
     """Kept nodes: the most likely labelling without contradictions."""
-    keep, drop = -np.logaddexp(0, -score), -np.logaddexp(0, score)
-    kept, dropped = keep.copy(), drop.copy()  # best totals of the subtree
+    kept, dropped = (-np.logaddexp(0, -score)).tolist(), (-np.logaddexp(0, score)).tolist()  # best totals of the subtree
     for i in range(len(nodes) - 1, 0, -1):
         parent = nodes[i].parent
         dropped[parent] += dropped[i]
@@ -338,15 +357,36 @@ def decode(nodes: list[Node], score: np.ndarray) -> np.ndarray:
 
 
 def page_score(nodes: list[Node], trees: list[Tree]) -> np.ndarray:
-    x = features(nodes)
+    return _scores(features(nodes), trees)
+
+
+def _scores(x: np.ndarray, trees: list[Tree]) -> np.ndarray:
     return np.sum([tree(x) for tree in trees], axis=0) if trees else x[:, 0] - 3
 
 
 def main_text(html: str | None, trees: list[Tree]) -> str:
     """Kept blocks in page order, two line ends between them."""
-    nodes = Page(html or "").nodes
-    kept = decode(nodes, page_score(nodes, trees))
-    return "\n\n".join(text for node, k in zip(nodes, kept) if k and node.tag == "#text" and (text := node.said))
+    return next(main_texts([html], trees))
+
+
+def main_texts(pages: Iterable[str | None], trees: list[Tree]) -> Iterator[str]:
+    """``main_text`` of every page, in their order."""
+
+    def texts() -> Iterator[str]:
+        scores = _scores(features(*together), trees)
+        for nodes, score in zip(together, np.split(scores, np.cumsum([len(nodes) for nodes in together])[:-1])):
+            kept = decode(nodes, score)
+            yield "\n\n".join(text for node, k in zip(nodes, kept) if k and node.tag == "#text" and (text := node.said))
+
+    together, held, chars = [], 0, 0
+    for html in pages:
+        together.append(Page(html or "").nodes)
+        held, chars = held + len(together[-1]), chars + len(html or "")
+        if held >= NODES_TOGETHER or chars >= CHARS_TOGETHER:
+            yield from texts()
+            together, held, chars = [], 0, 0
+    if together:
+        yield from texts()
 
 
 def _tagged(nodes: list[Node]) -> list[bool]:
@@ -461,7 +501,7 @@ def extract(pages: DataFrame, trees: list[Tree], html: str = "html", carry: list
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page.as_py(), trees) for page in batch.column(len(carry))]
+            texts = list(main_texts((page.as_py() for page in batch.column(len(carry))), trees))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*carry, "text"])
 
     slim = pages.select(*carry, F.col(html).alias("html"))

@@ -2,6 +2,7 @@
 
 import time
 
+import numpy as np
 import pytest
 
 from feedlens.llm import html
@@ -47,3 +48,28 @@ def test_copies_and_unmarked_pages_are_no_sample(spark):
         patch.setattr(html, "train", lambda texts: learned.extend(texts) or [])
         html.fit(pages)
     assert sorted(learned) == sorted({rows[0][1], rows[-2][1]})
+
+
+def test_pages_are_scored_together_as_alone(monkeypatch):
+    """Many small pages take few calls of the trees; each gets the text that it gets alone."""
+    rng, calls = np.random.default_rng(8), []
+    article = [("h1", "A title"), ("p", "Some words of the text, and more of them here."), ("p", "Last ones.")]
+    pages = [html.variant(rng, article, ["Home About us", "Buy now and save a lot today"]) for _ in range(60)] + [None, "", "<p>x</p>" * 300, "no markup"]
+    pages = [pages[i] for i in rng.permutation(len(pages))]
+    nodes = [html.Page(page or "").nodes for page in pages]
+    weights = rng.normal(0, 1, html.features(nodes[0]).shape[1])
+
+    def tree(x):
+        calls.append(len(x))
+        return (np.floor(x) * weights).sum(axis=1)
+
+    assert (html.features(*nodes) == np.concatenate([html.features(page) for page in nodes])).all()
+    alone = [html.main_text(page, [tree]) for page in pages]
+    calls.clear()
+    assert list(html.main_texts(pages, [tree])) == alone and calls == [sum(map(len, nodes))]
+    monkeypatch.setattr(html, "NODES_TOGETHER", 200)
+    calls.clear()
+    assert list(html.main_texts(pages, [tree])) == alone and sum(calls) == sum(map(len, nodes)) and 1 < len(calls) < len(pages) / 2
+    monkeypatch.setattr(html, "CHARS_TOGETHER", 1)
+    calls.clear()
+    assert list(html.main_texts(pages, [tree])) == alone and len(calls) == len([page for page in pages if page]) + 1 - bool(pages[-1])
