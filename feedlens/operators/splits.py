@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
+from math import isqrt
 from operator import and_, or_
 
 import pyarrow as pa
@@ -14,9 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from feedlens import schema as S
-from feedlens.sources.durable import durable
 
 Key = tuple
+#: Rows behind the first key and before the second; ``None`` is no bound.
+Range = tuple[Key | None, Key | None]
+
+#: Rows of a range whose keys one task sorts, and keys drawn to cut a larger one.
+ROWS_SORTED, KEYS_DRAWN = 1_000_000, 10_000
 
 
 def sort_by_key(df: DataFrame, keys: list[str] = S.KEYS) -> DataFrame:
@@ -61,49 +67,86 @@ def key_equals(bound: Key, keys: list[str] = S.KEYS) -> Column:
 
 @dataclass(frozen=True)
 class KeyRanges:
-    """Distinct keys with their rows ``_n``, stored by ranges ``_part`` in key
-    order, and ``(range, rows)`` of every range."""
+    """A table of ``rows`` rows, and ranges of its keys that narrow down to a position."""
 
     table: DataFrame
-    sizes: list[tuple[int, int]]
+    rows: int
     keys: list[str]
 
-    @property
-    def rows(self) -> int:
-        return sum(size for _, size in self.sizes)
-
     def at(self, positions: list[int]) -> dict[int, tuple[Key, int]]:
         """By position (from 0) in key order: the key of that row, and how many
-        rows with the same key stand before it. Sorts the ranges concerned."""
-        inside, start = {}, 0
-        for part, size in self.sizes:
-            inside.update({p: (part, p - start) for p in positions if start <= p < start + size})
-            start += size
-        if not inside:
-            return {}
-        order = [F.col(k).asc_nulls_last() for k in self.keys]
-        running = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        ranges = self.table.where(F.col("_part").isin([part for part, _ in inside.values()]))
-        first = F.sum("_n").over(running) - F.col("_n")
-        covers = [(F.col("_part") == part) & (F.col("_first") <= at) & (F.col("_first") + F.col("_n") > at) for part, at in inside.values()]
-        found = ranges.withColumn("_first", first).where(reduce(or_, covers)).collect()
-        return {
-            p: (tuple(row[k] for k in self.keys), at - row["_first"])
-            for p, (part, at) in inside.items()
-            for row in found
-            if row["_part"] == part and row["_first"] <= at < row["_first"] + row["_n"]
-        }
+        rows with the same key stand before it."""
+        found, sorts = {}, {}
+        for position in positions:
+            if not 0 <= position < self.rows:
+                continue
+            range_, before, key = self._narrow(position)
+            if key is None:
+                sorts.setdefault((range_, before), []).append(position)
+            else:
+                found[position] = key, position - before
+        for (range_, before), inside in sorts.items():
+            found.update(self._sorted(range_, before, inside))
+        return found
+
+    def _within(self, range_: Range) -> DataFrame:
+        low, high = range_
+        rows = self.table if low is None else self.table.where(key_above(low, self.keys))
+        return (rows if high is None else rows.where(key_below(high, self.keys))).select(*self.keys)
+
+    def _order(self) -> list[Column]:
+        return [F.col(k).asc_nulls_last() for k in self.keys]
+
+    def _narrow(self, position: int) -> tuple[Range, int, Key | None]:
+        """A range of at most ``ROWS_SORTED`` rows around the position, the rows before
+        it and no key, or the key of the position and the rows before that key.
+
+        Two keys of a draw that should enclose the position cut the range, and rows
+        are counted on their sides. The draw only proposes cuts: a position outside
+        of them takes another round.
+        """
+        range_, before, size = (None, None), 0, self.rows
+        for seed in count():
+            if size <= ROWS_SORTED:
+                return range_, before, None
+            rows = self._within(range_)
+            drawn = [tuple(row) for row in rows.sample(min(1.0, KEYS_DRAWN / size), seed).orderBy(*self._order()).collect()]
+            if not drawn:
+                continue
+            expected, slack = (position - before) * len(drawn) // size, 2 * isqrt(len(drawn))
+            low, high = drawn[max(0, expected - slack)], drawn[min(len(drawn) - 1, expected + slack)]
+            sides = [side(key, self.keys) for key in (low, high) for side in (key_below, key_equals)]
+            under_low, at_low, under_high, at_high = rows.agg(*[F.count_if(side) for side in sides]).first()
+            place = position - before
+            if place < under_low:
+                range_, size = (range_[0], low), under_low
+            elif place < under_low + at_low:
+                return range_, before + under_low, low
+            elif place < under_high:
+                range_, before, size = (low, high), before + under_low + at_low, under_high - under_low - at_low
+            elif place < under_high + at_high:
+                return range_, before + under_high, high
+            else:
+                range_, before, size = (high, range_[1]), before + under_high + at_high, size - under_high - at_high
+
+    def _sorted(self, range_: Range, before: int, positions: list[int]) -> dict[int, tuple[Key, int]]:
+        """:meth:`at` for positions in one range, whose keys are sorted by one task."""
+        counted = self._within(range_).groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_n"))
+        running = Window.orderBy(*self._order()).rowsBetween(Window.unboundedPreceding, 0)
+        first = F.lit(before) + F.sum("_n").over(running) - F.col("_n")
+        covers = [(F.col("_first") <= p) & (F.col("_first") + F.col("_n") > p) for p in positions]
+        rows = counted.withColumn("_first", first).where(reduce(or_, covers)).collect()
+        return {p: (tuple(row[k] for k in self.keys), p - row["_first"]) for p in positions for row in rows if row["_first"] <= p < row["_first"] + row["_n"]}
 
 
 def key_ranges(df: DataFrame, keys: list[str] = S.KEYS) -> KeyRanges:
-    """Ranges of ``df`` in key order, as many as the session has shuffle
-    partitions. Rows are combined per key first, so a hot key is one entry, and
-    only keys are moved."""
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    ordered = counted.repartitionByRange(*[F.col(k).asc_nulls_last() for k in keys])
-    table = durable(ordered.withColumn("_part", F.spark_partition_id()), "ranges", partition_by=["_part"])
-    sizes = table.groupBy("_part").agg(F.sum("_n").alias("rows")).collect()
-    return KeyRanges(table, sorted(map(tuple, sizes)), list(keys))
+    """Finds rows of ``df`` by their position in key order.
+
+    Passes over the keys count rows beside proposed cuts, so no key moves but those
+    of the last range, at most ``ROWS_SORTED`` rows however large the table. ``df``
+    is read several times and should be stored.
+    """
+    return KeyRanges(df, df.count(), list(keys))
 
 
 def positional_split(

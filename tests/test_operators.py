@@ -231,6 +231,29 @@ def test_key_at_every_kind_of_position(spark):
     assert ranges.at([*positions, 1000]) == {p: ((ids[p], "u"), p - ids.index(ids[p])) for p in positions}
 
 
+def test_positions_are_narrowed_before_a_sort(spark, monkeypatch):
+    """However many rows, one task sorts the keys of a small range only."""
+    rng = random.Random(9)
+    ids = [f"k{rng.randrange(2500):04d}" for _ in range(1500)] + ["k0700"] * 400 + ["k1900", None] * 90
+    rows = [(i, rng.choice(["u", "v", None])) for i in ids]
+    df = spark.createDataFrame(rows, "tweet_id string, engaging_user_id string").repartition(3).localCheckpoint()
+    ordered = sorted(rows, key=lambda row: [(v is None, v or "") for v in row])
+    sorts = []
+    monkeypatch.setattr(splits, "ROWS_SORTED", 300)
+    monkeypatch.setattr(splits, "KEYS_DRAWN", 200)
+    plain = splits.KeyRanges._sorted
+
+    def spy(ranges, range_, before, positions):
+        sorts.append(ranges._within(range_).count())
+        return plain(ranges, range_, before, positions)
+
+    monkeypatch.setattr(splits.KeyRanges, "_sorted", spy)
+    positions = [0, 1, 399, 640, 900, 1200, 1650, len(rows) - 100, len(rows) - 1]
+    found = splits.key_ranges(df).at([*positions, len(rows)])
+    assert found == {p: (ordered[p], p - ordered.index(ordered[p])) for p in positions}
+    assert sorts and max(sorts) <= 300
+
+
 def test_sort_puts_missing_keys_last(table):
     df = table({"tweet_id": None}, {"tweet_id": "b"}, {"tweet_id": "a", "engaging_user_id": None}, {"tweet_id": "a", "engaging_user_id": "z"})
     found = [(r["tweet_id"], r["engaging_user_id"]) for r in splits.sort_by_key(df).collect()]
