@@ -1,3 +1,5 @@
+import os
+
 from pyspark.sql import functions as F
 
 from feedlens import schema as S
@@ -102,3 +104,20 @@ def test_model_scores_with_stored_degrees(spark, table, tmp_path):
             stream_model_scores(read_part_stream(spark, str(source)), score, out, state).awaitTermination()
     found = {r["tweet_id"]: r[S.TARGET_NAMES[0]] for r in read_model_scores(spark, out).collect()}
     assert found == {"0": 7.0, "1": 0.0} and read_model_scores(spark, out).count() == 2
+
+
+def test_a_batch_is_parsed_once_and_scored_from_a_stored_table(spark, table, tmp_path):
+    source, seen = tmp_path / "in", []
+    for i in range(3):
+        append_part(projections.file_order(table({"tweet_id": str(i)}), False), source, f"part-{i}")
+
+    def score(rows):
+        seen.extend(rows.inputFiles())
+        assert rows.columns == S.KEYS
+        return Degrees().predict(rows.withColumn("engaged_with_user_in_degree", F.lit(3)))
+
+    parts = read_part_stream(spark, str(source), files_per_batch=2).select(*S.KEYS)
+    stream_model_scores(parts, score, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert read_model_scores(spark, str(tmp_path / "out")).count() == 3
+    assert len(seen) >= 2 and all(f.endswith(".parquet") for f in seen)
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in seen)  # a batch frees its table
